@@ -110,6 +110,8 @@ class SqliteReader(DataSourceReader):
         return ranges
 
     def read(self, partition):
+        if partition is None:  # what Spark passes when there are no partitions: the table is empty
+            return
         columns = ", ".join(_quoted(f.name) for f in self.fields)
         sql = f"SELECT {columns} FROM {_quoted(self.table)}"
         bounds = ()
