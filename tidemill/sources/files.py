@@ -63,8 +63,8 @@ def _read_csv(spark, paths, source, columns, options):
     reader = spark.read.options(**options).option("mode", "FAILFAST")
     if columns:
         schema = struct_of(columns)
-        df = reader.option("enforceSchema", "false").schema(_as_text(schema)).csv(paths)
-        return _restore(df, schema)
+        df = reader.option("enforceSchema", "false").schema(timestamps_as_text(schema)).csv(paths)
+        return timestamps_restored(df, schema)
     df = reader.option("inferSchema", "true").csv(paths)
     if not header:
         width = len(str(len(df.columns) - 1))
@@ -85,15 +85,15 @@ def _read_json(spark, paths, source, columns, options):
     for part, multi_line in ((lines, False), (arrays, True)):
         if part:
             reader = spark.read.options(**options).option("mode", "FAILFAST").option("multiLine", multi_line)
-            parts.append(reader.schema(_as_text(schema)).json(part) if columns else reader.json(part))
+            parts.append(reader.schema(timestamps_as_text(schema)).json(part) if columns else reader.json(part))
     if len(parts) == 2:
         df = parts[0].unionByName(parts[1], allowMissingColumns=True)
     else:
         df = parts[0]
-    return _restore(df, schema) if columns else df
+    return timestamps_restored(df, schema) if columns else df
 
 
-def _as_text(schema: T.StructType) -> T.StructType:
+def timestamps_as_text(schema: T.StructType) -> T.StructType:
     """Read wall-clock timestamps as text first: the readers refuse a zone suffix on them."""
     return T.StructType(
         [
@@ -103,7 +103,7 @@ def _as_text(schema: T.StructType) -> T.StructType:
     )
 
 
-def _restore(df: DataFrame, schema: T.StructType) -> DataFrame:
+def timestamps_restored(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(
         *[
             F.col(f.name).cast("timestamp").cast("timestamp_ntz").alias(f.name, metadata=f.metadata or None)

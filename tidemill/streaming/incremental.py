@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.errors import SpecError
+from tidemill.sources.files import timestamps_as_text, timestamps_restored
 from tidemill.specs import FileSource, struct_of
 
 # Size units a batch bound may be written in.
@@ -33,7 +34,9 @@ def incremental_ingest(
     if not columns:
         raise SpecError("incremental ingest needs declared columns")
     schema = struct_of(columns)
-    reader = spark.readStream.format(source.format).schema(schema)
+    reader = spark.readStream.format(source.format).schema(
+        schema if source.format == "parquet" else timestamps_as_text(schema)
+    )
     if source.format == "csv":
         reader = reader.option("header", str(source.has_header is not False).lower())
         if source.delimiter is not None:
@@ -42,9 +45,11 @@ def incremental_ingest(
             reader = reader.option("nullValue", source.null_value)
     if source.max_batch_size:
         reader = reader.option("maxBytesPerTrigger", str(size_in_bytes(source.max_batch_size)))
+    rows = reader.load(path)
+    if source.format != "parquet":
+        rows = timestamps_restored(rows, schema)
     stream = (
-        reader.load(path)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", target)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
