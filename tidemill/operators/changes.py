@@ -24,12 +24,16 @@ def snapshot_diff(last: DataFrame, current: DataFrame, keys: list[str]) -> DataF
 
 
 def content_changes(last: DataFrame, current: DataFrame, keys: list[str], significant: list[str]) -> DataFrame:
-    """Keys both versions have whose significant columns differ; other columns may differ freely."""
-    print_of = F.sha2(F.to_json(F.struct(*significant)), 256).alias("print")
-    sides = _stack(last.select(*keys, print_of), current.select(*keys, print_of))
-    before = F.max(F.when(F.col("in_last") == 1, F.col("print"))).alias("before")
-    after = F.max(F.when(F.col("in_current") == 1, F.col("print"))).alias("after")
-    return sides.groupBy(keys).agg(before, after).where("before <> after").select(keys)
+    """Keys both versions have whose significant columns differ; other columns may differ freely.
+
+    Keys must be unique in each version. Rows are compared by a 128-bit fingerprint, held as
+    two numbers so that grouping stays in hash maps.
+    """
+    prints = _fingerprint(significant)
+    sides = _stack(last.select(*keys, *prints), current.select(*keys, *prints))
+    side = lambda flag, column: F.max(F.when(F.col(flag) == 1, F.col(column))).alias(f"{flag}_{column}")
+    grouped = sides.groupBy(keys).agg(*[side(f, c) for f in ("in_last", "in_current") for c in ("print_a", "print_b")])
+    return grouped.where("in_last_print_a <> in_current_print_a OR in_last_print_b <> in_current_print_b").select(keys)
 
 
 def affected(
@@ -45,6 +49,12 @@ def affected(
     return reachable(current_edges, seeds).join(current_nodes.select("name"), "name", "left_semi")
 
 
+def _fingerprint(columns):
+    """Two hashes with different seeds; nulls leave a hash as it is, so they are marked apart."""
+    values = [*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]]
+    return [F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in ((1, "print_a"), (2, "print_b"))]
+
+
 def _stack(last, current):
     flag = lambda df, in_last: df.withColumns({"in_last": F.lit(in_last), "in_current": F.lit(1 - in_last)})
     return flag(last, 1).unionByName(flag(current, 0))

@@ -49,7 +49,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFrame:
     """Longest path from any root to each node, as ``(name, level)``; roots have level 0."""
     links = materialize(_links(edges), "links")
-    roots = nodes.select("name").join(links.select(F.col("dst").alias("name")), "name", "left_anti").distinct()
+    targets = links.select(F.col("dst").alias("name")).distinct()
+    roots = nodes.select("name").distinct().join(targets, "name", "left_anti")
     frontier = materialize(roots, "frontier")
     reached = []
     rows, sized = _measure(frontier)
@@ -88,14 +89,15 @@ def adjacency(nodes: DataFrame, edges: DataFrame, chunk_size: int = 10_000) -> D
     no single list grows without bound.
     """
     links = _links(edges)
-    large = (
-        links.groupBy("src")
+    large = materialize(
+        links.groupBy(F.col("src").alias("name"))
         .count()
         .where(F.col("count") > chunk_size)
-        .select("src", F.ceil(F.col("count") / chunk_size).alias("chunks"))
+        .select("name", F.ceil(F.col("count") / chunk_size).alias("chunks")),
+        "hubs",
     )
     lists = (
-        links.join(large, "src", "left")
+        links.join(_measure(large)[1].withColumnRenamed("name", "src"), "src", "left")
         .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0)))
         .groupBy("src", "chunk")
         .agg(F.sort_array(F.collect_list("dst")).alias("successors"))
@@ -108,13 +110,13 @@ def adjacency(nodes: DataFrame, edges: DataFrame, chunk_size: int = 10_000) -> D
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose source is no known node."""
+    """Edges whose source is no known node; ``nodes`` should be a stored table."""
     return _links(edges).join(nodes.select(F.col("name").alias("src")), "src", "left_anti")
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges restricted to the names in ``keep``."""
-    names = keep.select("name")
+    _, names = _measure(materialize(keep.select("name").distinct(), "keep"))
     inside = (
         edges.join(names.withColumnRenamed("name", "src"), "src", "left_semi")
         .join(names.withColumnRenamed("name", "dst"), "dst", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import materialize
+
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """Pairs with ``low <= point <= high`` (numbers), as an equi-join on range buckets.
@@ -14,6 +16,7 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     which keeps the copies of all intervals together within about twice their number. A
     crowded bucket is split by the adaptive skew join.
     """
+    intervals = materialize(intervals, "intervals")
     width = intervals.agg(F.avg(F.col(high) - F.col(low))).first()[0]
     width = float(width) if width else 1.0
     bucket = lambda column: F.floor(F.col(column) / F.lit(width))

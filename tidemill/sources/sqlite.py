@@ -6,6 +6,7 @@ import json
 import re
 import sqlite3
 from contextlib import closing
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -95,19 +96,18 @@ class SqliteReader(DataSourceReader):
         self.step = int(options.get("rowsPerPartition", ROWS_PER_PARTITION))
 
     def partitions(self):
-        ranges = []
-        for path in self.files:
-            try:
-                with closing(_open(path)) as database:
-                    low, high = database.execute(
-                        f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}"
-                    ).fetchone()
-            except sqlite3.OperationalError:
-                ranges.append(RowRange(path, None, None))
-                continue
-            if low is not None:
-                ranges += [RowRange(path, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
-        return ranges
+        """Row id ranges of a single file; of several, one partition each, opened only in its task."""
+        if len(self.files) > 1:
+            return [RowRange(path, None, None) for path in self.files]
+        path = self.files[0]
+        try:
+            with closing(_open(path)) as database:
+                low, high = database.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+        except sqlite3.OperationalError:  # a table without row ids
+            return [RowRange(path, None, None)]
+        if low is None:
+            return []
+        return [RowRange(path, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
 
     def read(self, partition):
         if partition is None:  # what Spark passes when there are no partitions: the table is empty
@@ -137,7 +137,8 @@ def _array(values, kind):
 
 
 def _open(path):
-    return sqlite3.connect(f"file:{path.removeprefix('file://').removeprefix('file:')}?mode=ro", uri=True)
+    plain = path.removeprefix("file://").removeprefix("file:")
+    return sqlite3.connect(f"file:{quote(plain)}?mode=ro", uri=True)
 
 
 def _quoted(name):

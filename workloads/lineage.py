@@ -193,7 +193,6 @@ def config_changed(spark, sf_dir):
             "o_totalprice": F.col("o_totalprice") + 1,
         }
     )
-    # A null needs its own mark: a key missing from the fingerprint would still differ, but say so.
     return changes.content_changes(last, current, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
 
 

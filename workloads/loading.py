@@ -116,7 +116,8 @@ def glob_scan(spark, sf_dir):
 def date_pattern_scan(spark, sf_dir):
     base = scratch_path(spark, "dated")
     events = table(spark, sf_dir, "events")
-    events.withColumn("day", F.to_date("ts")).write.options(**MICROSECONDS).partitionBy("day").json(base)
+    # Rebalancing keeps the number of files per day down and splits a day that is too large for one.
+    events.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.options(**MICROSECONDS).partitionBy("day").json(base)
     return load(spark, base, "day={YYYY}-{MM}-{DD}/*.json", "json", EVENT_COLUMNS, layout="lines")
 
 
@@ -202,7 +203,7 @@ def two_deliveries(spark, sf_dir):
     base = scratch_path(spark, "arrivals")
     events = table(spark, sf_dir, "events")
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    source = FileSource("", "json", max_batch_size="64MB")
+    source = FileSource("", "json", max_batch_size="100GB")
     for delivery in (events.where(early), events.where(~early)):
         delivery.write.options(**MICROSECONDS).mode("append").json(f"{base}/inbox")
         loaded = incremental_ingest(spark, f"{base}/inbox", source, EVENT_COLUMNS, f"{base}/table", f"{base}/progress")

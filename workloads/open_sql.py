@@ -127,16 +127,22 @@ sql_query(
        FROM daily""",
 )
 
-_SET_OPS = """
-SELECT 'intersect' AS op, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F'
-    INTERSECT SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup') a
-UNION ALL SELECT 'except', o_custkey FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F'
-    EXCEPT SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup') b
-UNION ALL SELECT 'union', o_custkey FROM (SELECT o_custkey FROM {orders} UNION SELECT user_id FROM {events}) c
-UNION ALL SELECT 'intersect all', o_custkey FROM (SELECT o_custkey FROM {orders} INTERSECT ALL SELECT user_id FROM {events}) d
-UNION ALL SELECT 'except all', o_custkey FROM (SELECT o_custkey FROM {orders} EXCEPT ALL SELECT user_id FROM {events}) e
-"""
-sql_query("set_ops", _SET_OPS)
+sql_query(
+    "set_ops",
+    """SELECT 'intersect' AS op, o_custkey AS k FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F'
+           INTERSECT SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup') a
+       UNION ALL SELECT 'except', o_custkey FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F'
+           EXCEPT SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup') b
+       UNION ALL SELECT 'union', o_custkey FROM (SELECT o_custkey FROM {orders} UNION SELECT user_id FROM {events}) c""",
+)
+
+sql_query(
+    "set_ops_all",
+    """SELECT 'intersect all' AS op, l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_linestatus = 'F'
+           INTERSECT ALL SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_returnflag = 'R') a
+       UNION ALL SELECT 'except all', l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_linestatus = 'F'
+           EXCEPT ALL SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_returnflag = 'R') b""",
+)
 
 sql_query(
     "scalar_fns",
@@ -211,10 +217,12 @@ def approximate(spark, sf_dir):
     )
 
 
+# The outer table has one row per key; the busy side is only ever aggregated.
 sql_query(
     "subqueries",
-    """SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} o
-       WHERE o_totalprice > (SELECT AVG(i.o_totalprice) * 1.5 FROM {orders} i WHERE i.o_custkey = o.o_custkey)
-         AND o_totalprice > (SELECT MAX(c_acctbal) FROM {customer})
-         AND o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_mktsegment = 'BUILDING')""",
+    """SELECT c_custkey, c_acctbal, (SELECT MAX(o_orderdate) FROM {orders} WHERE o_custkey = c_custkey) AS last_order
+       FROM {customer}
+       WHERE c_acctbal * 50 > (SELECT AVG(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey)
+         AND c_acctbal > (SELECT AVG(s_acctbal) FROM {supplier})
+         AND c_nationkey IN (SELECT n_nationkey FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')""",
 )
