@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.errors import LineageError, RunFailed, UnknownName
 from tidemill.functions.results import chart_series
 from tidemill.operators.changes import affected, content_changes
-from tidemill.operators.freshness import oldest_input, upsert_freshness
-from tidemill.operators.graph import upstream
+from tidemill.operators.freshness import oldest_input
 from tidemill.plans.references import EDGE_FIELDS, referenced_tables
 from tidemill.plans.tables import append_rows, create_or_replace, table_exists
 from tidemill.sources.ingest import ingest
@@ -24,16 +23,15 @@ LOG_FIELDS = (
     "run_id string, run_started_at timestamp_ntz, task string, phase string, "
     "started_at timestamp_ntz, completed_at timestamp_ntz, error string"
 )
-CONFIG_FIELDS = "name string, kind string, significant string"
-FRESH_FIELDS = "name string, updated_at timestamp_ntz"
+STATE_FIELDS = "name string, kind string, significant string, inputs array<string>, updated_at timestamp_ntz, completed_at timestamp_ntz"
 
 
 class Runner:
     """Carries out a project in one session.
 
     ``location`` is the folder tables are stored below (the warehouse when not given);
-    ``state`` is the database that keeps the run log, the edges, the declarations last run
-    and the freshness of each table.
+    ``state`` is the database with the run log and, one row per adapter or model, what was
+    declared when it last completed, its inputs and how fresh it is.
     """
 
     def __init__(self, spark: SparkSession, project: Project, location: str | None = None, state: str = "tidemill_state"):
@@ -81,12 +79,8 @@ class Runner:
             raise LineageError(f"models depend on each other: {' -> '.join(error.args[1])}") from error
         return inputs
 
-    def nodes(self) -> DataFrame:
-        return self.spark.createDataFrame([(name,) for name in self.inputs()], "name string")
-
     def edges(self) -> DataFrame:
-        rows = [(src, dst) for dst, sources in self.inputs().items() for src in sources]
-        return self.spark.createDataFrame(rows, EDGE_FIELDS)
+        return self._edge_table(self.inputs())
 
     def run(self) -> list[dict]:
         """Bring every adapter and model up to date, inputs first."""
@@ -94,30 +88,43 @@ class Runner:
 
     def run_target(self, target: str) -> list[dict]:
         """Bring one adapter or model up to date, together with all it depends on."""
-        if target not in self.inputs():
+        inputs = self.inputs()
+        if target not in inputs:
             raise UnknownName(f"target {target!r} is not declared")
-        start = self.spark.createDataFrame([(target,)], "name string")
-        return self._run({row.name for row in upstream(self.edges(), start).collect()})
+        needed, todo = {target}, [target]
+        while todo:
+            new = set(inputs[todo.pop()]) - needed
+            needed |= new
+            todo += new
+        return self._run(needed)
 
     def run_changed(self) -> list[dict]:
-        """Rebuild only what declarations changed since the last run affect."""
-        names = self.affected_nodes()
-        return self._run({row.name for row in names.collect()})
+        """Rebuild only what is affected by declarations that changed since they were last run."""
+        return self._run({row.name for row in self.affected_nodes().collect()})
 
     def affected_nodes(self) -> DataFrame:
-        current, edges = self._config_rows(), self.edges()
-        last = self._state_table("config", CONFIG_FIELDS)
+        inputs = self.inputs()
+        last, current = self.state_table(), self._declared()
         changed = content_changes(last, current, ["name"], ["kind", "significant"])
-        return affected(last.select("name"), current.select("name"), self._state_table("edges", EDGE_FIELDS), edges, changed)
+        last_edges = last.select(F.explode("inputs").alias("src"), F.col("name").alias("dst"))
+        return affected(last.select("name"), current.select("name"), last_edges, self._edge_table(inputs), changed)
 
     def run_log(self) -> DataFrame:
-        return self._state_table("run_log", LOG_FIELDS)
+        return self._stored("run_log", LOG_FIELDS)
+
+    def state_table(self) -> DataFrame:
+        return self._stored("tables", STATE_FIELDS)
 
     def freshness(self) -> DataFrame:
         """Per table: adapters when they were loaded, models the age of their oldest input."""
-        return self._state_table("freshness", FRESH_FIELDS)
+        return self.state_table().select("name", "updated_at")
+
+    def oldest_inputs(self) -> DataFrame:
+        return oldest_input(self.edges(), self.freshness())
 
     def _run(self, names: set[str]) -> list[dict]:
+        if not names:
+            return []
         inputs = self.inputs()
         run_id, started = uuid.uuid4().hex, _now()
         log: dict[str, dict] = {}
@@ -131,7 +138,7 @@ class Runner:
                 log |= {record["task"]: record for record in pool.map(self._step, runnable)}
                 order.done(*ready)
         records = [{"run_id": run_id, "run_started_at": started, **log[name]} for name in log]
-        self._remember(records)
+        self._remember(records, inputs)
         failed = [r["task"] for r in records if r["phase"] == "failed"]
         if failed:
             raise RunFailed(f"{len(failed)} of {len(records)} steps failed: {', '.join(sorted(failed))}", records)
@@ -148,55 +155,49 @@ class Runner:
             return _record(name, "failed", started, _now(), f"{type(error).__name__}: {error}")
         return _record(name, "completed", started, _now())
 
-    def _remember(self, records: list[dict]) -> None:
+    def _remember(self, records: list[dict], inputs: dict[str, list[str]]) -> None:
+        """Log the run and update the state of completed steps.
+
+        A failed or skipped step keeps its earlier state, so it still counts as changed the
+        next time; declarations that were dropped leave. Both tables have a row per step.
+        """
         self._append("run_log", self.spark.createDataFrame(records, LOG_FIELDS))
-        done = {r["task"]: r["completed_at"] for r in records if r["phase"] == "completed"}
-        self._remember_freshness(done)
-        # Declarations and edges count as run only for completed steps, so a failed or skipped
-        # one is still seen as changed next time. Dropped declarations leave the state.
-        current, finished = self._config_rows(), self.spark.createDataFrame([(n,) for n in done], "name string")
-        last = self._state_table("config", CONFIG_FIELDS)
-        kept = last.join(finished, "name", "left_anti").join(current, "name", "left_semi")
-        self._replace("config", kept.unionByName(current.join(finished, "name", "left_semi")))
-        last_edges, onto = self._state_table("edges", EDGE_FIELDS), finished.withColumnRenamed("name", "dst")
-        kept_edges = last_edges.join(onto, "dst", "left_anti").join(
-            current.select(F.col("name").alias("dst")), "dst", "left_semi"
-        )
-        self._replace("edges", kept_edges.unionByName(self.edges().join(onto, "dst", "left_semi")))
-
-    def _remember_freshness(self, done):
-        """Adapters take their load time; models, inputs first, the oldest time among theirs."""
-        loaded = [(name, at) for name, at in done.items() if name in self.project.adapters]
-        fresh = upsert_freshness(self.freshness(), self.spark.createDataFrame(loaded, FRESH_FIELDS))
-        inputs = self.inputs()
-        times = {row.name: row.updated_at for row in fresh.collect()}
+        completed = {r["task"]: r["completed_at"] for r in records if r["phase"] == "completed"}
+        if not completed:
+            return
+        state = {row.name: row.asDict() for row in self.state_table().collect() if row.name in inputs}
         for name in TopologicalSorter(inputs).static_order():
-            if name in done and name in self.project.models:
-                known = [times[i] for i in inputs[name] if times.get(i) is not None]
-                times[name] = min(known, default=None)
-        rows = [(name, at) for name, at in times.items() if name in inputs]
-        self._replace("freshness", self.spark.createDataFrame(rows, FRESH_FIELDS))
-
-    def oldest_inputs(self) -> DataFrame:
-        return oldest_input(self.edges(), self.freshness())
-
-    def _config_rows(self):
-        specs = [*self.project.adapters.values(), *self.project.models.values()]
-        rows = [(s.name, type(s).__name__, s.significant()) for s in specs]
-        return self.spark.createDataFrame(rows, CONFIG_FIELDS)
-
-    def _state_name(self, name):
-        return f"{self.state}.{name}"
+            if name not in completed:
+                continue
+            updated = completed[name]
+            if name in self.project.models:
+                times = [state[i]["updated_at"] for i in inputs[name] if i in state]
+                updated = min((t for t in times if t is not None), default=None)
+            state[name] = {**self._declaration(name), "inputs": inputs[name], "updated_at": updated, "completed_at": completed[name]}
+        self._replace("tables", self.spark.createDataFrame(list(state.values()), STATE_FIELDS))
+
+    def _declaration(self, name):
+        spec = self.project.adapters.get(name) or self.project.models[name]
+        return {"name": name, "kind": type(spec).__name__, "significant": spec.significant()}
+
+    def _declared(self):
+        rows = [self._declaration(name) for name in (*self.project.adapters, *self.project.models)]
+        return self.spark.createDataFrame(rows, "name string, kind string, significant string")
+
+    def _edge_table(self, inputs):
+        rows = [(src, dst) for dst, sources in inputs.items() for src in sources]
+        return self.spark.createDataFrame(rows, EDGE_FIELDS)
 
-    def _state_table(self, name, fields):
-        full = self._state_name(name)
+    def _stored(self, name, fields):
+        full = f"{self.state}.{name}"
         return self.spark.table(full) if table_exists(self.spark, full) else self.spark.createDataFrame([], fields)
 
     def _replace(self, name, df):
-        create_or_replace(df.coalesce(1), self._state_name(name), self._place(self._state_name(name)))
+        full = f"{self.state}.{name}"
+        create_or_replace(df.coalesce(1), full, self._place(full))
 
     def _append(self, name, df):
-        full = self._state_name(name)
+        full = f"{self.state}.{name}"
         if table_exists(self.spark, full):
             append_rows(df.coalesce(1), full)
         else:
