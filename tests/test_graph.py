@@ -50,6 +50,16 @@ def test_level_is_the_longest_path(names, pairs):
     assert dict(map(tuple, found.collect())) == {"a": 0, "b": 1, "c": 2, "x": 0}
 
 
+def test_long_chain(names, pairs, column, monkeypatch):
+    monkeypatch.setattr(graph, "_ROUNDS_PER_TABLE", 4)
+    chain = pairs(*[(f"n{i:02}", f"n{i + 1:02}") for i in range(9)])
+    everything = [f"n{i:02}" for i in range(10)]
+    assert column(graph.reachable(chain, names("n00"))) == everything
+    assert column(graph.reachable(chain, names("n00"), include_start=False)) == everything[1:]
+    found = dict(map(tuple, graph.levels(names(*everything), chain).collect()))
+    assert found == {n: i for i, n in enumerate(everything)}
+
+
 def test_levels_refuse_an_endless_path(names, pairs):
     with pytest.raises(LineageError):
         graph.levels(names(*"abc"), pairs(("a", "b"), ("b", "c"), ("c", "b")), max_levels=5)

@@ -11,7 +11,7 @@ from tidemill import Adapter, Column, DatabaseSource, FileSource, Jdbc, LocalFil
 from tidemill.errors import MissingSource, SpecError
 from tidemill.sources.databases import jdbc_options
 from tidemill.sources.ingest import ingest
-from tidemill.sources.object_store import s3a_options
+from tidemill.sources.object_store import bucket_root, s3a_options, session_conf
 from tidemill.sources.paths import expand_date_tokens, key_regex, literal_prefix, matching_objects, under
 from tidemill.specs import column_type
 
@@ -202,6 +202,8 @@ def test_object_store_options():
     assert plain["fs.s3a.bucket.b.access.key"] == "k"
     token = s3a_options(ObjectStore("b", access_key_id="k", secret_access_key="s", session_token="t"))
     assert token["fs.s3a.bucket.b.session.token"] == "t" and "Temporary" in token["fs.s3a.bucket.b.aws.credentials.provider"]
+    assert session_conf(ObjectStore("b", region="eu-west-1"))["spark.hadoop.fs.s3a.bucket.b.endpoint.region"] == "eu-west-1"
+    assert bucket_root(ObjectStore("b")) == "s3a://b"
     chain = s3a_options(ObjectStore("b", auth_method="credential_chain"))
     assert "fs.s3a.bucket.b.access.key" not in chain and "fs.s3a.bucket.b.endpoint" not in chain
 

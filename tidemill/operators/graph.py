@@ -12,26 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.errors import LineageError
-from tidemill.session import materialize
+from tidemill.session import discard, materialize, scratch_path
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 _ROW_OVERHEAD = 64
+_ROUNDS_PER_TABLE = 20
 
 
 def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True) -> DataFrame:
     """Every node that can be reached from ``start(name)`` along the edges, cycles allowed."""
-    links = materialize(_links(edges), "links")
-    frontier = materialize(start.select("name").distinct(), "frontier")
-    seen = [frontier]
+    spark = edges.sparkSession
+    links_path = scratch_path(spark, "links")
+    links = materialize(_links(edges), path=links_path)
+    frontier = materialize(start.select("name").distinct(), "start")
+    first, seen = frontier, [frontier]
     rows, sized = _measure(frontier)
     while rows:
         step = _successors(links, sized)
         frontier = materialize(step.join(_union(seen), "name", "left_anti"), "frontier")
-        seen.append(frontier)
+        seen = _compact([*seen, frontier])
         rows, sized = _measure(frontier)
-    if include_start:
-        return _union(seen)
-    return _union(seen[1:]).join(start.select("name").distinct(), "name", "left_anti")
+    discard(spark, links_path)
+    whole = _union(seen)
+    return whole if include_start else whole.join(first, "name", "left_anti")
 
 
 def downstream(edges: DataFrame, start: DataFrame, include_start: bool = True) -> DataFrame:
@@ -48,21 +51,23 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFrame:
     """Longest path from any root to each node, as ``(name, level)``; roots have level 0."""
-    links = materialize(_links(edges), "links")
+    spark = edges.sparkSession
+    links_path = scratch_path(spark, "links")
+    links = materialize(_links(edges), path=links_path)
     targets = links.select(F.col("dst").alias("name")).distinct()
     roots = nodes.select("name").distinct().join(targets, "name", "left_anti")
     frontier = materialize(roots, "frontier")
-    reached = []
+    reached, level = [frontier.withColumn("level", F.lit(0))], 0
     rows, sized = _measure(frontier)
     while rows:
-        if len(reached) > max_levels:
+        level += 1
+        if level > max_levels:
             raise LineageError(f"paths longer than {max_levels}, or a cycle; cycle_remainder tells which")
-        reached.append(frontier.withColumn("level", F.lit(len(reached))))
         frontier = materialize(_successors(links, sized), "frontier")
+        reached = _compact([*reached, frontier.withColumn("level", F.lit(level))], _deepest)
         rows, sized = _measure(frontier)
-    if not reached:
-        return roots.withColumn("level", F.lit(0))
-    return _union(reached).groupBy("name").agg(F.max("level").alias("level"))
+    discard(spark, links_path)
+    return _deepest(_union(reached))
 
 
 def cycle_remainder(edges: DataFrame) -> DataFrame:
@@ -70,15 +75,22 @@ def cycle_remainder(edges: DataFrame) -> DataFrame:
 
     These are the members of cycles and everything downstream of them; empty without cycles.
     """
-    links = materialize(_links(edges), "links")
+    spark = edges.sparkSession
+    path = scratch_path(spark, "links")
+    links = materialize(_links(edges), path=path)
     rows = links.count()
     while rows:
-        entered, sized = _measure(materialize(links.select(F.col("dst").alias("name")).distinct(), "entered"))
-        kept = materialize(links.join(sized.withColumnRenamed("name", "src"), "src", "left_semi"), "links")
+        entered_path, kept_path = scratch_path(spark, "entered"), scratch_path(spark, "links")
+        entered = materialize(links.select(F.col("dst").alias("src")).distinct(), path=entered_path)
+        _, sized = _measure(entered, "src")
+        kept = materialize(links.join(sized, "src", "left_semi"), path=kept_path)
         left = kept.count()
+        discard(spark, entered_path)
+        discard(spark, path)
+        links, path = kept, kept_path
         if left == rows:
             break
-        links, rows = kept, left
+        rows = left
     return links.select(F.col("dst").alias("name")).distinct()
 
 
@@ -133,10 +145,19 @@ def _successors(links, frontier):
     return links.join(frontier.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
 
 
-def _measure(names):
+def _measure(table, name="name"):
     """Row count, and the table marked for broadcast if its measured size allows."""
-    size = names.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("name") + _ROW_OVERHEAD), F.lit(0))).first()
-    return size[0], F.broadcast(names) if size[1] <= BROADCAST_BYTES else names
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(name) + _ROW_OVERHEAD), F.lit(0))).first()
+    return size[0], F.broadcast(table) if size[1] <= BROADCAST_BYTES else table
+
+
+def _deepest(reached):
+    return reached.groupBy("name").agg(F.max("level").alias("level"))
+
+
+def _compact(parts, merge=lambda whole: whole):
+    """Many small rounds become one table, so that the plan of a long walk stays short."""
+    return parts if len(parts) < _ROUNDS_PER_TABLE else [materialize(merge(_union(parts)), "rounds")]
 
 
 def _union(parts):

@@ -48,18 +48,40 @@ def shared_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables."""
+    return f"{shared_root(spark)}/tidemill/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative work, survives the loss of executors, and gives the
     optimizer the true size of the intermediate result.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table nothing reads any more."""
+    if not path.startswith(f"{scratch_root(spark)}/"):
+        raise SpecError(f"{path} is not an intermediate table of this application")
+    _delete(spark, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all intermediate tables; call it once the results built on them were used."""
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -34,3 +34,8 @@ def s3a_options(store: ObjectStore) -> dict[str, str]:
             options["session.token"] = store.session_token
             options["aws.credentials.provider"] = _TEMPORARY
     return {f"fs.s3a.bucket.{store.bucket}.{key}": value for key, value in options.items()}
+
+
+def session_conf(store: ObjectStore) -> dict[str, str]:
+    """The same as session settings, for tables that are stored in the bucket."""
+    return {f"spark.hadoop.{key}": value for key, value in s3a_options(store).items()}
