@@ -73,6 +73,19 @@ def test_declared_columns(spark, tmp_path):
     assert tuples(df) == [(1, Decimal("12.500"), datetime(2024, 3, 1, 10, 15), date(2024, 3, 1))]
 
 
+@pytest.mark.parametrize("session_zone", ["UTC", "Asia/Tokyo"])
+def test_timestamps_with_and_without_zone(spark, tmp_path, session_zone):
+    texts = ["2024-03-01T10:15:00Z", "2024-03-01T10:15:00+09:00", "2024-03-01 10:15:00.5", "2024-03-01", None]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps({"at": t}) for t in texts))
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        rows = load(spark, tmp_path, "a.json", [Column("at", "TIMESTAMP")], format="json").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    day = lambda *time: datetime(2024, 3, 1, *time)
+    assert [r.at for r in rows] == [day(10, 15), day(1, 15), day(10, 15, 0, 500000), day(), None]
+
+
 def test_declared_csv_columns_must_match_the_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("b,a\n1,2\n")
     with pytest.raises(Exception):

@@ -21,7 +21,7 @@ def create_or_replace(df: DataFrame, name: str, location: str | None = None) ->
     ``location`` each version lies in a folder of its own below it.
     """
     spark = df.sparkSession
-    ensure_database(spark, name)
+    ensure_database(spark, name, f"{location.rstrip('/')}.db" if location else None)
     scratch = scratch_name(name)
     writer = df.write.format("parquet")
     if location:
@@ -75,10 +75,11 @@ def list_tables(spark: SparkSession, like: str = "*", database: str | None = Non
     return shown.where(~F.col("isTemporary")).select(F.col("tableName").alias("table_name")).orderBy("table_name")
 
 
-def ensure_database(spark: SparkSession, name: str) -> None:
-    """Create the database a two-part table name lives in."""
+def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the database a two-part table name lives in; ``location`` is its own default folder."""
     if "." in name:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name.rsplit('.', 1)[0])}")
+        where = f" LOCATION '{location}'" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name.rsplit('.', 1)[0])}{where}")
 
 
 def quoted(name: str) -> str:

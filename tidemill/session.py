@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.errors import SpecError
 
 _own_roots: dict[str, str] = {}
+_shipped: set[tuple[str, str]] = set()
 
 
 def build_session(app_name: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,7 +29,26 @@ def build_session(app_name: str = "tidemill", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession, folder: str | Path = Path(__file__).parent) -> None:
+    """Send a Python package to the workers, once per application.
+
+    Needed where the package is neither installed on the executors nor passed to the session
+    with ``--py-files``.
+    """
+    folder = Path(folder)
+    key = (spark.sparkContext.applicationId, str(folder))
+    if key in _shipped:
+        return
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='tidemill-ship-')}/{folder.name}", "zip", folder.parent, folder.name
+    )
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(key)
 
 
 def shared_root(spark: SparkSession) -> str:

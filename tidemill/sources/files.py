@@ -17,6 +17,8 @@ from tidemill.specs import FileSource, struct_of
 # Compression names and the file name suffixes Spark decodes them by.
 _SUFFIXES = {"gzip": (".gz",), "gz": (".gz",), "bzip2": (".bz2",), "zstd": (".zst",), "snappy": (".snappy",), "lz4": (".lz4",)}
 FORMATS = ("csv", "parquet", "json")
+# Fixed value: a zone at the end of a time of day.
+_ZONE = r":[0-9]{2}(\.[0-9]+)?\s*(?i:z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
 
 
 def read_files(
@@ -104,9 +106,10 @@ def timestamps_as_text(schema: T.StructType) -> T.StructType:
 
 
 def timestamps_restored(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Texts back to wall-clock time; one with a zone becomes its time in UTC."""
     return df.select(
         *[
-            F.col(f.name).cast("timestamp").cast("timestamp_ntz").alias(f.name, metadata=f.metadata or None)
+            _utc_wall_clock(F.col(f.name)).alias(f.name, metadata=f.metadata or None)
             if isinstance(f.dataType, T.TimestampNTZType)
             else F.col(f.name)
             for f in schema
@@ -114,6 +117,12 @@ def timestamps_restored(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def _utc_wall_clock(text):
+    local = text.cast("timestamp").cast("timestamp_ntz")
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    return F.when(text.rlike(_ZONE), in_utc).otherwise(text.cast("timestamp_ntz"))
+
+
 def _wall_clock(df: DataFrame) -> DataFrame:
     """Inferred timestamps carry no zone in the file, so they are kept as wall-clock time."""
     return df.select(
