@@ -19,9 +19,11 @@ def test_asof_join_against_brute_force(spark, monkeypatch, hot):
     right = [(key(), rng.randrange(200), i, rng.choice([None, "a", "b"])) for i in range(150)]
     if hot:
         left += [(0, 250 + i, 1000 + i) for i in range(300)]
+    left += [(None, 50, 5000), (1, None, 5001)]
+    right += [(None, 1, 500, "a"), (1, None, 501, "b")]
     want = []
     for k, t, i in left:
-        found = max(((rt, ri, v) for rk, rt, ri, v in right if rk == k and rt <= t), key=lambda r: r[:2], default=(None,) * 3)
+        found = max(((rt, ri, v) for rk, rt, ri, v in right if rk == k is not None and None not in (rt, t) and rt <= t), key=lambda r: r[:2], default=(None,) * 3)
         want.append((k, t, i, *found))
     got = asof_join(
         spark.createDataFrame(left, "k int, t int, id int"),

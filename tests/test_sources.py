@@ -1,3 +1,4 @@
+import csv
 import gzip
 import json
 import sqlite3
@@ -57,6 +58,24 @@ def test_csv_options(spark, tmp_path):
     assert df.orderBy("column0").collect() == [(1, "x", None), (2, None, 3.5)]
 
 
+@pytest.mark.parametrize("delimiter", [",", "|", ";", "\t"])
+def test_csv_delimiter_is_found(spark, tmp_path, delimiter):
+    rows = [["id", "text"], ["1", "a, b"], ["2", 'say "x; y" | z']]
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        csv.writer(out, delimiter=delimiter).writerows(rows)
+    assert tuples(load(spark, tmp_path, "a.csv")) == [(1, "a, b"), (2, 'say "x; y" | z')]
+
+
+def test_csv_of_one_column(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id\n1\n2\n")
+    assert tuples(load(spark, tmp_path, "a.csv")) == [(1,), (2,)]
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,plain\n')
+    assert tuples(load(spark, tmp_path, "a.csv", delimiter=",", multi_line=True)) == [(1, "two\nlines"), (2, "plain")]
+
+
 def test_csv_timestamps_are_wall_clock(spark, tmp_path):
     (tmp_path / "a.csv").write_text("at\n2024-03-01 10:15:00\n")
     df = load(spark, tmp_path, "a.csv")

@@ -20,8 +20,8 @@ def asof_join(
 ) -> DataFrame:
     """Left join to the right row with the same key and the latest ``right_time <= left_time``.
 
-    Ids break ties in time: the larger right id wins. Right columns must not share names with
-    left ones, the key apart.
+    Ids break ties in time: the larger right id wins. Null keys and times match nothing. Right
+    columns must not share names with left ones, the key apart.
 
     No pairs are built. Both tables are stacked and range-partitioned by key, time and id, so
     a key holding much of the data spreads over many partitions ("segments"). A window looks
@@ -30,6 +30,7 @@ def asof_join(
     """
     order = ["asof_time", "asof_side", "asof_id"]
     payload = [c for c in right.columns if c not in on]
+    right = right.dropna(subset=[*on, right_time])
     stacked = _side(right, on, right_time, right_id, 0, payload=payload).unionByName(
         _side(left, on, left_time, left_id, 1, rest=[c for c in left.columns if c not in on]), allowMissingColumns=True
     )

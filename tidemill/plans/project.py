@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,12 +131,13 @@ class Runner:
         log: dict[str, dict] = {}
         order = TopologicalSorter({name: [i for i in inputs[name] if i in names] for name in names})
         order.prepare()
+        step = inheritable_thread_target(self.spark)(self._step)
         with ThreadPoolExecutor(self.parallel_steps) as pool:
             while order.is_active():
                 ready = order.get_ready()
                 runnable = [n for n in ready if all(log[i]["phase"] == "completed" for i in inputs[n] if i in names)]
                 log |= {n: _record(n, "skipped") for n in ready if n not in runnable}
-                log |= {record["task"]: record for record in pool.map(self._step, runnable)}
+                log |= {record["task"]: record for record in pool.map(step, runnable)}
                 order.done(*ready)
         records = [{"run_id": run_id, "run_started_at": started, **log[name]} for name in log]
         self._remember(records, inputs)

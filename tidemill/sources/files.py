@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,9 @@ from tidemill.specs import FileSource, struct_of
 
 # Compression names and the file name suffixes Spark decodes them by.
 _SUFFIXES = {"gzip": (".gz",), "gz": (".gz",), "bzip2": (".bz2",), "zstd": (".zst",), "snappy": (".snappy",), "lz4": (".lz4",)}
+# Delimiters to choose from, the first of equals wins.
+DELIMITERS = (",", "|", ";", "\t")
+_HEAD_LINES = 20
 FORMATS = ("csv", "parquet", "json")
 # Fixed value: a zone at the end of a time of day.
 _ZONE = r":[0-9]{2}(\.[0-9]+)?\s*(?i:z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
@@ -56,12 +60,9 @@ def _read_parquet(spark, paths, columns, options):
 
 
 def _read_csv(spark, paths, source, columns, options):
-    header = True if source.has_header is None else source.has_header
-    options["header"] = str(header).lower()
-    if source.delimiter is not None:
-        options["sep"] = source.delimiter
-    if source.null_value is not None:
-        options["nullValue"] = source.null_value
+    header = source.has_header is not False
+    sep = source.delimiter or _delimiter(spark, paths, options)
+    options |= {**csv_options(source), "sep": sep}
     reader = spark.read.options(**options).option("mode", "FAILFAST")
     if columns:
         schema = struct_of(columns)
@@ -74,6 +75,32 @@ def _read_csv(spark, paths, source, columns, options):
     return _wall_clock(df)
 
 
+def csv_options(source: FileSource) -> dict[str, str]:
+    """Reader options a declaration asks for; a quote inside quotes is doubled."""
+    options = {
+        "header": str(source.has_header is not False).lower(),
+        "quote": '"',
+        "escape": '"',
+        "multiLine": str(source.multi_line).lower(),
+    }
+    if source.delimiter is not None:
+        options["sep"] = source.delimiter
+    if source.null_value is not None:
+        options["nullValue"] = source.null_value
+    return options
+
+
+def _delimiter(spark, paths, options):
+    """The delimiter that cuts the first lines into the most columns, equally many in each."""
+    head = [row[0] for row in spark.read.options(**options).text(paths).select("value").head(_HEAD_LINES)]
+    lines = [line for line in head if line.strip()]
+    widths = {}
+    for candidate in DELIMITERS:
+        found = {len(row) for row in csv.reader(lines, delimiter=candidate)}
+        widths[candidate] = found.pop() if len(found) == 1 else 1
+    return max(DELIMITERS, key=widths.get)
+
+
 def _read_json(spark, paths, source, columns, options):
     layout = source.layout
     if layout not in ("auto", "lines", "array"):

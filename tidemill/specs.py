@@ -67,7 +67,9 @@ def struct_of(columns) -> T.StructType:
 class FileSource:
     """Files of one format. ``path`` may hold globs and ``{YYYY}{MM}{DD}{HH}{mm}`` tokens.
 
-    ``layout`` is for JSON: ``lines``, ``array`` or ``auto`` (look at the head of each file).
+    CSV: without a ``delimiter`` the first lines tell it; ``multi_line`` allows line breaks
+    inside quotes, at the price of files that cannot be split. JSON: ``layout`` is ``lines``,
+    ``array`` or ``auto`` (look at the head of each file).
     """
 
     path: str
@@ -77,6 +79,7 @@ class FileSource:
     delimiter: str | None = None
     null_value: str | None = None
     has_header: bool | None = None
+    multi_line: bool = False
     layout: str = "auto"
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.errors import SpecError
-from tidemill.sources.files import timestamps_as_text, timestamps_restored
+from tidemill.sources.files import csv_options, timestamps_as_text, timestamps_restored
 from tidemill.specs import FileSource, struct_of
 
 # Size units a batch bound may be written in.
@@ -38,11 +38,7 @@ def incremental_ingest(
         schema if source.format == "parquet" else timestamps_as_text(schema)
     )
     if source.format == "csv":
-        reader = reader.option("header", str(source.has_header is not False).lower())
-        if source.delimiter is not None:
-            reader = reader.option("sep", source.delimiter)
-        if source.null_value is not None:
-            reader = reader.option("nullValue", source.null_value)
+        reader = reader.options(**csv_options(source))
     if source.max_batch_size:
         reader = reader.option("maxBytesPerTrigger", str(size_in_bytes(source.max_batch_size)))
     rows = reader.load(path)

@@ -82,23 +82,23 @@ def names_where(spark, sf_dir, name, letter, key, condition) -> DataFrame:
 
 @query(
     "lineage_downstream",
-    _closure_sql(_edges_sql("rn", "nc", "co", "op"), "SELECT 'R' || r_regionkey AS name FROM region WHERE r_name IN ('ASIA', 'EUROPE')"),
+    _closure_sql(_edges_sql(), "SELECT 'R' || r_regionkey AS name FROM region WHERE r_name IN ('ASIA', 'EUROPE')"),
 )
 def lineage_downstream(spark, sf_dir):
     start = names_where(spark, sf_dir, "region", "R", "r_regionkey", "r_name IN ('ASIA', 'EUROPE')")
-    return graph.downstream(edges_of(spark, sf_dir, "rn", "nc", "co", "op"), start)
+    return graph.downstream(edges_of(spark, sf_dir), start)
 
 
 @query(
     "lineage_upstream",
     _closure_sql(
-        f"SELECT dst AS src, src AS dst FROM ({_edges_sql('rn', 'nc', 'co', 'op')})",
+        f"SELECT dst AS src, src AS dst FROM ({_edges_sql()})",
         "SELECT 'P' || p_partkey AS name FROM part WHERE p_size = 50 AND p_type = 'ECONOMY'",
     ),
 )
 def lineage_upstream(spark, sf_dir):
     start = names_where(spark, sf_dir, "part", "P", "p_partkey", "p_size = 50 AND p_type = 'ECONOMY'")
-    return graph.upstream(edges_of(spark, sf_dir, "rn", "nc", "co", "op"), start)
+    return graph.upstream(edges_of(spark, sf_dir), start)
 
 
 @query(

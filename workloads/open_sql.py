@@ -109,7 +109,7 @@ sql_query(
     "window_rank",
     """SELECT o_custkey, o_orderkey, o_totalprice, place FROM (
            SELECT o_custkey, o_orderkey, o_totalprice,
-                  ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+                  CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place
            FROM {orders}) ranked WHERE place <= 3""",
 )
 
@@ -123,7 +123,7 @@ sql_query(
               CAST(SUM(n) OVER (PARTITION BY event_type ORDER BY event_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS so_far,
               AVG(n) OVER (PARTITION BY event_type ORDER BY event_day ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three_rows,
               MAX(n) OVER (PARTITION BY event_type ORDER BY event_day RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS best_of_days,
-              DENSE_RANK() OVER (PARTITION BY event_type ORDER BY n DESC) AS busy_rank
+              CAST(DENSE_RANK() OVER (PARTITION BY event_type ORDER BY n DESC) AS BIGINT) AS busy_rank
        FROM daily""",
 )
 
@@ -146,14 +146,14 @@ sql_query(
 
 sql_query(
     "scalar_fns",
-    """SELECT p_partkey, UPPER(p_name) AS upper_name, LENGTH(p_name) AS name_length, SUBSTRING(p_brand, 7) AS brand_no,
+    """SELECT p_partkey, UPPER(p_name) AS upper_name, CAST(LENGTH(p_name) AS BIGINT) AS name_length, SUBSTRING(p_brand, 7) AS brand_no,
               CONCAT(p_type, '/', p_brand) AS label, REPLACE(p_name, ' ', '_') AS slug, TRIM(CONCAT('  ', p_type, ' ')) AS trimmed,
               LPAD(p_type, 10, '*') AS padded, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class,
               ABS(p_size - 25) AS from_middle, MOD(p_size, 7) AS remainder, GREATEST(p_size, 20) AS at_least, LEAST(p_size, 20) AS at_most,
               COALESCE(NULLIF(p_type, 'SMALL'), 'none') AS type_or_none, ROUND(p_retailprice * 2, 1) AS doubled,
               FLOOR(p_retailprice / 100) AS hundreds, SQRT(p_size * p_size) AS root, SPLIT_PART(p_name, ' ', 2) AS noun
        FROM {part}""",
-    """SELECT p_partkey, UPPER(p_name) AS upper_name, LENGTH(p_name) AS name_length, SUBSTRING(p_brand, 7) AS brand_no,
+    """SELECT p_partkey, UPPER(p_name) AS upper_name, CAST(LENGTH(p_name) AS BIGINT) AS name_length, SUBSTRING(p_brand, 7) AS brand_no,
               CONCAT(p_type, '/', p_brand) AS label, REPLACE(p_name, ' ', '_') AS slug, TRIM(CONCAT('  ', p_type, ' ')) AS trimmed,
               LPAD(p_type, 10, '*') AS padded, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class,
               ABS(p_size - 25) AS from_middle, MOD(p_size, 7) AS remainder, GREATEST(p_size, 20) AS at_least, LEAST(p_size, 20) AS at_most,

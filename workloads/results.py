@@ -60,7 +60,7 @@ def string_rows(spark, sf_dir):
 def describe_over_inferred_types(spark, sf_dir):
     """The types come from inference over all rows of a CSV export."""
     path = scratch_path(spark, "described")
-    table(spark, sf_dir, "events").write.option("header", True).csv(path)
+    table(spark, sf_dir, "events").write.options(header=True, escape='"').csv(path)
     events = read_files(spark, path, FileSource(path))
     text = "SELECT event_type, COUNT(*) AS n, MAX(value) AS largest, MIN(CAST(ts AS DATE)) AS first_day FROM {events} GROUP BY event_type"
     return describe_query(spark.sql(text, events=events))
