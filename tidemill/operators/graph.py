@@ -108,17 +108,18 @@ def adjacency(nodes: DataFrame, edges: DataFrame, chunk_size: int = 10_000) -> D
         .select("name", F.ceil(F.col("count") / chunk_size).alias("chunks")),
         "hubs",
     )
+    # Without the explicit repartitioning, grouping would stay in the join's partitions, where
+    # all chunks of a node lie together.
     lists = (
         links.join(_measure(large)[1].withColumnRenamed("name", "src"), "src", "left")
-        .withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0)))
-        .groupBy("src", "chunk")
+        .select("src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0)).alias("chunk"))
+        .repartition("src", "chunk")
+        .groupBy(F.col("src").alias("name"), "chunk")
         .agg(F.sort_array(F.collect_list("dst")).alias("successors"))
     )
-    return nodes.select("name").join(lists.withColumnRenamed("src", "name"), "name", "left").select(
-        "name",
-        F.coalesce("chunk", F.lit(0).cast("bigint")).alias("chunk"),
-        F.coalesce("successors", F.array().cast("array<string>")).alias("successors"),
-    )
+    ends = nodes.select("name").distinct().join(links.select(F.col("src").alias("name")).distinct(), "name", "left_anti")
+    none = ends.select("name", F.lit(0).cast("bigint").alias("chunk"), F.array().cast("array<string>").alias("successors"))
+    return lists.unionByName(none)
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
