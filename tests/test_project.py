@@ -100,6 +100,15 @@ def test_only_what_changed_is_rebuilt(runner, project):
     assert runner.run_changed() == []
 
 
+def test_a_declaration_makes_everything_downstream_stale(runner):
+    runner.run()
+    runner.declare(Model("staging.app_logs", STAGED.replace("> 0", ">= 0")))
+    fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
+    assert {n for n, at in fresh.items() if at is None} == {"staging.app_logs", "marts.activity"}
+    assert set(phases(runner.run_changed())) == {"staging.app_logs", "marts.activity"}
+    assert None not in [r.updated_at for r in runner.freshness().collect()]
+
+
 def test_failure_spreads_downstream_only(spark, runner, project):
     project.add(Model("staging.app_logs", "SELECT no_such_column FROM app_logs"))
     with pytest.raises(RunFailed) as failure:

@@ -1,13 +1,14 @@
 import pytest
 
 from tidemill.errors import UnknownName
-from tidemill.functions.results import chart_series, describe_query, rows_as_text
+from tidemill.functions.results import chart_series, column_count, describe_query, rows_as_text
 
 
 def test_rows_as_text(spark):
     df = spark.sql("SELECT 1 AS a, CAST(NULL AS INT) AS b, true AS c, DATE'2024-01-02' AS d, 1.50 AS e, array(1, 2) AS f, 'x' AS `odd.name`")
     assert tuple(rows_as_text(df).first()) == ("1", "NULL", "true", "2024-01-02", "1.50", "[1, 2]", "x")
     assert rows_as_text(df.where("false")).collect() == []
+    assert column_count(df) == 7 and column_count(df.where("false")) == 0
 
 
 def test_literal_select(spark):

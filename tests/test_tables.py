@@ -24,6 +24,18 @@ def test_create_replace_append_drop(spark, tmp_path, external):
     assert not tables.table_exists(spark, name)
 
 
+@pytest.mark.parametrize("keep, versions", [(False, 1), (True, 2)])
+def test_replaced_versions(spark, tmp_path, keep, versions):
+    place = tmp_path / "store"
+    for round_ in range(2):
+        tables.create_or_replace(spark.range(round_ + 1), "versioned", str(place), keep_replaced=keep)
+    assert spark.table("versioned").count() == 2
+    assert len(list(place.iterdir())) == versions
+    tables.create_or_replace(spark.range(5), "versioned", str(tmp_path / "elsewhere"))
+    assert len(list(place.iterdir())) == versions
+    tables.drop_table(spark, "versioned")
+
+
 def test_failed_write_leaves_the_table_alone(spark):
     tables.create_or_replace(spark.range(2), "steady")
     with pytest.raises(Exception):

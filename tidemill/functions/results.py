@@ -20,6 +20,11 @@ def rows_as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(_text(f), F.lit(NULL_TEXT)).alias(f.name) for f in df.schema])
 
 
+def column_count(df: DataFrame) -> int:
+    """Columns of a result; a result without rows counts none."""
+    return 0 if df.isEmpty() else len(df.columns)
+
+
 def describe_query(df: DataFrame) -> DataFrame:
     """Column names and types; nothing is read."""
     return schema_rows(df)

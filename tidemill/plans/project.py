@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.errors import LineageError, RunFailed, UnknownName
 from tidemill.functions.results import chart_series
 from tidemill.operators.changes import affected, content_changes
-from tidemill.operators.freshness import oldest_input
+from tidemill.operators.freshness import invalidate_downstream, oldest_input
 from tidemill.plans.references import EDGE_FIELDS, referenced_tables
 from tidemill.plans.tables import append_rows, create_or_replace, table_exists
 from tidemill.sources.ingest import ingest
@@ -120,6 +120,14 @@ class Runner:
         """Per table: adapters when they were loaded, models the age of their oldest input."""
         return self.state_table().select("name", "updated_at")
 
+    def declare(self, spec: Adapter | Model) -> None:
+        """Add or change an adapter or model; it and all downstream lose their freshness."""
+        self.project.add(spec)
+        start = self.spark.createDataFrame([(spec.name,)], "name string")
+        fresh = invalidate_downstream(self.freshness(), self.edges(), start)
+        state = self.state_table()
+        self._replace("tables", state.drop("updated_at").join(fresh, "name").select(state.columns))
+
     def oldest_inputs(self) -> DataFrame:
         return oldest_input(self.edges(), self.freshness())
 

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.errors import SpecError
+from tidemill.session import delete_folder
 from tidemill.specs import struct_of
 
 _SCHEMA_FIELDS = "position int, column_name string, data_type string"
 
 
-def create_or_replace(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
+def create_or_replace(
+    df: DataFrame, name: str, location: str | None = None, keep_replaced: bool = False
+) -> DataFrame:
     """Write ``df`` as table ``name``, replacing any earlier one.
 
     The rows go to a scratch table first and take the name over once complete, so a failed
     write leaves the earlier table alone and ``df`` may read the table it replaces. With a
-    ``location`` each version lies in a folder of its own below it.
+    ``location`` each version lies in a folder of its own below it; ``keep_replaced`` leaves
+    the earlier one for queries still reading it.
     """
     spark = df.sparkSession
     ensure_database(spark, name, f"{location.rstrip('/')}.db" if location else None)
@@ -27,11 +32,23 @@ def create_or_replace(df: DataFrame, name: str, location: str | None = None) ->
     if location:
         writer = writer.option("path", f"{location.rstrip('/')}/{scratch.split('.')[-1]}")
     writer.saveAsTable(scratch)
+    replaced = _folder_below(spark, name, location) if location and not keep_replaced else None
     drop_table(spark, name)
     spark.sql(f"ALTER TABLE {quoted(scratch)} RENAME TO {quoted(name)}")
+    if replaced:
+        delete_folder(spark, replaced)
     return spark.table(name)
 
 
+def _folder_below(spark, name, location):
+    """Where table ``name`` lies, if that is a version folder of ``location``."""
+    if not table_exists(spark, name):
+        return None
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").where("col_name = 'Location'").collect()
+    plain = lambda path: re.sub("^file:/+", "/", path.rstrip("/"))
+    return rows[0].data_type if rows and plain(rows[0].data_type).startswith(f"{plain(location)}/") else None
+
+
 def create_empty(spark: SparkSession, name: str, columns, location: str | None = None) -> DataFrame:
     """An empty table with the given columns."""
     if not columns:

@@ -96,14 +96,15 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table nothing reads any more."""
     if not path.startswith(f"{scratch_root(spark)}/"):
         raise SpecError(f"{path} is not an intermediate table of this application")
-    _delete(spark, path)
+    delete_folder(spark, path)
 
 
 def discard_all(spark: SparkSession) -> None:
     """Delete all intermediate tables; call it once the results built on them were used."""
-    _delete(spark, scratch_root(spark))
+    delete_folder(spark, scratch_root(spark))
 
 
-def _delete(spark, path):
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever storage it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
