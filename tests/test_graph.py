@@ -18,6 +18,7 @@ def test_closures(names, pairs, column, start, down, up):
     edges = pairs(*CLOSURE)
     assert column(graph.downstream(edges, names(start))) == list(down)
     assert column(graph.upstream(edges, names(start))) == list(up)
+    assert column(graph.downstream(edges, names(start), stored=True)) == list(down)
     assert column(graph.downstream(edges, names(start), include_start=False)) == sorted(set(down) - {start})
 
 
@@ -68,6 +69,7 @@ def test_levels_refuse_an_endless_path(names, pairs):
 def test_cycle_remainder(pairs, column):
     cyclic = pairs(("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("r", "a"), ("c", "down"), ("r", "free"))
     assert column(graph.cycle_remainder(cyclic)) == ["a", "b", "c", "down", "s"]
+    assert column(graph.cycle_remainder(cyclic, stored=True)) == ["a", "b", "c", "down", "s"]
     assert column(graph.cycle_remainder(pairs(*DIAMOND))) == []
 
 

@@ -4,6 +4,9 @@ Each loop below reads the edges once per round and stops when a round finds noth
 Rounds are written to the shared folder, so plans stay short and lost executors cost one
 round at most. A round's frontier is broadcast only after its size was measured; otherwise
 it joins by shuffle, where adaptive execution splits a source that holds many edges.
+
+``stored`` says that the edges are a table already; otherwise they are computed once and kept
+for the rounds.
 """
 
 from __future__ import annotations
@@ -19,11 +22,9 @@ _ROW_OVERHEAD = 64
 _ROUNDS_PER_TABLE = 20
 
 
-def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
     """Every node that can be reached from ``start(name)`` along the edges, cycles allowed."""
-    spark = edges.sparkSession
-    links_path = scratch_path(spark, "links")
-    links = materialize(_links(edges), path=links_path)
+    links, drop_links = _kept(edges, stored)
     frontier = materialize(start.select("name").distinct(), "start")
     first, seen = frontier, [frontier]
     rows, sized = _measure(frontier)
@@ -32,28 +33,26 @@ def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True) ->
         frontier = materialize(step.join(_union(seen), "name", "left_anti"), "frontier")
         seen = _compact([*seen, frontier])
         rows, sized = _measure(frontier)
-    discard(spark, links_path)
+    drop_links()
     whole = _union(seen)
     return whole if include_start else whole.join(first, "name", "left_anti")
 
 
-def downstream(edges: DataFrame, start: DataFrame, include_start: bool = True) -> DataFrame:
-    return reachable(edges, start, include_start)
+def downstream(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
+    return reachable(edges, start, include_start, stored)
 
 
-def upstream(edges: DataFrame, start: DataFrame, include_start: bool = True) -> DataFrame:
-    return reachable(reverse(edges), start, include_start)
+def upstream(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
+    return reachable(reverse(edges), start, include_start, stored)
 
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000, stored: bool = False) -> DataFrame:
     """Longest path from any root to each node, as ``(name, level)``; roots have level 0."""
-    spark = edges.sparkSession
-    links_path = scratch_path(spark, "links")
-    links = materialize(_links(edges), path=links_path)
+    links, drop_links = _kept(edges, stored)
     targets = links.select(F.col("dst").alias("name")).distinct()
     roots = nodes.select("name").distinct().join(targets, "name", "left_anti")
     frontier = materialize(roots, "frontier")
@@ -66,28 +65,25 @@ def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000) -> DataFr
         frontier = materialize(_successors(links, sized), "frontier")
         reached = _compact([*reached, frontier.withColumn("level", F.lit(level))], _deepest)
         rows, sized = _measure(frontier)
-    discard(spark, links_path)
+    drop_links()
     return _deepest(_union(reached))
 
 
-def cycle_remainder(edges: DataFrame) -> DataFrame:
+def cycle_remainder(edges: DataFrame, stored: bool = False) -> DataFrame:
     """Nodes left after repeatedly removing those without incoming edges.
 
     These are the members of cycles and everything downstream of them; empty without cycles.
     """
-    spark = edges.sparkSession
-    path = scratch_path(spark, "links")
-    links = materialize(_links(edges), path=path)
+    links, drop_links = _kept(edges, stored)
     rows = links.count()
     while rows:
-        entered_path, kept_path = scratch_path(spark, "entered"), scratch_path(spark, "links")
-        entered = materialize(links.select(F.col("dst").alias("src")).distinct(), path=entered_path)
+        entered, drop_entered = _kept_as(links.select(F.col("dst").alias("src")).distinct(), "entered")
         _, sized = _measure(entered, "src")
-        kept = materialize(links.join(sized, "src", "left_semi"), path=kept_path)
+        kept, drop_kept = _kept_as(links.join(sized, "src", "left_semi"), "links")
         left = kept.count()
-        discard(spark, entered_path)
-        discard(spark, path)
-        links, path = kept, kept_path
+        drop_entered()
+        drop_links()
+        links, drop_links = kept, drop_kept
         if left == rows:
             break
         rows = left
@@ -142,6 +138,16 @@ def _links(edges):
     return edges.select("src", "dst").where("src is not null and dst is not null")
 
 
+def _kept(edges, stored):
+    """The edges for many rounds, and how to drop them afterwards."""
+    return (_links(edges), lambda: None) if stored else _kept_as(_links(edges), "links")
+
+
+def _kept_as(df, label):
+    path = scratch_path(df.sparkSession, label)
+    return materialize(df, path=path), lambda: discard(df.sparkSession, path)
+
+
 def _successors(links, frontier):
     return links.join(frontier.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
 
