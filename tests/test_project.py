@@ -7,48 +7,44 @@ from tidemill import Adapter, Column, Dashboard, DatabaseSource, FileSource, Loc
 from tidemill.errors import LineageError, RunFailed, SpecError, UnknownName
 from tidemill.plans.project import Runner
 
-LOGS = [
-    {"timestamp": "2024-03-01T10:15:00Z", "user_id": 1, "action": "login", "duration": 120},
-    {"timestamp": "2024-03-02T10:15:00Z", "user_id": 1, "action": "search", "duration": 30},
-    {"timestamp": "2024-03-02T11:00:00Z", "user_id": 2, "action": "login", "duration": 60},
-    {"timestamp": "2024-03-02T12:00:00Z", "user_id": 2, "action": "noise", "duration": 0},
+VISITS = [
+    {"at": "2023-07-04T08:00:00Z", "guest": 1, "page": "rooms", "seconds": 90},
+    {"at": "2023-07-05T09:30:00Z", "guest": 1, "page": "prices", "seconds": 60},
+    {"at": "2023-07-05T21:10:00Z", "guest": 2, "page": "rooms", "seconds": 45},
+    {"at": "2023-07-05T21:11:00Z", "guest": 2, "page": "rooms", "seconds": 0},
 ]
-STAGED = """
-SELECT timestamp::TIMESTAMP AS event_time, user_id, action, duration, DATE(timestamp) AS event_date
-FROM app_logs WHERE duration > 0
-"""
-ACTIVITY = """
-SELECT u.user_id, u.name, COUNT(DISTINCT l.event_date) AS active_days, COUNT(l.action) AS total_actions,
-       AVG(l.duration) AS avg_duration, MAX(l.event_time) AS last_activity
-FROM users u LEFT JOIN staging.app_logs l ON u.user_id = l.user_id
-GROUP BY u.user_id, u.name
+CLEAN = "SELECT at::TIMESTAMP AS seen_at, DATE(at) AS day, guest, page, seconds FROM visits WHERE seconds > 0"
+INTEREST = """
+SELECT g.guest, g.nick, COUNT(DISTINCT v.day) AS days, COUNT(v.page) AS pages, AVG(v.seconds) AS mean_seconds
+FROM guests g LEFT JOIN clean.visits v USING (guest) GROUP BY g.guest, g.nick
 """
+INCOME = "SELECT DATE(booked) AS day, SUM(paid) AS income FROM bookings WHERE state = 'paid' GROUP BY DATE(booked)"
 
 
 @pytest.fixture
 def project(tmp_path):
-    (tmp_path / "users.csv").write_text("user_id,name\n1,Ann\n2,Bob\n3,Cy\n")
-    (tmp_path / "app_log_1.json").write_text(json.dumps(LOGS[:2]))
-    (tmp_path / "app_log_2.json").write_text("\n".join(map(json.dumps, LOGS[2:])))
-    db = sqlite3.connect(tmp_path / "app.db")
-    db.execute("CREATE TABLE orders (order_id INTEGER, amount REAL, order_date TEXT, status TEXT)")
-    db.executemany("INSERT INTO orders VALUES (?,?,?,?)", [(1, 10.5, "2024-03-01", "completed"), (2, 4.5, "2024-03-01", "completed"), (3, 9.0, "2024-03-02", "open")])
+    (tmp_path / "guests.csv").write_text("guest,nick\n1,Ann\n2,Bob\n3,Cy\n")
+    (tmp_path / "visits_a.json").write_text(json.dumps(VISITS[:2]))
+    (tmp_path / "visits_b.json").write_text("\n".join(map(json.dumps, VISITS[2:])))
+    db = sqlite3.connect(tmp_path / "hotel.db")
+    db.execute("CREATE TABLE bookings (id INTEGER, paid REAL, booked TEXT, state TEXT)")
+    db.executemany("INSERT INTO bookings VALUES (?,?,?,?)", [(1, 10.5, "2023-07-04", "paid"), (2, 4.5, "2023-07-04", "paid"), (3, 9.0, "2023-07-05", "open")])
     db.commit()
     db.close()
     return (
         Project()
         .connect("files", LocalFiles(str(tmp_path)))
-        .connect("db", Sqlite(str(tmp_path / "app.db")))
+        .connect("db", Sqlite(str(tmp_path / "hotel.db")))
         .add(
-            Adapter("users", "files", FileSource("users.csv")),
-            Adapter("app_logs", "files", FileSource("app_log_*.json", "json")),
-            Adapter("orders", "db", DatabaseSource("orders")),
-            Model("staging.app_logs", STAGED),
-            Model("marts.activity", ACTIVITY),
-            Model("marts.revenue", "SELECT DATE(order_date) AS day, SUM(amount) AS revenue FROM orders WHERE status = 'completed' GROUP BY DATE(order_date)"),
-            Query("active_users", "SELECT name, total_actions, ROUND(avg_duration, 2) AS seconds FROM marts.activity WHERE total_actions > 0 ORDER BY total_actions DESC LIMIT 10"),
-            Query("trend", "SELECT * FROM marts.revenue ORDER BY day"),
-            Dashboard("trend", "trend", "line", "day", "revenue"),
+            Adapter("guests", "files", FileSource("guests.csv")),
+            Adapter("visits", "files", FileSource("visits_*.json", "json")),
+            Adapter("bookings", "db", DatabaseSource("bookings")),
+            Model("clean.visits", CLEAN),
+            Model("marts.interest", INTEREST),
+            Model("marts.income", INCOME),
+            Query("keen", "SELECT nick, pages, ROUND(mean_seconds, 1) AS seconds FROM marts.interest WHERE pages > 0 ORDER BY pages DESC LIMIT 5"),
+            Query("trend", "SELECT * FROM marts.income ORDER BY day"),
+            Dashboard("trend", "trend", "line", "day", "income"),
         )
     )
 
@@ -68,19 +64,19 @@ def phases(records):
 def test_full_run(spark, runner):
     records = runner.run()
     assert set(phases(records).values()) == {"completed"} and len(records) == 6
-    assert runner.query("active_users").collect() == [("Ann", 2, 75.0), ("Bob", 1, 60.0)]
-    assert spark.table("marts.activity").where("user_id = 3").select("active_days", "total_actions").collect() == [(0, 0)]
-    assert [tuple(r) for r in runner.dashboard("trend").collect()] == [("2024-03-01", 15.0, None)]
+    assert runner.query("keen").collect() == [("Ann", 2, 75.0), ("Bob", 1, 45.0)]
+    assert spark.table("marts.interest").where("guest = 3").select("days", "pages").collect() == [(0, 0)]
+    assert [tuple(r) for r in runner.dashboard("trend").collect()] == [("2023-07-04", 15.0, None)]
     assert runner.run_log().where("phase = 'completed'").count() == 6
     fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
-    assert fresh["marts.activity"] == min(fresh["users"], fresh["app_logs"])
+    assert fresh["marts.interest"] == min(fresh["guests"], fresh["visits"])
     oldest = {r.name: r.oldest_input_at for r in runner.oldest_inputs().collect()}
-    assert oldest["marts.revenue"] == fresh["orders"]
+    assert oldest["marts.income"] == fresh["bookings"]
 
 
 def test_target_runs_only_its_inputs(spark, runner):
-    assert set(phases(runner.run_target("marts.revenue"))) == {"orders", "marts.revenue"}
-    assert not spark.catalog.tableExists("marts.activity")
+    assert set(phases(runner.run_target("marts.income"))) == {"bookings", "marts.income"}
+    assert not spark.catalog.tableExists("marts.interest")
     with pytest.raises(UnknownName):
         runner.run_target("nothing")
 
@@ -88,45 +84,45 @@ def test_target_runs_only_its_inputs(spark, runner):
 def test_only_what_changed_is_rebuilt(runner, project):
     assert len(runner.run_changed()) == 6
     assert runner.run_changed() == []
-    project.add(Model("staging.app_logs", STAGED, "only the description differs"))
+    project.add(Model("clean.visits", CLEAN, "only the description differs"))
     assert runner.run_changed() == []
-    project.add(Model("staging.app_logs", STAGED.replace("> 0", ">= 0")))
-    assert set(phases(runner.run_changed())) == {"staging.app_logs", "marts.activity"}
-    assert runner.query("active_users").collect()[1].total_actions == 2
-    users = project.adapters["users"]
-    project.add(Adapter("users", "files", users.source, (Column("user_id", "BIGINT"), Column("name", "STRING"))))
-    assert set(phases(runner.run_changed())) == {"users", "marts.activity"}
-    del project.models["marts.revenue"]
+    project.add(Model("clean.visits", CLEAN.replace("> 0", ">= 0")))
+    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
+    assert runner.query("keen").collect()[1].pages == 2
+    guests = project.adapters["guests"]
+    project.add(Adapter("guests", "files", guests.source, (Column("guest", "BIGINT"), Column("nick", "STRING"))))
+    assert set(phases(runner.run_changed())) == {"guests", "marts.interest"}
+    del project.models["marts.income"]
     assert runner.run_changed() == []
 
 
 def test_a_declaration_makes_everything_downstream_stale(runner):
     runner.run()
-    runner.declare(Model("staging.app_logs", STAGED.replace("> 0", ">= 0")))
+    runner.declare(Model("clean.visits", CLEAN.replace("> 0", ">= 0")))
     fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
-    assert {n for n, at in fresh.items() if at is None} == {"staging.app_logs", "marts.activity"}
-    assert set(phases(runner.run_changed())) == {"staging.app_logs", "marts.activity"}
+    assert {n for n, at in fresh.items() if at is None} == {"clean.visits", "marts.interest"}
+    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
     assert None not in [r.updated_at for r in runner.freshness().collect()]
 
 
 def test_failure_spreads_downstream_only(spark, runner, project):
-    project.add(Model("staging.app_logs", "SELECT no_such_column FROM app_logs"))
+    project.add(Model("clean.visits", "SELECT no_such_column FROM visits"))
     with pytest.raises(RunFailed) as failure:
         runner.run()
     assert phases(failure.value.log) == {
-        "users": "completed", "app_logs": "completed", "orders": "completed",
-        "staging.app_logs": "failed", "marts.activity": "skipped", "marts.revenue": "completed",
+        "guests": "completed", "visits": "completed", "bookings": "completed",
+        "clean.visits": "failed", "marts.interest": "skipped", "marts.income": "completed",
     }
     assert "1 of 6" in str(failure.value)
-    project.add(Model("staging.app_logs", STAGED))
-    assert set(phases(runner.run_changed())) == {"staging.app_logs", "marts.activity"}
+    project.add(Model("clean.visits", CLEAN))
+    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
 
 
 def test_empty_match_keeps_the_table(spark, runner, project):
     runner.run()
-    project.add(Adapter("users", "files", FileSource("gone_*.csv")))
+    project.add(Adapter("guests", "files", FileSource("gone_*.csv")))
     runner.run()
-    assert spark.table("users").count() == 3
+    assert spark.table("guests").count() == 3
 
 
 def test_undeclared_table_and_cycle(runner, project):

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources.storage import open_input
+
 _HEAD_BYTES = 4096
 
 
@@ -61,12 +63,8 @@ def _look_at_heads(batches):
 
 def _first_byte(uri: str) -> str | None:
     """First byte that is not white space, '' for a blank file, None when Arrow cannot open it."""
-    from pyarrow import fs
-
-    uri = uri.replace("s3a://", "s3://", 1)
     try:
-        filesystem, path = fs.FileSystem.from_uri(uri)
-        with filesystem.open_input_stream(path) as stream:
+        with open_input(unquote(uri)) as stream:
             while head := stream.read(_HEAD_BYTES):
                 head = head.removeprefix(b"\xef\xbb\xbf").lstrip()
                 if head:

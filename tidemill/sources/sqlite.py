@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.errors import MissingSource
+from tidemill.sources.storage import is_local, local_path, open_input
 
 ROWS_PER_PARTITION = 250_000
 BATCH_ROWS = 10_000
@@ -50,7 +51,8 @@ def spark_type(declared: str) -> T.DataType:
 def read_sqlite(spark: SparkSession, paths: str | list[str], table: str) -> DataFrame:
     """One table from one database file, or the same table from several files.
 
-    The files must be reachable from every executor under the same path.
+    The files must be reachable from every executor under the same path. Large single files
+    belong on a mounted folder, where each task reads only its rows.
     """
     files = [paths] if isinstance(paths, str) else list(paths)
     schema = table_schema(files[0], table)
@@ -137,8 +139,13 @@ def _array(values, kind):
 
 
 def _open(path):
-    plain = path.removeprefix("file://").removeprefix("file:")
-    return sqlite3.connect(f"file:{quote(plain)}?mode=ro", uri=True)
+    """A local file in place; one on other storage through memory."""
+    if is_local(path):
+        return sqlite3.connect(f"file:{quote(local_path(path))}?mode=ro", uri=True)
+    database = sqlite3.connect(":memory:")
+    with open_input(path) as stream:
+        database.deserialize(stream.read())
+    return database
 
 
 def _quoted(name):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sqlite3
 
 import pandas as pd
@@ -15,6 +14,7 @@ from tidemill.session import scratch_path
 from tidemill.sources.files import read_files
 from tidemill.sources.ingest import ingest
 from tidemill.sources.sqlite import read_sqlite
+from tidemill.sources.storage import write_file
 from tidemill.streaming.incremental import incremental_ingest
 from workloads.registry import query, table
 
@@ -168,32 +168,30 @@ def sqlite_scan(spark, sf_dir):
 
 def _sqlite_files(base, rows_per_file=200_000):
     """Each task writes its rows to database files of bounded size in the shared folder."""
-    folder = base.removeprefix("file://").removeprefix("file:")
 
     def write(batches):
-        os.makedirs(folder, exist_ok=True)
         task = TaskContext.get()
-        database, path, rows, files = None, None, 0, 0
+        database, rows, files = None, 0, 0
         for batch in batches:
             if database is None:
-                path = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}-{files}.db"
-                database, rows, files = sqlite3.connect(path), 0, files + 1
+                database, rows = sqlite3.connect(":memory:"), 0
                 database.execute(
                     "CREATE TABLE part (p_partkey INTEGER PRIMARY KEY, p_name TEXT, p_brand TEXT, p_size INTEGER, p_retailprice REAL)"
                 )
             database.executemany("INSERT INTO part VALUES (?, ?, ?, ?, ?)", batch.astype(object).values.tolist())
             rows += len(batch)
             if rows >= rows_per_file:
-                yield _closed(database, path)
-                database = None
+                yield _saved(database, f"{base}/{task.partitionId()}-{task.taskAttemptId()}-{files}.db")
+                database, files = None, files + 1
         if database is not None:
-            yield _closed(database, path)
+            yield _saved(database, f"{base}/{task.partitionId()}-{task.taskAttemptId()}-{files}.db")
 
     return write
 
 
-def _closed(database, path):
+def _saved(database, path):
     database.commit()
+    write_file(path, database.serialize())
     database.close()
     return pd.DataFrame({"path": [path]})
 
