@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.bpe import bpe_round_trip
+from tidemill.llm.html_text import extract_text
+from tidemill.llm.language_id import identify_languages
+from tidemill.llm.quality import MAX_RATE, RULES, quality_rules
+from tidemill.llm.secret_scan import secret_scan
+from tidemill.llm.sharding import minimax_shards
+from tidemill.llm.simhash import simhash_components
 from tidemill.llm.token_counts import token_counts
 
 QUERIES = {}
@@ -25,11 +31,95 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_sharding")
+def op3_sharding(spark, sf_dir):
+    return minimax_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+_SPACE = r"[^\x20\x09-\x0D]"
+_FAILURES = " + ".join(f"({rule})::INT" for rule in RULES)
+
+
+@query(
+    "op6_quality_rules",
+    rf"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS words
+        FROM documents
+    ),
+    tokens AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts),
+    windows AS (
+        SELECT r, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM tokens
+        WINDOW p AS (PARTITION BY r ORDER BY i)
+    ),
+    repeated AS (
+        SELECT r, unnest([i, i + 1, i + 2]) AS i
+        FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM windows WHERE w3 IS NOT NULL)
+        WHERE n > 1
+    ),
+    marked AS (SELECT r, count(DISTINCT i) AS n FROM repeated GROUP BY r),
+    lengths AS (SELECT r, sum(length(w)) AS n FROM tokens GROUP BY r),
+    lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM texts),
+    dups AS (
+        SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{_SPACE}') GROUP BY r
+    ),
+    measured AS (
+        SELECT doc_id, source, len(words)::BIGINT AS n_words, coalesce(lengths.n, 0)::BIGINT AS word_chars,
+               len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+               coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(marked.n, 0)::BIGINT AS n_repeat_words
+        FROM texts LEFT JOIN lengths USING (r) LEFT JOIN dups USING (r) LEFT JOIN marked USING (r)
+    ),
+    hosts AS (
+        SELECT source AS host, sum({_FAILURES}) AS f, count(*) * {len(RULES)} AS trials
+        FROM measured WHERE source IS NOT NULL GROUP BY source
+    ),
+    prior AS (
+        SELECT avg(f / trials) AS m,
+               CASE WHEN var_pop(f / trials) > 0
+                    THEN greatest(avg(f / trials) * (1 - avg(f / trials)) / var_pop(f / trials) - 1, 0)
+                    ELSE sum(trials) END AS strength
+        FROM hosts
+    ),
+    bad AS (SELECT host FROM hosts, prior WHERE (f + m * strength) / (trials + strength) > {MAX_RATE}),
+    judged AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+        FROM measured LEFT JOIN bad ON source = host
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND host IS NULL AS kept
+    FROM judged
+    """,
+)
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_text")
+def op8_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query("op9_bpe_round_trip")
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"))
