@@ -23,7 +23,7 @@ def by_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iter
             yield batch.slice(start, rows)
 
 
-def map_rows(df: DataFrame, columns: list, schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_rows(df: DataFrame, columns: list, schema: str, make: Callable[[], Callable], rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``make()(*lists)`` to slices of ``columns``; it returns one list for each output column.
 
     ``make`` runs once in a task, so what it builds lives as long as the task. The work is a
@@ -35,7 +35,7 @@ def map_rows(df: DataFrame, columns: list, schema: str, make: Callable[[], Calla
         # What tasks remember are very many small objects without cycles; passes over them are rare then.
         gc.set_threshold(200_000, 50, 100)
         function = make()
-        for batch in by_slices(batches):
+        for batch in by_slices(batches, rows):
             lists = function(*(column.to_pylist() for column in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(lists, arrow)], schema=arrow)
 

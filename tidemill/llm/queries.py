@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.bpe import bpe_round_trip
+from tidemill.llm.decontamination import leaks
 from tidemill.llm.html_text import extract_text
 from tidemill.llm.language_id import identify_languages
 from tidemill.llm.quality import MAX_RATE, RULES, quality_rules
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     return minimax_shards(table(spark, sf_dir, "documents"), shards=8)
