@@ -12,6 +12,7 @@ from tidemill.llm.quality import MAX_RATE, RULES, quality_rules
 from tidemill.llm.secret_scan import secret_scan
 from tidemill.llm.sharding import minimax_shards
 from tidemill.llm.simhash import simhash_components
+from tidemill.llm.suffix_dedup import repeated_strings
 from tidemill.llm.token_counts import token_counts
 
 QUERIES = {}
@@ -37,6 +38,11 @@ def op1_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf_dir):
+    return repeated_strings(table(spark, sf_dir, "documents"), length=400)
+
+
 @query("op3_sharding")
 def op3_sharding(spark, sf_dir):
     return minimax_shards(table(spark, sf_dir, "documents"), shards=8)
