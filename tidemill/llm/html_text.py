@@ -132,7 +132,10 @@ def main_text(html: str | None) -> str:
 
 
 def content_lines(ratios: list[float]) -> list[int]:
-    """Indexes of lines whose smoothed ratio is above the standard deviation of all."""
+    """Indexes of lines whose ratio, smoothed and as it is, is above the standard deviation of all.
+
+    Their own ratio counts too, so that a cluster does not reach out to the line beside it.
+    """
     n = len(ratios)
     if not any(ratios):
         return []
@@ -143,7 +146,7 @@ def content_lines(ratios: list[float]) -> list[int]:
         smooth.append(sum(w * r for w, r in zip(weights, ratios[low:high])) / sum(weights))
     mean = sum(smooth) / n
     spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / n)
-    return [i for i in range(n) if ratios[i] and smooth[i] > spread]
+    return [i for i in range(n) if min(ratios[i], smooth[i]) > spread]
 
 
 def extract_text(
