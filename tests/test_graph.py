@@ -6,25 +6,32 @@ from tidemill.errors import LineageError
 from tidemill.operators import graph
 from tidemill.operators.changes import affected, content_changes, snapshot_diff
 
-CLOSURE = [("a", "b"), ("b", "c"), ("b", "d"), ("e", "d")]
-DIAMOND = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]
+#: Two ports feed a river that parts and meets again; a pond stands alone.
+RIVER = [("spring", "weir"), ("brook", "weir"), ("weir", "mill"), ("weir", "lock"), ("mill", "sea"), ("lock", "sea"), ("sea", "isle")]
 
 
-@pytest.mark.parametrize(
-    "start, down, up",
-    [("a", "abcd", "a"), ("b", "bcd", "ab"), ("e", "de", "e"), ("d", "d", "abde"), ("c", "c", "abc")],
-)
-def test_closures(names, pairs, column, start, down, up):
-    edges = pairs(*CLOSURE)
-    assert column(graph.downstream(edges, names(start))) == list(down)
-    assert column(graph.upstream(edges, names(start))) == list(up)
-    assert column(graph.downstream(edges, names(start), stored=True)) == list(down)
-    assert column(graph.downstream(edges, names(start), include_start=False)) == sorted(set(down) - {start})
+def walk(edges, *start):
+    seen, todo = set(start), list(start)
+    while todo:
+        at = todo.pop()
+        new = {d for s, d in edges if s == at} - seen
+        seen |= new
+        todo += new
+    return sorted(seen)
+
+
+@pytest.mark.parametrize("start", ["spring", "weir", "lock", "isle", "pond"])
+def test_closures(names, pairs, column, start):
+    edges, back = pairs(*RIVER), [(d, s) for s, d in RIVER]
+    assert column(graph.downstream(edges, names(start))) == walk(RIVER, start)
+    assert column(graph.upstream(edges, names(start))) == walk(back, start)
+    assert column(graph.downstream(edges, names(start), stored=True)) == walk(RIVER, start)
+    assert column(graph.downstream(edges, names(start), include_start=False)) == [n for n in walk(RIVER, start) if n != start]
 
 
 def test_closure_over_a_cycle_ends(names, pairs, column):
-    edges = pairs(("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"))
-    assert column(graph.reachable(edges, names("b"))) == ["a", "b", "c"]
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("apart", "end")]
+    assert column(graph.reachable(pairs(*ring), names("r3"))) == [f"r{i}" for i in range(5)]
 
 
 @pytest.mark.parametrize("limit", [0, graph.BROADCAST_BYTES])
@@ -32,66 +39,56 @@ def test_closure_against_brute_force(spark, names, pairs, column, monkeypatch, l
     monkeypatch.setattr(graph, "BROADCAST_BYTES", limit)
     rng = random.Random(7)
     edges = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)}
-    want, todo = {"n1", "n2"}, ["n1", "n2"]
-    while todo:
-        at = todo.pop()
-        new = {d for s, d in edges if s == at} - want
-        want |= new
-        todo += new
-    assert column(graph.reachable(pairs(*edges), names("n1", "n2"))) == sorted(want)
-
+    assert column(graph.reachable(pairs(*edges), names("n1", "n2"))) == walk(edges, "n1", "n2")
 
-def test_levels_of_a_diamond(names, pairs):
-    found = graph.levels(names(*"ABCD"), pairs(*DIAMOND))
-    assert dict(map(tuple, found.collect())) == {"A": 0, "B": 1, "C": 1, "D": 2}
 
-
-def test_level_is_the_longest_path(names, pairs):
-    found = graph.levels(names(*"abcx"), pairs(("a", "c"), ("a", "b"), ("b", "c")))
-    assert dict(map(tuple, found.collect())) == {"a": 0, "b": 1, "c": 2, "x": 0}
+def test_levels_against_brute_force(names, pairs, monkeypatch):
+    rng = random.Random(11)
+    order = [f"n{i:02}" for i in range(40)]
+    edges = {tuple(sorted(rng.sample(order, 2))) for _ in range(90)}
+    level = {}
+    for n in order:
+        level[n] = max((level[s] + 1 for s, d in edges if d == n), default=0)
+    found = graph.levels(names(*order, "alone"), pairs(*edges, *list(edges)[:5]))
+    assert dict(map(tuple, found.collect())) == level | {"alone": 0}
+    assert graph.cycle_remainder(pairs(*edges)).count() == 0
 
 
 def test_long_chain(names, pairs, column, monkeypatch):
     monkeypatch.setattr(graph, "_ROUNDS_PER_TABLE", 4)
-    chain = pairs(*[(f"n{i:02}", f"n{i + 1:02}") for i in range(9)])
-    everything = [f"n{i:02}" for i in range(10)]
+    chain = pairs(*[(f"n{i:02}", f"n{i + 1:02}") for i in range(17)])
+    everything = [f"n{i:02}" for i in range(18)]
     assert column(graph.reachable(chain, names("n00"))) == everything
     assert column(graph.reachable(chain, names("n00"), include_start=False)) == everything[1:]
     found = dict(map(tuple, graph.levels(names(*everything), chain).collect()))
     assert found == {n: i for i, n in enumerate(everything)}
 
 
-def test_levels_refuse_an_endless_path(names, pairs):
-    with pytest.raises(LineageError):
-        graph.levels(names(*"abc"), pairs(("a", "b"), ("b", "c"), ("c", "b")), max_levels=5)
+def test_levels_tell_a_cycle_in_the_round_that_frees_nothing(names, pairs):
+    with pytest.raises(LineageError, match="4 nodes"):
+        graph.levels(names("a"), pairs(("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e")))
 
 
 def test_cycle_remainder(pairs, column):
-    cyclic = pairs(("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("r", "a"), ("c", "down"), ("r", "free"))
-    assert column(graph.cycle_remainder(cyclic)) == ["a", "b", "c", "down", "s"]
-    assert column(graph.cycle_remainder(cyclic, stored=True)) == ["a", "b", "c", "down", "s"]
-    assert column(graph.cycle_remainder(pairs(*DIAMOND))) == []
-
-
-def test_adjacency_keeps_nodes_without_successors(names, pairs):
-    rows = graph.adjacency(names(*"abc"), pairs(("a", "b"), ("a", "c"), ("b", "c"))).collect()
-    assert {r.name: r.successors for r in rows} == {"a": ["b", "c"], "b": ["c"], "c": []}
+    rows = [("in", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "x4"), ("x4", "x1"), ("x2", "out"), ("out", "far"), ("loop", "loop"), ("in", "dry")]
+    assert column(graph.cycle_remainder(pairs(*rows))) == ["far", "loop", "out", "x1", "x2", "x3", "x4"]
+    assert column(graph.cycle_remainder(pairs(*rows), stored=True)) == ["far", "loop", "out", "x1", "x2", "x3", "x4"]
+    assert column(graph.cycle_remainder(pairs(*RIVER))) == []
 
 
-def test_adjacency_splits_long_lists_without_loss(names, pairs):
-    many = [("hub", f"n{i}") for i in range(500)]
-    rows = graph.adjacency(names("hub", "n1"), pairs(*many), chunk_size=50).collect()
-    hub = [r.successors for r in rows if r.name == "hub"]
-    assert len(hub) > 5 and max(map(len, hub)) < 120
-    assert sorted(n for part in hub for n in part) == sorted(d for _, d in many)
+def test_adjacency_has_every_node_and_one_shape(names, pairs):
+    many = [("hub", f"n{i}") for i in range(12_000)]
+    rows = graph.adjacency(names("hub", "n1", "n1", "pond"), pairs(*many, ("n2", "n1"))).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([*many, ("n2", "n1"), ("n1", None), ("pond", None)], key=str)
 
 
 def test_dangling_and_induced(names, pairs):
-    edges = pairs(*CLOSURE)
-    assert sorted(map(tuple, graph.dangling(names(*"abcd"), edges).select("src", "dst").collect())) == [("e", "d")]
-    nodes, inside = graph.induced_subgraph(names(*"abcde"), edges, names("b", "d", "e"))
-    assert sorted(r.name for r in nodes.collect()) == ["b", "d", "e"]
-    assert sorted(map(tuple, inside.collect())) == [("b", "d"), ("e", "d")]
+    edges = pairs(*RIVER)
+    known = names("spring", "weir", "mill", "lock", "sea")
+    assert sorted(map(tuple, graph.dangling(known, edges).select("src", "dst").collect())) == [("brook", "weir")]
+    nodes, inside = graph.induced_subgraph(names("weir", "mill", "sea", "isle"), edges, names("weir", "sea", "isle", "pond"))
+    assert sorted(r.name for r in nodes.collect()) == ["isle", "sea", "weir"]
+    assert sorted(map(tuple, inside.collect())) == [("sea", "isle")]
 
 
 def test_snapshot_diff(pairs):

@@ -11,7 +11,9 @@ for the rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemill.errors import LineageError
@@ -22,20 +24,35 @@ _ROW_OVERHEAD = 64
 _ROUNDS_PER_TABLE = 20
 
 
+@dataclass
+class _Part:
+    """A table of a round, where it lies, and how many rows and bytes of names it has."""
+
+    table: DataFrame
+    path: str
+    rows: int = 0
+    size: int = 0
+
+    def sized(self) -> DataFrame:
+        """Marked for broadcast if the measured size allows."""
+        return F.broadcast(self.table) if self.size <= BROADCAST_BYTES else self.table
+
+    def drop(self) -> None:
+        discard(self.table.sparkSession, self.path)
+
+
 def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
     """Every node that can be reached from ``start(name)`` along the edges, cycles allowed."""
     links, drop_links = _kept(edges, stored)
-    frontier = materialize(start.select("name").distinct(), "start")
+    frontier = _written(start.select("name").distinct(), "start")
     first, seen = frontier, [frontier]
-    rows, sized = _measure(frontier)
-    while rows:
-        step = _successors(links, sized)
-        frontier = materialize(step.join(_union(seen), "name", "left_anti"), "frontier")
-        seen = _compact([*seen, frontier])
-        rows, sized = _measure(frontier)
+    while frontier.rows:
+        step = _successors(links, frontier.sized())
+        frontier = _written(step.join(_union(seen), "name", "left_anti"), "frontier")
+        seen = _compact([*seen, frontier], spare=(first, frontier))
     drop_links()
     whole = _union(seen)
-    return whole if include_start else whole.join(first, "name", "left_anti")
+    return whole if include_start else whole.join(first.table, "name", "left_anti")
 
 
 def downstream(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
@@ -50,23 +67,18 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_levels: int = 1000, stored: bool = False) -> DataFrame:
-    """Longest path from any root to each node, as ``(name, level)``; roots have level 0."""
-    links, drop_links = _kept(edges, stored)
-    targets = links.select(F.col("dst").alias("name")).distinct()
-    roots = nodes.select("name").distinct().join(targets, "name", "left_anti")
-    frontier = materialize(roots, "frontier")
-    reached, level = [frontier.withColumn("level", F.lit(0))], 0
-    rows, sized = _measure(frontier)
-    while rows:
-        level += 1
-        if level > max_levels:
-            raise LineageError(f"paths longer than {max_levels}, or a cycle; cycle_remainder tells which")
-        frontier = materialize(_successors(links, sized), "frontier")
-        reached = _compact([*reached, frontier.withColumn("level", F.lit(level))], _deepest)
-        rows, sized = _measure(frontier)
-    drop_links()
-    return _deepest(_union(reached))
+def levels(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
+    """Longest path from any root to each node, as ``(name, level)``; roots have level 0.
+
+    A node gets its level in the round in which the last of its incoming edges is used, so each
+    edge is used once. A cycle is told by the round that frees nothing while nodes are left.
+    """
+    freed, remaining = _peel(edges, nodes, stored)
+    if remaining.rows:
+        for part in freed:
+            part.drop()
+        raise LineageError(f"{remaining.rows} nodes lie on cycles or behind them; cycle_remainder tells which")
+    return _union(freed)
 
 
 def cycle_remainder(edges: DataFrame, stored: bool = False) -> DataFrame:
@@ -74,48 +86,66 @@ def cycle_remainder(edges: DataFrame, stored: bool = False) -> DataFrame:
 
     These are the members of cycles and everything downstream of them; empty without cycles.
     """
-    links, drop_links = _kept(edges, stored)
-    rows = links.count()
-    while rows:
-        entered, drop_entered = _kept_as(links.select(F.col("dst").alias("src")).distinct(), "entered")
-        _, sized = _measure(entered, "src")
-        kept, drop_kept = _kept_as(links.join(sized, "src", "left_semi"), "links")
-        left = kept.count()
-        drop_entered()
-        drop_links()
-        links, drop_links = kept, drop_kept
-        if left == rows:
-            break
-        rows = left
-    return links.select(F.col("dst").alias("name")).distinct()
-
-
-def adjacency(nodes: DataFrame, edges: DataFrame, chunk_size: int = 10_000) -> DataFrame:
-    """Direct successors of every node as ``(name, chunk, successors)``; none gives an empty list.
-
-    A node with more than ``chunk_size`` successors has its list split over several rows, so
-    no single list grows without bound.
+    freed, remaining = _peel(edges, None, stored)
+    for part in freed:
+        part.drop()
+    return remaining.table.select("name")
+
+
+def _peel(edges, nodes, stored):
+    """Nodes in the order in which they lose their last incoming edge, with levels; what is left.
+
+    A round's nodes are written with the number of incoming edges not used yet. Those with none
+    are the next frontier, in a partition of their own; only the others are read on.
     """
-    links = _links(edges)
-    large = materialize(
-        links.groupBy(F.col("src").alias("name"))
-        .count()
-        .where(F.col("count") > chunk_size)
-        .select("name", F.ceil(F.col("count") / chunk_size).alias("chunks")),
-        "hubs",
-    )
-    # Without the explicit repartitioning, grouping would stay in the join's partitions, where
-    # all chunks of a node lie together.
-    lists = (
-        links.join(_measure(large)[1].withColumnRenamed("name", "src"), "src", "left")
-        .select("src", "dst", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("chunks")), F.lit(0)).alias("chunk"))
-        .repartition("src", "chunk")
-        .groupBy(F.col("src").alias("name"), "chunk")
-        .agg(F.sort_array(F.collect_list("dst")).alias("successors"))
-    )
+    links, drop_links = _kept(edges.select("src", "dst").distinct(), stored)
+    known = links.select(F.col("src").alias("name"), F.lit(0).alias("n")).union(links.select(F.col("dst").alias("name"), F.lit(1).alias("n")))
+    if nodes is not None:
+        known = known.union(nodes.select("name", F.lit(0).alias("n")))
+    waiting = known.groupBy("name").agg(F.sum("n").alias("waiting"))
+    spark, level, freed, before = edges.sparkSession, 0, [], None
+    while True:
+        path, seen = scratch_path(spark, "peel"), Observation()
+        free = F.col("waiting") == 0
+        observed = waiting.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(free).alias("free"),
+            F.sum(F.when(free, F.octet_length("name") + _ROW_OVERHEAD)).alias("size"),
+        )
+        observed.withColumn("free", free).write.partitionBy("free").parquet(path)
+        told = _metrics(seen)
+        rows, n = told.get("rows") or 0, told.get("free") or 0
+        table = spark.read.schema("name string, waiting bigint, free boolean").parquet(path)
+        rest = _Part(table.where("not free").select("name", "waiting"), f"{path}/free=false", rows - n)
+        if before:
+            before.drop()
+        if not n:
+            drop_links()
+            return freed or [_levelled(rest, level)], rest
+        part = _Part(table.where("free").select("name"), f"{path}/free=true", n, told.get("size") or 0)
+        used = _successors(links, part.sized(), distinct=False).groupBy("name").agg(F.count(F.lit(1)).alias("used"))
+        leveled = _levelled(part, level)
+        freed = _compact([*freed, leveled], spare=(leveled,))
+        left = F.col("waiting") - F.coalesce("used", F.lit(0))
+        waiting, before, level = rest.table.join(used, "name", "left").select("name", left.alias("waiting")), rest, level + 1
+
+
+def _levelled(part, level):
+    return _Part(part.table.select("name", F.lit(level).alias("level")), part.path, part.rows)
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Direct successors of every node as ``(name, successor)``, one in each row.
+
+    A node without successors has one row with a null, so every node is there and no list
+    grows with the number of a node's successors.
+    """
+    links, _ = _kept_as(_links(edges), "links")
     ends = nodes.select("name").distinct().join(links.select(F.col("src").alias("name")).distinct(), "name", "left_anti")
-    none = ends.select("name", F.lit(0).cast("bigint").alias("chunk"), F.array().cast("array<string>").alias("successors"))
-    return lists.unionByName(none)
+    return links.select(F.col("src").alias("name"), F.col("dst").alias("successor")).unionByName(
+        ends.select("name", F.lit(None).cast("string").alias("successor"))
+    )
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -148,8 +178,23 @@ def _kept_as(df, label):
     return materialize(df, path=path), lambda: discard(df.sparkSession, path)
 
 
-def _successors(links, frontier):
-    return links.join(frontier.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
+def _successors(links, frontier, distinct=True):
+    found = links.join(frontier.withColumnRenamed("name", "src"), "src", "left_semi").select(F.col("dst").alias("name"))
+    return found.distinct() if distinct else found
+
+
+def _written(df, label):
+    """``df`` as a table, measured by the job that writes it."""
+    path, seen = scratch_path(df.sparkSession, label), Observation()
+    size = F.sum(F.octet_length("name") + _ROW_OVERHEAD).alias("size")
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), size), path=path)
+    told = _metrics(seen)
+    return _Part(table, path, told.get("rows") or 0, told.get("size") or 0)
+
+
+def _metrics(seen):
+    """What was observed; nothing where the optimizer found that there are no rows."""
+    return dict(seen.get or {})
 
 
 def _measure(table, name="name"):
@@ -158,17 +203,21 @@ def _measure(table, name="name"):
     return size[0], F.broadcast(table) if size[1] <= BROADCAST_BYTES else table
 
 
-def _deepest(reached):
-    return reached.groupBy("name").agg(F.max("level").alias("level"))
-
-
-def _compact(parts, merge=lambda whole: whole):
+def _compact(parts, spare=()):
     """Many small rounds become one table, so that the plan of a long walk stays short."""
-    return parts if len(parts) < _ROUNDS_PER_TABLE else [materialize(merge(_union(parts)), "rounds")]
+    if len(parts) < _ROUNDS_PER_TABLE:
+        return parts
+    spark = parts[0].table.sparkSession
+    path = scratch_path(spark, "rounds")
+    whole = _Part(materialize(_union(parts), path=path), path, sum(p.rows for p in parts))
+    for part in parts:
+        if all(part is not s for s in spare):
+            part.drop()
+    return [whole]
 
 
 def _union(parts):
-    whole = parts[0]
+    whole = parts[0].table
     for part in parts[1:]:
-        whole = whole.unionByName(part)
+        whole = whole.unionByName(part.table)
     return whole

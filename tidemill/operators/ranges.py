@@ -11,17 +11,19 @@ from tidemill.session import materialize
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str) -> DataFrame:
     """Pairs with ``low <= point <= high`` (numbers), as an equi-join on range buckets.
 
-    An interval goes to every bucket it touches and a point to one, so each pair is found
-    once and no row is compared outside its bucket. Buckets are as wide as the mean interval,
-    which keeps the copies of all intervals together within about twice their number. A
+    Intervals are classed by the power of two next above their width and cut the axis of their
+    class into buckets of that width, so each lies in two buckets at most, however wide it is.
+    A point goes to one bucket of each class there is, of which there are no more than numbers
+    have exponents. Each pair is found once, no row is compared outside its bucket, and a
     crowded bucket is split by the adaptive skew join.
     """
-    intervals = materialize(intervals, "intervals")
-    width = intervals.agg(F.avg(F.col(high) - F.col(low))).first()[0]
-    width = float(width) if width else 1.0
-    bucket = lambda column: F.floor(F.col(column) / F.lit(width))
-    left = points.withColumn("range_bucket", bucket(point))
-    right = intervals.where(F.col(low) <= F.col(high)).withColumn(
-        "range_bucket", F.explode(F.sequence(bucket(low), bucket(high)))
-    )
-    return left.join(right, "range_bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("range_bucket")
+    width = (F.col(high) - F.col(low)).cast("double")
+    size = F.when(width > 0, F.ceil(F.log2(width))).otherwise(F.lit(-1074)).cast("int")
+    intervals = materialize(intervals.where(F.col(low) <= F.col(high)).withColumn("range_class", size), "intervals")
+    classes = sorted(r[0] for r in intervals.select("range_class").distinct().collect())
+    step = F.pow(F.lit(2.0), F.col("range_class"))
+    at = lambda column: F.when(F.col("range_class") > -1074, F.floor(F.col(column) / step).cast("double")).otherwise(F.col(column).cast("double"))
+    left = points.withColumn("range_class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn("range_bucket", at(point))
+    right = intervals.withColumn("range_bucket", F.explode(F.array_distinct(F.array(at(low), at(high)))))
+    joined = left.join(right, ["range_class", "range_bucket"])
+    return joined.where(F.col(point).between(F.col(low), F.col(high))).drop("range_class", "range_bucket")

@@ -103,12 +103,10 @@ def lineage_upstream(spark, sf_dir):
 
 @query(
     "lineage_adjacency",
-    f"""SELECT n.name, CAST(0 AS BIGINT) AS chunk, COALESCE(STRING_AGG(e.dst, ',' ORDER BY e.dst), '') AS successors
-        FROM ({_NODES_SQL}) n LEFT JOIN ({_edges_sql()}) e ON n.name = e.src GROUP BY n.name""",
+    f"SELECT n.name, e.dst AS successor FROM ({_NODES_SQL}) n LEFT JOIN ({_edges_sql()}) e ON n.name = e.src",
 )
 def lineage_adjacency(spark, sf_dir):
-    lists = graph.adjacency(nodes_of(spark, sf_dir), edges_of(spark, sf_dir))
-    return lists.withColumn("successors", F.array_join("successors", ","))
+    return graph.adjacency(nodes_of(spark, sf_dir), edges_of(spark, sf_dir))
 
 
 @query(
@@ -128,7 +126,7 @@ _RETURNS = "SELECT DISTINCT 'P' || l_partkey AS src, 'O' || l_orderkey AS dst FR
 @query(
     "lineage_cycles",
     _closure_sql(
-        f"{_edges_sql('nc', 'co', 'op', 'ps')} UNION ALL {_RETURNS}",
+        f"{_edges_sql()} UNION ALL {_RETURNS}",
         f"SELECT src AS name FROM ({_RETURNS}) UNION SELECT dst FROM ({_RETURNS})",
     ),
 )
@@ -136,7 +134,7 @@ def lineage_cycles(spark, sf_dir):
     """Large returned lines lead from the part back to its order, which closes cycles."""
     returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50")
     back = _link(returned.select("l_partkey", "l_orderkey").distinct(), ("P", "l_partkey"), ("O", "l_orderkey"))
-    return graph.cycle_remainder(_stack(edges_of(spark, sf_dir, "nc", "co", "op", "ps"), back))
+    return graph.cycle_remainder(_stack(edges_of(spark, sf_dir), back))
 
 
 @query(
@@ -154,7 +152,8 @@ def lineage_dangling(spark, sf_dir):
     f"""WITH keep AS (SELECT 'C' || c_custkey AS name FROM customer WHERE c_mktsegment = 'BUILDING'
             UNION ALL SELECT 'O' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'
             UNION ALL SELECT 'P' || p_partkey FROM part WHERE p_size > 25)
-        SELECT src, dst FROM ({_edges_sql("nc", "co", "op")})
+        SELECT 'node' AS part, name, CAST(NULL AS VARCHAR) AS dst FROM ({_NODES_SQL}) WHERE name IN (SELECT name FROM keep)
+        UNION ALL SELECT 'edge', src, dst FROM ({_edges_sql()})
         WHERE src IN (SELECT name FROM keep) AND dst IN (SELECT name FROM keep)""",
 )
 def induced_subgraph(spark, sf_dir):
@@ -163,7 +162,10 @@ def induced_subgraph(spark, sf_dir):
         names_where(spark, sf_dir, "orders", "O", "o_orderkey", "o_orderpriority = '1-URGENT'"),
         names_where(spark, sf_dir, "part", "P", "p_partkey", "p_size > 25"),
     )
-    return graph.induced_subgraph(nodes_of(spark, sf_dir), edges_of(spark, sf_dir, "nc", "co", "op"), keep)[1]
+    nodes, edges = graph.induced_subgraph(nodes_of(spark, sf_dir), edges_of(spark, sf_dir), keep)
+    return nodes.selectExpr("'node' AS part", "name", "CAST(NULL AS STRING) AS dst").unionByName(
+        edges.selectExpr("'edge' AS part", "src AS name", "dst")
+    )
 
 
 @query(
