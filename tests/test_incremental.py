@@ -1,8 +1,10 @@
+import json
+
 import pytest
 
-from tidemill import Column, FileSource
+from tidemill import Adapter, Column, FileSource, LocalFiles
 from tidemill.errors import SpecError
-from tidemill.streaming.incremental import incremental_ingest, size_in_bytes
+from tidemill.streaming.incremental import incremental_ingest, ingest_new, size_in_bytes
 
 
 def test_only_new_files_are_taken(spark, tmp_path):
@@ -24,3 +26,32 @@ def test_sizes():
     assert size_in_bytes("100MB") == 100 * 1024**2 and size_in_bytes("5") == 5 and size_in_bytes("2 gb") == 2 * 1024**3
     with pytest.raises(SpecError):
         size_in_bytes("much")
+
+
+COLUMNS = (Column("id", "BIGINT"), Column("v", "STRING"))
+
+
+def take(spark, tmp_path, name, content, source, columns=COLUMNS):
+    (tmp_path / "in").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "in" / name).write_text(content)
+    adapter = Adapter("t", "files", source, columns)
+    return ingest_new(spark, adapter, LocalFiles(str(tmp_path)), str(tmp_path / "t"), str(tmp_path / "p"))
+
+
+def test_streams_read_what_batches_read(spark, tmp_path):
+    rows = take(spark, tmp_path, "a.csv", "id;v\n1;x\n", FileSource("in/*.csv", delimiter="auto"))
+    assert rows.collect() == [(1, "x")]
+    arrays = FileSource("in/*.json", "json", layout="array", max_batch_size="10B")
+    array = json.dumps([{"id": 2, "v": "y"}, {"id": 3, "v": None}], indent=1)
+    assert sorted(map(tuple, take(spark, tmp_path / "j", "a.json", array, arrays).collect())) == [(2, "y"), (3, None)]
+
+
+@pytest.mark.parametrize("name, content", [("a.csv", "id,v\nbad,x\n"), ("a.csv", "id;v\n1;x\n"), ("a.csv", "v,id\nx,1\n")])
+def test_rows_that_do_not_fit_end_the_job(spark, tmp_path, name, content):
+    with pytest.raises(Exception):
+        take(spark, tmp_path, name, content, FileSource("in/*.csv")).collect()
+
+
+def test_layout_must_be_declared(spark, tmp_path):
+    with pytest.raises(SpecError):
+        take(spark, tmp_path, "a.json", "{}", FileSource("in/*.json", "json"))

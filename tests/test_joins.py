@@ -49,3 +49,12 @@ def test_range_join_against_brute_force(spark, span):
         "x", "low", "high",
     ).select("p", "i").collect()
     assert sorted(map(tuple, got)) == sorted((p, i) for p, x in points for i, low, high in intervals if low <= x <= high)
+
+
+def test_one_interval_over_everything_among_narrow_ones(spark):
+    points = spark.range(0, 2000, 1, 4).selectExpr("id AS p", "CAST(id AS DOUBLE) * 50 AS x")
+    narrow = spark.range(100_000).selectExpr("id AS i", "CAST(id AS DOUBLE) AS low", "id + 0.5D AS high")
+    odd = spark.createDataFrame([(-1, -1e9, 1e9), (-2, 2e6, 1e6), (-3, 50.0, 50.0)], "i bigint, low double, high double")
+    got = range_join(points, narrow.union(odd), "x", "low", "high")
+    assert got.where("i >= 0").count() == got.where("i = -1").count() == 2000
+    assert [r.p for r in got.where("i = -3").collect()] == [1] and got.where("i = -2").count() == 0

@@ -28,12 +28,11 @@ def tuples(df):
 @pytest.mark.parametrize(
     "pattern, expanded",
     [
-        ("{YYYY}/{MM}/{DD}/*.json", "*/*/*/*.json"),
-        ("logs_{YYYY}{MM}{DD}.csv", "logs_*.csv"),
-        ("{YYYY}-{MM}-{DD}T{HH}{mm}.json", "*-*-*T*.json"),
-        ("plain.csv", "plain.csv"),
-        ("<YYYY>.csv", "<YYYY>.csv"),
-        ("a**b", "a*b"),
+        ("in/{YYYY}/{MM}{DD}/{HH}.parquet", "in/*/*/*.parquet"),
+        ("{DD}.{MM}.{YYYY} [final].csv", "*.*.* [final].csv"),
+        ("{mm}{HH}", "*"),
+        ("{yyyy}/{Mm}/a b.json", "{yyyy}/{Mm}/a b.json"),
+        ("dump***.gz", "dump*.gz"),
     ],
 )
 def test_date_tokens(pattern, expanded):
@@ -59,11 +58,53 @@ def test_csv_options(spark, tmp_path):
 
 
 @pytest.mark.parametrize("delimiter", [",", "|", ";", "\t"])
-def test_csv_delimiter_is_found(spark, tmp_path, delimiter):
+def test_csv_delimiter_is_found_if_asked_for(spark, tmp_path, delimiter):
     rows = [["id", "text"], ["1", "a, b"], ["2", 'say "x; y" | z']]
     with open(tmp_path / "a.csv", "w", newline="") as out:
-        csv.writer(out, delimiter=delimiter).writerows(rows)
-    assert tuples(load(spark, tmp_path, "a.csv")) == [(1, "a, b"), (2, 'say "x; y" | z')]
+        csv.writer(out, delimiter=delimiter, quoting=csv.QUOTE_ALL).writerows(rows)
+    assert tuples(load(spark, tmp_path, "a.csv", delimiter="auto")) == [(1, "a, b"), (2, 'say "x; y" | z')]
+
+
+def test_a_delimiter_must_fit_all_lines(spark, tmp_path):
+    (tmp_path / "titled.csv").write_text("All our boats\n" + "".join(f"{i};x\n" for i in range(50)))
+    (tmp_path / "other.csv").write_text("".join(f"{i},y\n" for i in range(50)))
+    (tmp_path / "both.csv").write_text("a;b|c\n1;2|3\n")
+    for name in ("titled.csv", "*.csv", "both.csv"):
+        with pytest.raises(SpecError, match="delimiter"):
+            load(spark, tmp_path, name, delimiter="auto")
+    (tmp_path / "single.csv").write_text("id\n\n7\n")
+    assert tuples(load(spark, tmp_path, "single.csv", delimiter="auto")) == [(7,)]
+    assert load(spark, tmp_path, "titled.csv").columns == ["All our boats"]
+
+
+def test_listed_files_are_names_and_must_be_there(spark, tmp_path):
+    for name in ("b[1].csv", "b1.csv", "b*.csv", "{b}?.csv"):
+        (tmp_path / name).write_text(f"name\n{name}\n")
+    assert tuples(load(spark, tmp_path, ("b[1].csv", "{b}?.csv"))) == [("b[1].csv",), ("{b}?.csv",)]
+    assert tuples(load(spark, tmp_path, ("b*.csv",))) == [("b*.csv",)]
+    with pytest.raises(MissingSource):
+        load(spark, tmp_path, ("b1.csv", "gone.csv"))
+
+
+def test_hours_that_come_twice_stay_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"at": "2024-11-03T05:30:00Z"}\n{"at": "2024-11-03T06:30:00Z"}\n')
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = load(spark, tmp_path, "a.json", [Column("at", "TIMESTAMP")], format="json").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(r.at.hour for r in rows) == [5, 6]
+
+
+def test_declared_parquet_columns_keep_dots_and_comments(spark, tmp_path):
+    spark.sql("SELECT 1 AS `a.b`, 2 AS c").write.parquet(str(tmp_path / "p"))
+    df = load(spark, tmp_path, "p", [Column("a.b", "BIGINT", "dotted"), Column("c", "INTEGER")], format="parquet")
+    assert df.collect() == [(1, 2)] and df.schema["a.b"].metadata == {"comment": "dotted"}
+
+
+def test_a_folder_of_compressed_files(spark, tmp_path):
+    spark.range(4).write.options(header=True, compression="gzip").csv(str(tmp_path / "zipped"))
+    assert load(spark, tmp_path, "zipped", compression="gzip").count() == 4
 
 
 def test_csv_of_one_column(spark, tmp_path):
@@ -241,14 +282,15 @@ def test_object_store_options():
 
 
 def test_object_listing_crosses_folders(spark, tmp_path):
-    for key in ("a.csv", "config.json", "data/b.csv", "data/c.txt", "data/deep/d.csv", "data/it's.csv", "logs/e.txt"):
+    keys = ["raw/2024/01/a.parquet", "raw/2024/b.parquet", "raw/2024 old/x[1].parquet", "raw/readme", "_hidden/z.parquet", "tail'd.parquet"]
+    for key in keys:
         (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / key).write_text("x\n1\n")
-    found = lambda pattern: sorted(r.path.split(str(tmp_path))[1] for r in matching_objects(spark, str(tmp_path), pattern, {}).collect())
-    assert found("*.csv") == ["/a.csv", "/data/b.csv", "/data/deep/d.csv", "/data/it's.csv"]
-    assert found("data/*") == ["/data/b.csv", "/data/c.txt", "/data/deep/d.csv", "/data/it's.csv"]
-    assert found("*.txt") == ["/data/c.txt", "/logs/e.txt"]
-    assert found("config.json") == ["/config.json"]
-    assert found("data/?.csv") == ["/data/b.csv"]
-    assert literal_prefix("a/b/*/c") == "a/b" and literal_prefix("x.csv") == ""
-    assert key_regex("a.?*") == r"^a\...*$"
+        (tmp_path / key).write_bytes(b"x")
+    found = lambda pattern: sorted(r.path.split(str(tmp_path) + "/")[1] for r in matching_objects(spark, str(tmp_path), pattern, {}).collect())
+    assert found("*.parquet") == sorted(k for k in keys if k.endswith("parquet") and not k.startswith("_"))
+    assert found("raw/2024/*") == ["raw/2024/01/a.parquet", "raw/2024/b.parquet"]
+    assert found("raw/*[1]*") == ["raw/2024 old/x[1].parquet"]
+    assert found("raw/????/b.*") == ["raw/2024/b.parquet"]
+    assert found("raw/readme") == ["raw/readme"]
+    assert literal_prefix("p/q/r?/s") == "p/q" and literal_prefix("file") == ""
+    assert key_regex("(x)?.*") == r"^\(x\).\..*$"

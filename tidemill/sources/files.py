@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.errors import SpecError
+from tidemill.errors import MissingSource, SpecError
 from tidemill.sources.json_layout import split_by_layout
-from tidemill.sources.paths import nothing_there
+from tidemill.sources.paths import literal, nothing_there
 from tidemill.specs import FileSource, struct_of
 
 # Compression names and the file name suffixes Spark decodes them by.
 _SUFFIXES = {"gzip": (".gz",), "gz": (".gz",), "bzip2": (".bz2",), "zstd": (".zst",), "snappy": (".snappy",), "lz4": (".lz4",)}
-# Delimiters to choose from, the first of equals wins.
+# Delimiters to choose from.
 DELIMITERS = (",", "|", ";", "\t")
-_HEAD_LINES = 20
 FORMATS = ("csv", "parquet", "json")
 # Fixed value: a zone at the end of a time of day.
 _ZONE = r":[0-9]{2}(\.[0-9]+)?\s*(?i:z|utc|gmt|[+-][0-9]{1,2}(:?[0-9]{2})?)$"
@@ -32,14 +31,18 @@ def read_files(
     columns=(),
     options: dict[str, str] | None = None,
 ) -> DataFrame | None:
-    """Files at ``paths`` (globs allowed) as one DataFrame; ``None`` when nothing matches.
+    """Files at ``paths`` as one DataFrame; ``None`` when a single pattern matches nothing.
 
-    Declared columns spare the inference pass over the data.
+    One text is a pattern. A list holds names: wildcards in them stand for themselves, and each
+    must be there, so a lost file is an error and not an empty result. Declared columns spare
+    the inference pass over the data.
     """
     if source.format not in FORMATS:
         raise SpecError(f"unsupported format {source.format!r}")
     _check_compression(source, paths)
     options = dict(options or {})
+    listed = not isinstance(paths, str)
+    paths = [literal(p) for p in paths] if listed else paths
     try:
         if source.format == "parquet":
             return _read_parquet(spark, paths, columns, options)
@@ -47,27 +50,42 @@ def read_files(
             return _read_csv(spark, paths, source, columns, options)
         return _read_json(spark, paths, source, columns, options)
     except AnalysisException as error:
-        if nothing_there(error):
-            return None
-        raise
+        if not nothing_there(error):
+            raise
+        if listed:
+            raise MissingSource(f"a listed file is gone: {error}") from error
+        return None
 
 
 def _read_parquet(spark, paths, columns, options):
     df = spark.read.options(**options).parquet(*_listed(paths))
     if not columns:
         return df
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in struct_of(columns)])
+    return df.select(*[_named(f).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in struct_of(columns)])
+
+
+def _named(field):
+    return F.col(f"`{field.name}`")
+
+
+def reader_options(spark: SparkSession, paths, source: FileSource, options: dict[str, str] | None = None) -> dict[str, str]:
+    """What batch and streaming readers of text formats are told alike: bad rows end the job."""
+    found = {"mode": "FAILFAST"}
+    if source.format == "csv":
+        found |= csv_options(source) | {"enforceSchema": "false"}
+        if source.delimiter == "auto":
+            found["sep"] = delimiter_of(spark, paths, options)
+    if source.format == "json":
+        found["multiLine"] = str(source.layout == "array").lower()
+    return found
 
 
 def _read_csv(spark, paths, source, columns, options):
     header = source.has_header is not False
-    sep = source.delimiter or _delimiter(spark, paths, options)
-    options |= {**csv_options(source), "sep": sep}
-    reader = spark.read.options(**options).option("mode", "FAILFAST")
+    reader = spark.read.options(**options).options(**reader_options(spark, paths, source, options))
     if columns:
         schema = struct_of(columns)
-        df = reader.option("enforceSchema", "false").schema(timestamps_as_text(schema)).csv(paths)
-        return timestamps_restored(df, schema)
+        return timestamps_restored(reader.schema(timestamps_as_text(schema)).csv(paths), schema)
     df = reader.option("inferSchema", "true").csv(paths)
     if not header:
         width = len(str(len(df.columns) - 1))
@@ -83,22 +101,29 @@ def csv_options(source: FileSource) -> dict[str, str]:
         "escape": '"',
         "multiLine": str(source.multi_line).lower(),
     }
-    if source.delimiter is not None:
+    if source.delimiter not in (None, "auto"):
         options["sep"] = source.delimiter
     if source.null_value is not None:
         options["nullValue"] = source.null_value
     return options
 
 
-def _delimiter(spark, paths, options):
-    """The delimiter that cuts the first lines into the most columns, equally many in each."""
-    head = [row[0] for row in spark.read.options(**options).text(paths).select("value").head(_HEAD_LINES)]
-    lines = [line for line in head if line.strip()]
-    widths = {}
-    for candidate in DELIMITERS:
-        found = {len(row) for row in csv.reader(lines, delimiter=candidate)}
-        widths[candidate] = found.pop() if len(found) == 1 else 1
-    return max(DELIMITERS, key=widths.get)
+def delimiter_of(spark: SparkSession, paths, options: dict[str, str] | None = None) -> str:
+    """The only delimiter that occurs equally often, outside of quotes, in every line there is.
+
+    All lines are counted in one pass, without those of white space only. Where none occurs the
+    files have one column; where none or several fit, the declaration must name one.
+    """
+    lines = spark.read.options(**(options or {})).text(paths).where("trim(value) <> ''")
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    counts = [F.length(F.regexp_replace(bare, f"[^{re.escape(d)}]", "")) for d in DELIMITERS]
+    bounds = lines.agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(counts) for name, f in (("low", F.min), ("high", F.max))]).first()
+    fitting = [d for i, d in enumerate(DELIMITERS) if bounds[f"low{i}"] and bounds[f"low{i}"] == bounds[f"high{i}"]]
+    if not any(bounds[f"high{i}"] for i in range(len(DELIMITERS))):
+        return DELIMITERS[0]
+    if len(fitting) != 1:
+        raise SpecError(f"no single delimiter fits all lines ({fitting or 'none'} would); declare it")
+    return fitting[0]
 
 
 def _read_json(spark, paths, source, columns, options):
@@ -145,8 +170,9 @@ def timestamps_restored(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _utc_wall_clock(text):
-    local = text.cast("timestamp").cast("timestamp_ntz")
-    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    # From the instant, not from the session's wall clock, which shows some hours twice.
+    instant = F.unix_micros(text.cast("timestamp"))
+    in_utc = F.timestamp_add("MICROSECOND", instant, F.lit("1970-01-01").cast("timestamp_ntz"))
     return F.when(text.rlike(_ZONE), in_utc).otherwise(text.cast("timestamp_ntz"))
 
 
@@ -170,7 +196,8 @@ def _check_compression(source, paths):
     if source.format == "parquet":
         return
     for path in _listed(paths):
-        if not unquote(path).endswith(suffixes + ("*", "/")):
+        name = unquote(path).rstrip("/").rsplit("/", 1)[-1]
+        if "." in name and not name.endswith((*suffixes, "*")):
             raise SpecError(f"{source.compression} files must end in {suffixes[0]}: {path}")
 
 

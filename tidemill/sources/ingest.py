@@ -28,6 +28,8 @@ def ingest(spark: SparkSession, adapter: Adapter, connection) -> DataFrame | Non
     """The adapter's rows; ``None`` when its path pattern matches no file."""
     source = adapter.source
     if isinstance(source, FileSource):
+        if not isinstance(source.path, str):
+            return _listed_files(spark, connection, source, adapter.columns)
         pattern = expand_date_tokens(source.path)
         if isinstance(connection, LocalFiles):
             return read_files(spark, under(connection.base_path, pattern), source, adapter.columns)
@@ -43,6 +45,15 @@ def ingest(spark: SparkSession, adapter: Adapter, connection) -> DataFrame | Non
     raise SpecError(f"unknown source {type(source).__name__}")
 
 
+def _listed_files(spark, connection, source, columns):
+    if isinstance(connection, LocalFiles):
+        return read_files(spark, [under(connection.base_path, p) for p in source.path], source, columns)
+    if isinstance(connection, ObjectStore):
+        paths = [f"{bucket_root(connection)}/{p}" for p in source.path]
+        return read_files(spark, paths, source, columns, s3a_options(connection))
+    raise SpecError(f"{type(connection).__name__} cannot serve files")
+
+
 def _from_object_store(spark, store, pattern, source, columns):
     options = s3a_options(store)
     if "*" not in pattern and "?" not in pattern:
@@ -55,4 +66,4 @@ def _from_object_store(spark, store, pattern, source, columns):
 def _declared(df, adapter):
     if not adapter.columns:
         return df
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in struct_of(adapter.columns)])
+    return df.select(*[df[f"`{f.name}`"].cast(f.dataType).alias(f.name, metadata=f.metadata) for f in struct_of(adapter.columns)])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 # The date tokens a path pattern may hold.
 DATE_TOKENS = ("{YYYY}", "{MM}", "{DD}", "{HH}", "{mm}")
-_NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+_NOTHING_THERE = ("PATH_NOT_FOUND",)
+_WILDCARDS = re.compile(r"([\\*?\[\]{}])")
 
 
 def expand_date_tokens(pattern: str) -> str:
@@ -32,6 +33,11 @@ def nothing_there(error: AnalysisException) -> bool:
     return error.getCondition() in _NOTHING_THERE
 
 
+def literal(path: str) -> str:
+    """A name as a pattern that matches just this name."""
+    return _WILDCARDS.sub(r"\\\1", path)
+
+
 def literal_prefix(pattern: str) -> str:
     """The leading folders of a pattern that hold no wildcard."""
     folders = pattern.split("/")[:-1]

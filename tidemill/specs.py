@@ -65,14 +65,16 @@ def struct_of(columns) -> T.StructType:
 
 @dataclass(frozen=True)
 class FileSource:
-    """Files of one format. ``path`` may hold globs and ``{YYYY}{MM}{DD}{HH}{mm}`` tokens.
+    """Files of one format. ``path`` may hold globs and ``{YYYY}{MM}{DD}{HH}{mm}`` tokens; a tuple
+    lists files by name.
 
-    CSV: without a ``delimiter`` the first lines tell it; ``multi_line`` allows line breaks
+    CSV: ``delimiter`` is a comma unless given; ``auto`` finds it in one pass over all lines.
+    ``multi_line`` allows line breaks
     inside quotes, at the price of files that cannot be split. JSON: ``layout`` is ``lines``,
     ``array`` or ``auto`` (look at the head of each file).
     """
 
-    path: str
+    path: str | tuple[str, ...]
     format: str = "csv"
     compression: str | None = None
     max_batch_size: str | None = None

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.errors import SpecError
-from tidemill.sources.files import csv_options, timestamps_as_text, timestamps_restored
-from tidemill.specs import FileSource, struct_of
+from tidemill.sources.files import reader_options, timestamps_as_text, timestamps_restored
+from tidemill.sources.paths import expand_date_tokens, under
+from tidemill.specs import Adapter, FileSource, LocalFiles, struct_of
 
 # Size units a batch bound may be written in.
 _UNITS = {"": 1, "B": 1, "KB": 1024, "MB": 1024**2, "GB": 1024**3, "TB": 1024**4}
@@ -27,18 +28,21 @@ def incremental_ingest(
 ) -> DataFrame:
     """Append the new files below ``path`` to the Parquet folder ``target``; return all of it.
 
-    Structured Streaming keeps in ``progress`` which files were taken, and the sink's own log
+    Rows that do not fit the declaration end the job, as in a batch read; what was appended
+    before stays, and the next call goes on from there. Structured Streaming keeps in ``progress`` which files were taken, and the sink's own log
     makes a rerun after a failure neither lose nor repeat rows. ``source.max_batch_size``
     bounds one micro-batch.
     """
     if not columns:
         raise SpecError("incremental ingest needs declared columns")
+    if source.format == "json" and source.layout == "auto":
+        raise SpecError("incremental ingest needs the JSON layout: lines or array")
     schema = struct_of(columns)
     reader = spark.readStream.format(source.format).schema(
         schema if source.format == "parquet" else timestamps_as_text(schema)
     )
-    if source.format == "csv":
-        reader = reader.options(**csv_options(source))
+    if source.format != "parquet":
+        reader = reader.options(**reader_options(spark, path, source))
     if source.max_batch_size:
         reader = reader.option("maxBytesPerTrigger", str(size_in_bytes(source.max_batch_size)))
     rows = reader.load(path)
@@ -53,3 +57,11 @@ def incremental_ingest(
     )
     stream.awaitTermination()
     return spark.read.schema(schema).parquet(target)
+
+
+def ingest_new(spark: SparkSession, adapter: Adapter, connection: LocalFiles, target: str, progress: str) -> DataFrame:
+    """The same for a declared adapter over files; its date tokens and wildcards hold."""
+    if not isinstance(adapter.source, FileSource) or not isinstance(connection, LocalFiles) or not isinstance(adapter.source.path, str):
+        raise SpecError("incremental ingest needs a pattern of files")
+    path = under(connection.base_path, expand_date_tokens(adapter.source.path))
+    return incremental_ingest(spark, path, adapter.source, adapter.columns, target, progress)
