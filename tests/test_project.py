@@ -7,44 +7,42 @@ from tidemill import Adapter, Column, Dashboard, DatabaseSource, FileSource, Loc
 from tidemill.errors import LineageError, RunFailed, SpecError, UnknownName
 from tidemill.plans.project import Runner
 
-VISITS = [
-    {"at": "2023-07-04T08:00:00Z", "guest": 1, "page": "rooms", "seconds": 90},
-    {"at": "2023-07-05T09:30:00Z", "guest": 1, "page": "prices", "seconds": 60},
-    {"at": "2023-07-05T21:10:00Z", "guest": 2, "page": "rooms", "seconds": 45},
-    {"at": "2023-07-05T21:11:00Z", "guest": 2, "page": "rooms", "seconds": 0},
-]
-CLEAN = "SELECT at::TIMESTAMP AS seen_at, DATE(at) AS day, guest, page, seconds FROM visits WHERE seconds > 0"
-INTEREST = """
-SELECT g.guest, g.nick, COUNT(DISTINCT v.day) AS days, COUNT(v.page) AS pages, AVG(v.seconds) AS mean_seconds
-FROM guests g LEFT JOIN clean.visits v USING (guest) GROUP BY g.guest, g.nick
+MOVES = [{"game": g, "ply": n, "player": "white" if n % 2 else "black", "clock": 60 - 7 * n} for g, plies in ((1, 5), (2, 2), (3, 1)) for n in range(1, plies + 1)]
+GAMES = "SELECT game, player, COUNT(*) AS plies, MIN(clock) AS least FROM moves GROUP BY game, player HAVING COUNT(*) > 1"
+LADDER = """
+SELECT player, rating, RANK() OVER (ORDER BY rating DESC) AS place FROM players p
+WHERE EXISTS (SELECT 1 FROM board.games g WHERE g.player = p.player)
+"""
+DEBTS = """
+WITH open_fees AS (SELECT player, due FROM fees WHERE settled = 0)
+SELECT player, SUM(due) AS owed FROM open_fees GROUP BY player UNION ALL SELECT 'club', SUM(due) FROM open_fees
 """
-INCOME = "SELECT DATE(booked) AS day, SUM(paid) AS income FROM bookings WHERE state = 'paid' GROUP BY DATE(booked)"
 
 
 @pytest.fixture
 def project(tmp_path):
-    (tmp_path / "guests.csv").write_text("guest,nick\n1,Ann\n2,Bob\n3,Cy\n")
-    (tmp_path / "visits_a.json").write_text(json.dumps(VISITS[:2]))
-    (tmp_path / "visits_b.json").write_text("\n".join(map(json.dumps, VISITS[2:])))
-    db = sqlite3.connect(tmp_path / "hotel.db")
-    db.execute("CREATE TABLE bookings (id INTEGER, paid REAL, booked TEXT, state TEXT)")
-    db.executemany("INSERT INTO bookings VALUES (?,?,?,?)", [(1, 10.5, "2023-07-04", "paid"), (2, 4.5, "2023-07-04", "paid"), (3, 9.0, "2023-07-05", "open")])
+    (tmp_path / "players.csv").write_text("player,rating\nwhite,1500\nblack,1720\nred,1900\n")
+    (tmp_path / "moves_array.json").write_text(json.dumps(MOVES[:3]))
+    (tmp_path / "moves_lines.json").write_text("\n".join(map(json.dumps, MOVES[3:])))
+    db = sqlite3.connect(tmp_path / "club.db")
+    db.execute("CREATE TABLE fees (player TEXT, due REAL, settled INTEGER)")
+    db.executemany("INSERT INTO fees VALUES (?,?,?)", [("red", 20.0, 0), ("red", 5.5, 0), ("white", 8.0, 1), ("black", 3.0, 0)])
     db.commit()
     db.close()
     return (
         Project()
         .connect("files", LocalFiles(str(tmp_path)))
-        .connect("db", Sqlite(str(tmp_path / "hotel.db")))
+        .connect("db", Sqlite(str(tmp_path / "club.db")))
         .add(
-            Adapter("guests", "files", FileSource("guests.csv")),
-            Adapter("visits", "files", FileSource("visits_*.json", "json")),
-            Adapter("bookings", "db", DatabaseSource("bookings")),
-            Model("clean.visits", CLEAN),
-            Model("marts.interest", INTEREST),
-            Model("marts.income", INCOME),
-            Query("keen", "SELECT nick, pages, ROUND(mean_seconds, 1) AS seconds FROM marts.interest WHERE pages > 0 ORDER BY pages DESC LIMIT 5"),
-            Query("trend", "SELECT * FROM marts.income ORDER BY day"),
-            Dashboard("trend", "trend", "line", "day", "income"),
+            Adapter("players", "files", FileSource("players.csv")),
+            Adapter("moves", "files", FileSource("moves_*.json", "json")),
+            Adapter("fees", "db", DatabaseSource("fees")),
+            Model("board.games", GAMES),
+            Model("board.ladder", LADDER),
+            Model("club.debts", DEBTS),
+            Query("first", "SELECT player, place FROM board.ladder ORDER BY place LIMIT 2"),
+            Query("debts", "SELECT * FROM club.debts ORDER BY owed DESC"),
+            Dashboard("debts", "debts", "bar", "player", "owed"),
         )
     )
 
@@ -64,19 +62,19 @@ def phases(records):
 def test_full_run(spark, runner):
     records = runner.run()
     assert set(phases(records).values()) == {"completed"} and len(records) == 6
-    assert runner.query("keen").collect() == [("Ann", 2, 75.0), ("Bob", 1, 45.0)]
-    assert spark.table("marts.interest").where("guest = 3").select("days", "pages").collect() == [(0, 0)]
-    assert [tuple(r) for r in runner.dashboard("trend").collect()] == [("2023-07-04", 15.0, None)]
+    assert runner.query("first").collect() == [("black", 1), ("white", 2)]
+    assert sorted(map(tuple, spark.table("board.games").collect())) == [(1, "black", 2, 32), (1, "white", 3, 25)]
+    assert [tuple(r) for r in runner.dashboard("debts").collect()] == [("club", 28.5, None), ("red", 25.5, None), ("black", 3.0, None)]
     assert runner.run_log().where("phase = 'completed'").count() == 6
     fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
-    assert fresh["marts.interest"] == min(fresh["guests"], fresh["visits"])
+    assert fresh["board.ladder"] == min(fresh["players"], fresh["moves"])
     oldest = {r.name: r.oldest_input_at for r in runner.oldest_inputs().collect()}
-    assert oldest["marts.income"] == fresh["bookings"]
+    assert oldest["club.debts"] == fresh["fees"]
 
 
 def test_target_runs_only_its_inputs(spark, runner):
-    assert set(phases(runner.run_target("marts.income"))) == {"bookings", "marts.income"}
-    assert not spark.catalog.tableExists("marts.interest")
+    assert set(phases(runner.run_target("club.debts"))) == {"fees", "club.debts"}
+    assert not spark.catalog.tableExists("board.ladder")
     with pytest.raises(UnknownName):
         runner.run_target("nothing")
 
@@ -84,45 +82,75 @@ def test_target_runs_only_its_inputs(spark, runner):
 def test_only_what_changed_is_rebuilt(runner, project):
     assert len(runner.run_changed()) == 6
     assert runner.run_changed() == []
-    project.add(Model("clean.visits", CLEAN, "only the description differs"))
+    project.add(Model("board.games", GAMES, "only the description differs"))
     assert runner.run_changed() == []
-    project.add(Model("clean.visits", CLEAN.replace("> 0", ">= 0")))
-    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
-    assert runner.query("keen").collect()[1].pages == 2
-    guests = project.adapters["guests"]
-    project.add(Adapter("guests", "files", guests.source, (Column("guest", "BIGINT"), Column("nick", "STRING"))))
-    assert set(phases(runner.run_changed())) == {"guests", "marts.interest"}
-    del project.models["marts.income"]
+    project.add(Model("board.games", GAMES.replace("> 1", "> 2")))
+    assert set(phases(runner.run_changed())) == {"board.games", "board.ladder"}
+    assert runner.query("first").collect() == [("white", 1)]
+    players = project.adapters["players"]
+    project.add(Adapter("players", "files", players.source, (Column("player", "STRING"), Column("rating", "INTEGER"))))
+    assert set(phases(runner.run_changed())) == {"players", "board.ladder"}
+    del project.models["club.debts"]
     assert runner.run_changed() == []
 
 
 def test_a_declaration_makes_everything_downstream_stale(runner):
     runner.run()
-    runner.declare(Model("clean.visits", CLEAN.replace("> 0", ">= 0")))
+    runner.declare(Model("board.games", GAMES.replace("> 1", "> 2")))
     fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
-    assert {n for n, at in fresh.items() if at is None} == {"clean.visits", "marts.interest"}
-    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
+    assert {n for n, at in fresh.items() if at is None} == {"board.games", "board.ladder"}
+    assert set(phases(runner.run_changed())) == {"board.games", "board.ladder"}
     assert None not in [r.updated_at for r in runner.freshness().collect()]
 
 
+def test_removal(spark, runner, project):
+    runner.run()
+    runner.remove("moves")
+    assert "moves" not in project.adapters and not spark.catalog.tableExists("moves")
+    fresh = {r.name: r.updated_at for r in runner.freshness().collect()}
+    assert "moves" not in fresh and {n for n, at in fresh.items() if at is None} == {"board.games", "board.ladder"}
+    with pytest.raises(UnknownName):
+        runner.remove("moves")
+
+
 def test_failure_spreads_downstream_only(spark, runner, project):
-    project.add(Model("clean.visits", "SELECT no_such_column FROM visits"))
+    project.add(Model("board.games", "SELECT no_such_column FROM moves"))
     with pytest.raises(RunFailed) as failure:
         runner.run()
     assert phases(failure.value.log) == {
-        "guests": "completed", "visits": "completed", "bookings": "completed",
-        "clean.visits": "failed", "marts.interest": "skipped", "marts.income": "completed",
+        "players": "completed", "moves": "completed", "fees": "completed",
+        "board.games": "failed", "board.ladder": "skipped", "club.debts": "completed",
     }
     assert "1 of 6" in str(failure.value)
-    project.add(Model("clean.visits", CLEAN))
-    assert set(phases(runner.run_changed())) == {"clean.visits", "marts.interest"}
+    project.add(Model("board.games", GAMES))
+    assert set(phases(runner.run_changed())) == {"board.games", "board.ladder"}
 
 
-def test_empty_match_keeps_the_table(spark, runner, project):
-    runner.run()
-    project.add(Adapter("guests", "files", FileSource("gone_*.csv")))
+def test_progress_is_there_when_a_run_stops_half_way(runner, monkeypatch):
+    class Stopped(BaseException):
+        pass
+
+    def stop(model):
+        raise Stopped
+
+    monkeypatch.setattr(runner, "build_model", stop)
+    with pytest.raises(Stopped):
+        runner.run_target("board.games")
+    seen = {(r.task, r.phase) for r in runner.progress().collect()}
+    assert seen == {("moves", "waiting"), ("board.games", "waiting"), ("moves", "running"), ("moves", "completed"), ("board.games", "running")}
+    assert runner.run_log().count() == 0
+
+
+def test_no_match_keeps_the_table_and_its_age(spark, runner, project):
     runner.run()
-    assert spark.table("guests").count() == 3
+    before = {r.name: r.updated_at for r in runner.freshness().collect()}
+    project.add(Adapter("players", "files", FileSource("gone_*.csv")))
+    assert phases(runner.run_target("board.ladder"))["players"] == "no_data"
+    assert spark.table("players").count() == 3
+    after = {r.name: r.updated_at for r in runner.freshness().collect()}
+    assert after["players"] == before["players"] == after["board.ladder"]
+    project.add(Adapter("never", "files", FileSource("gone_*.csv")), Model("built_on", "SELECT * FROM never"))
+    assert phases(runner.run_target("built_on")) == {"never": "no_data", "built_on": "skipped"}
 
 
 def test_undeclared_table_and_cycle(runner, project):

@@ -4,9 +4,10 @@ from tidemill.plans.references import reference_edges, referenced_tables
 from tidemill.specs import Model
 
 CASES = {
-    "SELECT * FROM users": ["users"],
-    "SELECT * FROM users WHERE active = true": ["users"],
-    "SELECT u.a FROM users u JOIN orders o ON u.id = o.user_id": ["users", "orders"],
+    "SELECT boat, sail FROM harbour": ["harbour"],
+    "SELECT t.tide FROM tides AS t WHERE t.height BETWEEN 1 AND 2": ["tides"],
+    "FROM tides SELECT tide": ["tides"],
+    "SELECT h.boat FROM harbour h SEMI JOIN tides USING (day)": ["harbour", "tides"],
     "SELECT * FROM a, b": ["a", "b"],
     "SELECT * FROM a LEFT JOIN (b JOIN c ON b.x = c.x) ON a.x = b.x": ["a", "b", "c"],
     "SELECT * FROM marts.totals LIMIT 5": ["marts.totals"],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from datetime import datetime, timezone
 from graphlib import CycleError, TopologicalSorter
 
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemill.errors import LineageError, RunFailed, UnknownName
 from tidemill.functions.results import chart_series
-from tidemill.operators.changes import affected, content_changes
 from tidemill.operators.freshness import invalidate_downstream, oldest_input
 from tidemill.plans.references import EDGE_FIELDS, referenced_tables
-from tidemill.plans.tables import append_rows, create_or_replace, table_exists
+from tidemill.plans.tables import append_rows, create_or_replace, drop_table, table_exists
 from tidemill.sources.ingest import ingest
 from tidemill.specs import Adapter, Model, Project
 
@@ -24,6 +23,7 @@ LOG_FIELDS = (
     "run_id string, run_started_at timestamp_ntz, task string, phase string, "
     "started_at timestamp_ntz, completed_at timestamp_ntz, error string"
 )
+PROGRESS_FIELDS = "run_id string, task string, phase string, at timestamp_ntz, error string"
 STATE_FIELDS = "name string, kind string, significant string, inputs array<string>, updated_at timestamp_ntz, completed_at timestamp_ntz"
 
 
@@ -101,18 +101,33 @@ class Runner:
 
     def run_changed(self) -> list[dict]:
         """Rebuild only what is affected by declarations that changed since they were last run."""
-        return self._run({row.name for row in self.affected_nodes().collect()})
+        return self._run(self.affected_nodes())
 
-    def affected_nodes(self) -> DataFrame:
+    def affected_nodes(self) -> set[str]:
+        """Declarations that are new, differ from what last completed, or lie downstream of such.
+
+        Declarations are few and in memory, so this is a walk over them; for tables of nodes
+        and edges there is ``operators.changes.affected``.
+        """
         inputs = self.inputs()
-        last, current = self.state_table(), self._declared()
-        changed = content_changes(last, current, ["name"], ["kind", "significant"])
-        last_edges = last.select(F.explode("inputs").alias("src"), F.col("name").alias("dst"))
-        return affected(last.select("name"), current.select("name"), last_edges, self._edge_table(inputs), changed)
+        last = {row.name: (row.kind, row.significant, set(row.inputs)) for row in self.state_table().collect()}
+        found = set()
+        for name in inputs:
+            now = self._declaration(name)
+            if last.get(name) != (now["kind"], now["significant"], set(inputs[name])):
+                found.add(name)
+        for name in TopologicalSorter(inputs).static_order():
+            if found & set(inputs[name]):
+                found.add(name)
+        return found
 
     def run_log(self) -> DataFrame:
         return self._stored("run_log", LOG_FIELDS)
 
+    def progress(self) -> DataFrame:
+        """What each step of each run was doing when, written while the run goes on."""
+        return self._stored("progress", PROGRESS_FIELDS)
+
     def state_table(self) -> DataFrame:
         return self._stored("tables", STATE_FIELDS)
 
@@ -128,6 +143,19 @@ class Runner:
         state = self.state_table()
         self._replace("tables", state.drop("updated_at").join(fresh, "name").select(state.columns))
 
+    def remove(self, name: str) -> None:
+        """Drop an adapter or model with its table and state; what was built on it loses its freshness."""
+        if name not in self.project.adapters and name not in self.project.models:
+            raise UnknownName(f"{name!r} is not declared")
+        edges = self.edges()
+        self.project.adapters.pop(name, None)
+        self.project.models.pop(name, None)
+        start = self.spark.createDataFrame([(name,)], "name string")
+        fresh = invalidate_downstream(self.freshness(), edges, start).where(F.col("name") != name)
+        state = self.state_table()
+        self._replace("tables", state.drop("updated_at").join(fresh, "name").select(state.columns))
+        drop_table(self.spark, name)
+
     def oldest_inputs(self) -> DataFrame:
         return oldest_input(self.edges(), self.freshness())
 
@@ -140,13 +168,29 @@ class Runner:
         order = TopologicalSorter({name: [i for i in inputs[name] if i in names] for name in names})
         order.prepare()
         step = inheritable_thread_target(self.spark)(self._step)
+        self._tell(run_id, [_record(n, "waiting") for n in sorted(names)])
         with ThreadPoolExecutor(self.parallel_steps) as pool:
+            running = {}
             while order.is_active():
-                ready = order.get_ready()
-                runnable = [n for n in ready if all(log[i]["phase"] == "completed" for i in inputs[n] if i in names)]
-                log |= {n: _record(n, "skipped") for n in ready if n not in runnable}
-                log |= {record["task"]: record for record in pool.map(step, runnable)}
-                order.done(*ready)
+                news = []
+                for name in order.get_ready():
+                    # A source without data counts as there if an earlier run left its table.
+                    if all(log[i]["phase"] == "completed" or self._has_old_table(log[i]) for i in inputs[name] if i in names):
+                        running[pool.submit(step, name)] = name
+                        news.append(_record(name, "running", _now()))
+                    else:
+                        log[name] = _record(name, "skipped")
+                        news.append(log[name])
+                        order.done(name)
+                if news:
+                    self._tell(run_id, news)
+                if running:
+                    ended, _ = wait(running, return_when=FIRST_COMPLETED)
+                    for future in ended:
+                        name = running.pop(future)
+                        log[name] = future.result()
+                        order.done(name)
+                    self._tell(run_id, [log[f["task"]] for f in (future.result() for future in ended)])
         records = [{"run_id": run_id, "run_started_at": started, **log[name]} for name in log]
         self._remember(records, inputs)
         failed = [r["task"] for r in records if r["phase"] == "failed"]
@@ -158,17 +202,25 @@ class Runner:
         started = _now()
         try:
             if name in self.project.adapters:
-                self.load_adapter(self.project.adapters[name])
+                if self.load_adapter(self.project.adapters[name]) is None:
+                    return _record(name, "no_data", started, _now())
             else:
                 self.build_model(self.project.models[name])
         except Exception as error:  # noqa: BLE001 - one failed step must not end the others
             return _record(name, "failed", started, _now(), f"{type(error).__name__}: {error}")
         return _record(name, "completed", started, _now())
 
+    def _has_old_table(self, record) -> bool:
+        return record["phase"] == "no_data" and table_exists(self.spark, record["task"])
+
+    def _tell(self, run_id, records) -> None:
+        rows = [(run_id, r["task"], r["phase"], r["completed_at"] or r["started_at"] or _now(), r["error"]) for r in records]
+        self._append("progress", self.spark.createDataFrame(rows, PROGRESS_FIELDS))
+
     def _remember(self, records: list[dict], inputs: dict[str, list[str]]) -> None:
         """Log the run and update the state of completed steps.
 
-        A failed or skipped step keeps its earlier state, so it still counts as changed the
+        A step that failed, was skipped or found no data keeps its earlier state, so it still counts as changed the
         next time; declarations that were dropped leave. Both tables have a row per step.
         """
         self._append("run_log", self.spark.createDataFrame(records, LOG_FIELDS))

@@ -10,67 +10,70 @@ from tidemill.session import scratch_path
 from workloads.loading import MICROSECONDS
 from workloads.registry import query, table
 
-# Logs are counted per user before they meet the users, so a busy user is one row in the join.
-STAGED_LOGS = """
-SELECT ts::TIMESTAMP_NTZ AS event_time, user_id, event_type AS action, CAST(FLOOR(value) AS BIGINT) AS duration, DATE(ts) AS event_date
-FROM {db}.app_logs WHERE value > 0
+# Events are counted per customer and day before anything else, so a busy customer is a row a day.
+DAYS = """
+SELECT user_id, DATE(ts) AS day, COUNT(*) AS taps FROM {db}.taps WHERE event_type <> 'error' GROUP BY user_id, DATE(ts)
 """
-ACTIVITY = """
-SELECT u.c_custkey AS user_id, u.c_name AS name, u.c_mktsegment AS segment, COALESCE(l.active_days, 0) AS active_days,
-       COALESCE(l.total_actions, 0) AS total_actions, l.avg_duration, l.last_activity
-FROM {db}.users u LEFT JOIN (
-    SELECT user_id, COUNT(DISTINCT event_date) AS active_days, COUNT(action) AS total_actions,
-           AVG(duration) AS avg_duration, MAX(event_time) AS last_activity
-    FROM {db}.staged_logs GROUP BY user_id) l ON u.c_custkey = l.user_id
+STREAKS = """
+SELECT user_id, COUNT(*) AS days, COUNT_IF(earlier IS NULL OR DATEDIFF(day, earlier) > 1) AS streaks, MAX(taps) AS busiest
+FROM (SELECT *, LAG(day) OVER (PARTITION BY user_id ORDER BY day) AS earlier FROM {db}.days) GROUP BY user_id
 """
-SALES = """
-SELECT l_partkey, COUNT(*) AS order_count, SUM(l_quantity) AS quantity_sold, ROUND(SUM(l_extendedprice), 2) AS revenue
-FROM {db}.lines GROUP BY l_partkey
+RETENTION = """
+SELECT c_custkey, c_name, c_mktsegment, days, streaks, busiest, days IS NOT NULL AND days >= 3 * streaks AS loyal
+FROM {db}.clients LEFT JOIN {db}.streaks ON c_custkey = user_id
 """
-PERFORMANCE = """
-SELECT p.p_partkey AS product_id, p.p_name AS product_name, p.p_type AS category, s.order_count, s.quantity_sold, s.revenue
-FROM {db}.products p LEFT JOIN {db}.sales s ON p.p_partkey = s.l_partkey
+DELIVERY = """
+SELECT l_suppkey, COUNT(*) AS shipped, COUNT_IF(l_shipdate > o_orderdate + INTERVAL 60 DAYS) AS slow
+FROM {db}.lines JOIN {db}.placed ON l_orderkey = o_orderkey GROUP BY l_suppkey
 """
-CATEGORIES = "SELECT category, SUM(quantity_sold) AS units_sold, ROUND(SUM(revenue), 2) AS revenue FROM {db}.performance GROUP BY category"
-ACTIVE_USERS = """
-SELECT name, segment, total_actions, active_days, ROUND(avg_duration, 2) AS avg_duration_seconds
-FROM {db}.activity WHERE total_actions > 0 ORDER BY total_actions DESC, name LIMIT 10
+RATING = """
+SELECT s_suppkey, s_nationkey, COALESCE(shipped, 0) AS shipped,
+       CASE WHEN slow * 2 > shipped THEN 'slow' WHEN shipped > 0 THEN 'steady' END AS rating
+FROM {db}.suppliers LEFT JOIN {db}.delivery ON s_suppkey = l_suppkey
+"""
+NATIONS = "SELECT s_nationkey, rating, COUNT(*) AS suppliers, SUM(shipped) AS shipped FROM {db}.rating GROUP BY s_nationkey, rating"
+STEADY = """
+SELECT c_name, c_mktsegment, days, streaks, busiest FROM {db}.retention
+WHERE loyal ORDER BY days DESC, streaks, c_name LIMIT 10
 """
 
-# The oracles join first and group afterwards, as the models are usually written.
-_ACTIVITY_SQL = """
-SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS segment, COUNT(DISTINCT CAST(ts AS DATE)) AS active_days,
-       COUNT(event_type) AS total_actions, AVG(CAST(FLOOR(value) AS BIGINT)) AS avg_duration, MAX(ts) AS last_activity
-FROM customer LEFT JOIN (SELECT * FROM events WHERE value > 0) e ON c_custkey = user_id GROUP BY c_custkey, c_name, c_mktsegment
+# The oracles leave the models' steps out and put them in other words.
+_RETENTION_SQL = """
+WITH seen AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type <> 'error'),
+starts AS (SELECT user_id, COUNT(*) AS days, COUNT(*) FILTER (WHERE NOT EXISTS (
+               SELECT 1 FROM seen e WHERE e.user_id = seen.user_id AND e.day = seen.day - 1)) AS streaks FROM seen GROUP BY user_id),
+peaks AS (SELECT user_id, MAX(n) AS busiest FROM (
+              SELECT user_id, COUNT(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id, CAST(ts AS DATE)) GROUP BY user_id)
+SELECT c_custkey, c_name, c_mktsegment, days, streaks, busiest, COALESCE(days >= 3 * streaks, false) AS loyal
+FROM customer LEFT JOIN starts ON c_custkey = starts.user_id LEFT JOIN peaks ON c_custkey = peaks.user_id
 """
-_ACTIVE_USERS_SQL = f"""
-SELECT name, segment, total_actions, active_days, CAST(ROUND(CAST(avg_duration AS DECIMAL(28, 10)), 2) AS DOUBLE) AS avg_duration_seconds
-FROM ({_ACTIVITY_SQL}) WHERE total_actions > 0 ORDER BY total_actions DESC, name LIMIT 10
+_STEADY_SQL = f"""
+SELECT c_name, c_mktsegment, days, streaks, busiest FROM ({_RETENTION_SQL}) WHERE loyal ORDER BY days DESC, streaks, c_name LIMIT 10
 """
-_PERFORMANCE_SQL = """
-SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category, n AS order_count, q AS quantity_sold, r AS revenue
-FROM part LEFT JOIN (SELECT l_partkey, COUNT(*) AS n, SUM(l_quantity) AS q, ROUND(SUM(l_extendedprice), 2) AS r
-                     FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey
+_RATING_SQL = """
+SELECT s_suppkey, s_nationkey, COUNT(l_orderkey) AS shipped,
+       CASE WHEN COUNT(l_orderkey) = 0 THEN NULL
+            WHEN COUNT(*) FILTER (l_shipdate - INTERVAL 60 DAY > o_orderdate) * 2 > COUNT(*) THEN 'slow' ELSE 'steady' END AS rating
+FROM supplier LEFT JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON s_suppkey = l_suppkey
+GROUP BY s_suppkey, s_nationkey
 """
 
 
-def project_over(sf_dir: str, db: str, users=None, logs=None) -> Project:
+def project_over(sf_dir: str, db: str, clients=None, taps=None) -> Project:
     """Adapters over the provided tables and the models above, all in database ``db``."""
-    project = Project().connect("data", LocalFiles(sf_dir))
-    users = users or FileSource("customer.parquet", "parquet")
-    logs = logs or FileSource("events.parquet", "parquet")
-    project.add(
-        Adapter(f"{db}.users", "data", users),
-        Adapter(f"{db}.app_logs", "data", logs),
-        Adapter(f"{db}.products", "data", FileSource("part.parquet", "parquet")),
-        Adapter(f"{db}.lines", "data", FileSource("lineitem.parquet", "parquet")),
-    )
+    parquet = lambda name: FileSource(f"{name}.parquet", "parquet")
+    sources = {
+        "clients": clients or parquet("customer"), "taps": taps or parquet("events"),
+        "suppliers": parquet("supplier"), "lines": parquet("lineitem"), "placed": parquet("orders"),
+    }
     models = {
-        "staged_logs": STAGED_LOGS, "activity": ACTIVITY,
-        "sales": SALES, "performance": PERFORMANCE, "categories": CATEGORIES,
+        "days": DAYS, "streaks": STREAKS, "retention": RETENTION,
+        "delivery": DELIVERY, "rating": RATING, "nations": NATIONS,
     }
+    project = Project().connect("data", LocalFiles(sf_dir))
+    project.add(*[Adapter(f"{db}.{name}", "data", source) for name, source in sources.items()])
     project.add(*[Model(f"{db}.{name}", sql.format(db=db)) for name, sql in models.items()])
-    return project.add(Query("active_users", ACTIVE_USERS.format(db=db)))
+    return project.add(Query("steady", STEADY.format(db=db)))
 
 
 def runner_for(spark, sf_dir, **sources) -> tuple[Runner, str]:
@@ -79,54 +82,54 @@ def runner_for(spark, sf_dir, **sources) -> tuple[Runner, str]:
     return Runner(spark, project, scratch_path(spark, db), state=f"{db}_state"), db
 
 
-@query("run_end_to_end", _ACTIVE_USERS_SQL)
-def users_and_logs_end_to_end(spark, sf_dir):
-    """CSV users and JSON logs to tables, two models over them, then a saved query."""
+@query("run_end_to_end", _STEADY_SQL)
+def clients_and_taps_end_to_end(spark, sf_dir):
+    """CSV customers and JSON events to tables, three models over them, then a saved query."""
     base = scratch_path(spark, "export")
-    table(spark, sf_dir, "customer").write.option("header", True).csv(f"{base}/users")
-    table(spark, sf_dir, "events").write.options(**MICROSECONDS).json(f"{base}/logs")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(f"{base}/clients")
+    table(spark, sf_dir, "events").write.options(**MICROSECONDS).json(f"{base}/taps")
     runner, db = runner_for(
-        spark, sf_dir, users=FileSource(f"{base}/users", "csv"), logs=FileSource(f"{base}/logs/*.json", "json")
+        spark, sf_dir, clients=FileSource(f"{base}/clients", "csv"), taps=FileSource(f"{base}/taps/*.json", "json")
     )
-    runner.run_target(f"{db}.activity")
-    return runner.query("active_users")
+    runner.run_target(f"{db}.retention")
+    return runner.query("steady")
 
 
-@query("model_user_activity", _ACTIVITY_SQL)
-def user_activity(spark, sf_dir):
+@query("model_user_activity", _RETENTION_SQL)
+def retention(spark, sf_dir):
     runner, db = runner_for(spark, sf_dir)
-    for name in ("users", "app_logs"):
+    for name in ("clients", "taps"):
         runner.load_adapter(runner.project.adapters[f"{db}.{name}"])
-    runner.build_model(runner.project.models[f"{db}.staged_logs"])
-    return runner.build_model(runner.project.models[f"{db}.activity"])
+    for name in ("days", "streaks"):
+        runner.build_model(runner.project.models[f"{db}.{name}"])
+    return runner.build_model(runner.project.models[f"{db}.retention"])
 
 
-@query("model_chain", f"SELECT category, SUM(quantity_sold) AS units_sold, ROUND(SUM(revenue), 2) AS revenue FROM ({_PERFORMANCE_SQL}) GROUP BY category")
+@query("model_chain", f"SELECT s_nationkey, rating, COUNT(*) AS suppliers, SUM(shipped)::BIGINT AS shipped FROM ({_RATING_SQL}) GROUP BY s_nationkey, rating")
 def chain_of_models(spark, sf_dir):
     runner, db = runner_for(spark, sf_dir)
-    runner.run()
-    return spark.table(f"{db}.categories")
+    runner.run_target(f"{db}.nations")
+    return spark.table(f"{db}.nations")
 
 
-@query("target_run", _PERFORMANCE_SQL)
+@query("target_run", _RATING_SQL)
 def one_target(spark, sf_dir):
     runner, db = runner_for(spark, sf_dir)
-    runner.run_target(f"{db}.performance")
-    return spark.table(f"{db}.performance")
+    runner.run_target(f"{db}.rating")
+    return spark.table(f"{db}.rating")
 
 
-@query("incremental_rebuild", _PERFORMANCE_SQL.replace("FROM lineitem", "FROM lineitem WHERE l_returnflag <> 'R'"))
+@query("incremental_rebuild", _RATING_SQL.replace("lineitem JOIN orders ON l_orderkey = o_orderkey", "lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'"))
 def rebuild_after_a_change(spark, sf_dir):
     """A changed model and what is downstream of it are rebuilt; everything else stays."""
     runner, db = runner_for(spark, sf_dir)
-    runner.run_target(f"{db}.performance")
-    without_returns = SALES.format(db=db).replace("GROUP BY", "WHERE l_returnflag <> 'R' GROUP BY")
+    runner.run_target(f"{db}.rating")
     project = runner.project
-    for unrelated in ("staged_logs", "activity", "categories"):
+    for unrelated in ("days", "streaks", "retention", "nations"):
         del project.models[f"{db}.{unrelated}"]
-    for unrelated in ("users", "app_logs"):
+    for unrelated in ("clients", "taps"):
         del project.adapters[f"{db}.{unrelated}"]
-    project.add(Model(f"{db}.sales", without_returns))
+    project.add(Model(f"{db}.delivery", DELIVERY.format(db=db).replace("GROUP BY", "WHERE l_returnflag <> 'R' GROUP BY")))
     rebuilt = {record["task"] for record in runner.run_changed()}
-    assert rebuilt == {f"{db}.sales", f"{db}.performance"}, rebuilt
-    return spark.table(f"{db}.performance")
+    assert rebuilt == {f"{db}.delivery", f"{db}.rating"}, rebuilt
+    return spark.table(f"{db}.rating")

@@ -20,19 +20,17 @@ sql_query(
        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F'""",
 )
 
-# Lines are summed per part before the join, so a part with many lines is one row in it.
+# Lines are grouped per order before the join, so an order is one row in it whatever its length.
 sql_query(
     "left_join_agg",
-    """SELECT p.p_partkey AS product_id, p.p_name AS product_name, p.p_type AS category, p.p_retailprice AS price,
-              COALESCE(s.order_count, 0) AS order_count, s.total_quantity_sold, s.total_revenue, s.avg_quantity
-       FROM {part} p LEFT JOIN (
-           SELECT l_partkey, COUNT(*) AS order_count, SUM(l_quantity) AS total_quantity_sold,
-                  ROUND(SUM(l_extendedprice), 2) AS total_revenue, AVG(l_quantity) AS avg_quantity
-           FROM {lineitem} GROUP BY l_partkey) s ON p.p_partkey = s.l_partkey""",
-    """SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category, p_retailprice AS price,
-              COUNT(l_orderkey) AS order_count, SUM(l_quantity) AS total_quantity_sold,
-              ROUND(SUM(l_extendedprice), 2) AS total_revenue, AVG(l_quantity) AS avg_quantity
-       FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL""",
+    """SELECT o.o_orderkey, o.o_orderpriority, l.parcels, l.last_ship > o.o_orderdate + INTERVAL 30 DAYS AS slow
+       FROM {orders} o LEFT JOIN (
+           SELECT l_orderkey, COUNT(DISTINCT l_suppkey) AS parcels, MAX(l_shipdate) AS last_ship
+           FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey""",
+    """SELECT o_orderkey, o_orderpriority, NULLIF(COUNT(DISTINCT l_suppkey), 0) AS parcels,
+              MAX(l_shipdate) > o_orderdate + INTERVAL 30 DAYS AS slow
+       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus = 'F'
+       GROUP BY o_orderkey, o_orderpriority, o_orderdate""",
 )
 
 sql_query(
@@ -44,21 +42,21 @@ sql_query(
 
 sql_query(
     "group_by_columns",
-    """SELECT p_type AS category, COUNT(*) AS product_count, AVG(p_size) AS avg_size,
-              MIN(p_retailprice) AS min_price, MAX(p_retailprice) AS max_price
-       FROM {part} GROUP BY p_type""",
+    """SELECT c_nationkey, c_mktsegment, MAX(c_acctbal) - MIN(c_acctbal) AS spread, COUNT_IF(c_acctbal < 0) AS in_debt
+       FROM {customer} GROUP BY c_nationkey, c_mktsegment""",
 )
 
 sql_query(
     "group_by_date",
-    """SELECT DATE(o_orderdate) AS order_day, ROUND(SUM(o_totalprice), 2) AS daily_revenue
-       FROM {orders} WHERE o_orderstatus = 'F' GROUP BY DATE(o_orderdate) ORDER BY order_day""",
+    """SELECT DATE(l_shipdate) AS shipped_on, l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, MAX(l_quantity) AS largest
+       FROM {lineitem} WHERE l_linestatus <> 'O' GROUP BY DATE(l_shipdate), l_returnflag""",
 )
 
 sql_query(
     "global_agg",
-    """SELECT COUNT(*) AS user_count, MIN(o_orderdate) AS first_created, MAX(o_orderdate) AS latest_created
-       FROM {orders}""",
+    """SELECT COUNT(DISTINCT l_partkey) AS parts_sold, MAX(l_tax) AS top_tax, COUNT_IF(l_discount = 0) AS full_price,
+              MIN(l_shipdate) AS first_parcel
+       FROM {lineitem}""",
 )
 
 sql_query(

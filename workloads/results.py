@@ -20,10 +20,10 @@ sql_query(
 )
 
 
-def saved(spark, sf_dir, *specs_of_view):
-    """A runner whose saved queries read a view over the orders."""
-    view = f"orders_{uuid.uuid4().hex[:12]}"
-    table(spark, sf_dir, "orders").createOrReplaceTempView(view)
+def saved(spark, sf_dir, *specs_of_view, of="orders"):
+    """A runner whose saved queries read a view over one of the tables."""
+    view = f"{of}_{uuid.uuid4().hex[:12]}"
+    table(spark, sf_dir, of).createOrReplaceTempView(view)
     return Runner(spark, Project().add(*[spec(view) for spec in specs_of_view]))
 
 
@@ -68,16 +68,18 @@ def describe_over_inferred_types(spark, sf_dir):
 
 @query(
     "chart_series_line",
-    """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS label, ROUND(SUM(o_totalprice), 2) AS value, CAST(NULL AS VARCHAR) AS value_text
-       FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
+    """SELECT CAST(HOUR(ts) AS VARCHAR) AS label, CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS value_text
+       FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""",
 )
-def revenue_trend(spark, sf_dir):
-    text = "SELECT DATE(o_orderdate) AS day, ROUND(SUM(o_totalprice), 2) AS revenue FROM {} WHERE o_orderstatus = 'F' GROUP BY DATE(o_orderdate) ORDER BY day"
+def visitors_by_hour(spark, sf_dir):
+    text = """SELECT HOUR(ts) AS hour, COUNT(DISTINCT user_id) AS visitors FROM {}
+              WHERE event_type IN ('click', 'view') GROUP BY HOUR(ts) ORDER BY hour"""
     return saved(
         spark, sf_dir,
-        lambda view: Query("trend", text.format(view)),
-        lambda _: Dashboard("trend", "trend", "line", "day", "revenue"),
-    ).dashboard("trend")
+        lambda view: Query("by_hour", text.format(view)),
+        lambda _: Dashboard("by_hour", "by_hour", "line", "hour", "visitors"),
+        of="events",
+    ).dashboard("by_hour")
 
 
 @query(
