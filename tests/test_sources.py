@@ -237,8 +237,14 @@ def test_sqlite_table_in_ranges(spark, shop, monkeypatch):
     assert rows == [(7, "p1", Decimal("1.25"), 0.5, date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5), b"\x01", True), (9000, *[None] * 7)]
     reader = sqlite.SqliteReader(df.schema, {"files": json.dumps([shop]), "table": "products", "rowsPerPartition": "1000"})
     assert len(reader.partitions()) == 9
-    assert sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part)) == 1001
-    assert df.count() == 1001
+    reader.step = 1
+    wide = sqlite3.connect(shop)
+    wide.execute("INSERT INTO products (id) VALUES (2000000000000)")
+    wide.commit()
+    wide.close()
+    assert len(reader.partitions()) <= sqlite.MAX_PARTITIONS
+    assert sum(batch.num_rows for part in reader.partitions() for batch in reader.read(part)) == 1002
+    assert ingest(spark, Adapter("p", "c", DatabaseSource("products")), Sqlite(shop)).count() == 1002
 
 
 def test_sqlite_empty_missing_and_without_rowid(spark, shop):

@@ -52,3 +52,12 @@ def test_empty_table(spark):
 
 def test_scratch_names_differ():
     assert tables.scratch_name("x") != tables.scratch_name("x")
+
+
+def test_a_database_lies_below_the_store_whichever_table_comes_first(spark, tmp_path):
+    for name in ("zz.second", "zz.first"):
+        tables.create_or_replace(spark.range(1), name, str(tmp_path / "store" / name))
+    where = spark.sql("DESCRIBE DATABASE zz").where("info_name = 'Location'").first()[1]
+    assert where.endswith("/store/zz.db")
+    assert tables.list_tables(spark, "fir'st*", "zz").count() == 0
+    spark.sql("DROP DATABASE zz CASCADE")

@@ -26,7 +26,7 @@ def create_or_replace(
     the earlier one for queries still reading it.
     """
     spark = df.sparkSession
-    ensure_database(spark, name, f"{location.rstrip('/')}.db" if location else None)
+    ensure_database(spark, name, location.rstrip("/").rpartition("/")[0] if location else None)
     scratch = scratch_name(name)
     writer = df.write.format("parquet")
     if location:
@@ -88,16 +88,21 @@ def schema_rows(df: DataFrame) -> DataFrame:
 def list_tables(spark: SparkSession, like: str = "*", database: str | None = None) -> DataFrame:
     """Names of the catalog's tables matching a pattern; views are left out."""
     where = f" IN {quoted(database)}" if database else ""
-    shown = spark.sql(f"SHOW TABLES{where} LIKE '{like}'")
+    shown = spark.sql(f"SHOW TABLES{where} LIKE {_text(like)}")
     return shown.where(~F.col("isTemporary")).select(F.col("tableName").alias("table_name")).orderBy("table_name")
 
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Create the database a two-part table name lives in; ``location`` is its own default folder."""
+    """Create the database a two-part table name lives in, as ``<database>.db`` below ``location``."""
     if "." in name:
-        where = f" LOCATION '{location}'" if location else ""
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name.rsplit('.', 1)[0])}{where}")
+        database = name.rsplit(".", 1)[0]
+        where = f" LOCATION {_text(f'{location}/{database}.db')}" if location else ""
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}{where}")
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def quoted(name: str) -> str:
-    return ".".join(f"`{part}`" for part in name.split("."))
+    return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))

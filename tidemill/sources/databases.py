@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.errors import MissingSource
@@ -54,13 +54,26 @@ def read_jdbc(spark: SparkSession, connection, source: DatabaseSource) -> DataFr
     return _load(reader.option("dbtable", source.table), source)
 
 
+# SQL states of a missing table (standard and MySQL, PostgreSQL, Derby).
+_NO_TABLE = ("42S02", "42P01", "42X05")
+
+
 def _load(reader, source):
     """Resolving the schema is the existence check; no rows are counted."""
     try:
         return reader.load()
-    except (Py4JJavaError, AnalysisException) as error:
-        text = str(error).lower()
-        # How common databases word a missing table.
-        if any(words in text for words in ("does not exist", "doesn't exist", "no such table", "not found")):
+    except (Py4JJavaError, PySparkException) as error:
+        if _sql_state(error) in _NO_TABLE:
             raise MissingSource(f"source table {source.table!r} does not exist") from error
         raise
+
+
+def _sql_state(error) -> str | None:
+    """The state of the database's own exception below Spark's."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None:
+        try:
+            return cause.getSQLState()
+        except Exception:  # noqa: BLE001 - not an exception of a database
+            cause = cause.getCause()
+    return None

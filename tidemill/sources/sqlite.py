@@ -19,6 +19,8 @@ from tidemill.sources.storage import is_local, local_path, open_input
 
 ROWS_PER_PARTITION = 250_000
 BATCH_ROWS = 10_000
+#: Ranges of row ids one file is read in, at most.
+MAX_PARTITIONS = 4096
 
 # Fragments of declared SQLite types, tried in this order, and the Spark type read.
 _DECLARED = (
@@ -109,7 +111,9 @@ class SqliteReader(DataSourceReader):
             return [RowRange(path, None, None)]
         if low is None:
             return []
-        return [RowRange(path, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
+        # Row ids may lie far apart, so it is the number of ranges that is bounded.
+        step = max(self.step, -(-(high - low + 1) // MAX_PARTITIONS))
+        return [RowRange(path, at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
 
     def read(self, partition):
         if partition is None:  # what Spark passes when there are no partitions: the table is empty
