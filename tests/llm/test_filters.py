@@ -236,6 +236,13 @@ def test_pages():
     assert content_lines([]) == content_lines([0.0, 0.0]) == [] and content_lines([1.0]) == [0]
 
 
+def test_labels_of_layouts_and_article_heads():
+    page = """<div class="page has-sidebar"><article class="post comments-open"><div class="post-header">Head</div>
+    <p>A text of some length stands here.</p><div class="post_ad-box">Buy</div><div class="share-bar">Share</div></article>
+    <div id="main-sidebar">Side</div><article class="comment"><p>Reader text that is rather long as well.</p></article></div>"""
+    assert main_text(page) == "Head\nA text of some length stands here."
+
+
 def test_page_rows(spark):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "<p>" + "word " * 100_000, 3)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int")

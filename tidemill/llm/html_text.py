@@ -8,6 +8,7 @@ label that they are furniture (menus, footers, adverts and so on) count as lines
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from html.parser import HTMLParser
@@ -30,12 +31,15 @@ FURNITURE = frozenset(
 )
 REGIONS = frozenset(("article", "main"))
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
-LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|"
-    r"cookie|cookies|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|"
-    r"pagination|popup|promo|promotion|related|replies|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|"
-    r"subscribe|toolbar|widget)(?:$|[\s_-])"
+LABELS = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
+    "disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
+    "promotion related replies share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Labels that the head of an article has as well, and words that make a label tell of a layout.
+HEADS = frozenset(("header", "masthead"))
+LAYOUT = frozenset("has is js no with without".split())
+_PARTS = re.compile("[-_]+")
 #: Lines on each side that smoothing takes in, and its width.
 RADIUS, SIGMA = 2, 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
@@ -72,7 +76,7 @@ class _Lines(HTMLParser):
             self.open.clear()
         _, furniture, region = self.open[-1] if self.open else ("", False, 0)
         if not furniture:
-            furniture = tag in FURNITURE or (tag == "header" and not region) or (bool(attrs) and tag != "body" and _labelled(attrs))
+            furniture = tag in FURNITURE or (tag == "header" and not region) or (bool(attrs) and tag != "body" and _labelled(tag, attrs, region))
         if tag in REGIONS and not furniture:
             self.regions += 1
             region = self.regions
@@ -99,15 +103,34 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def _labelled(attrs):
+def _labelled(tag, attrs, region):
+    """Whether attributes say that an element is furniture.
+
+    Labels are looked for among the words of a class or id, of an article or main element only
+    as whole names, since these often tell what else is on the page.
+    """
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if value and (name in ("class", "id") and LABELS.search(value.lower()) or name == "role" and value.lower() in ROLES):
+        if name in ("class", "id") and value:
+            labels = _labels(value, tag in REGIONS)
+            if labels and not (region and labels <= HEADS):
+                return True
+        if name == "role" and value and value.lower() in ROLES:
             return True
     return False
 
 
+@functools.lru_cache(4096)
+def _labels(value, whole):
+    found = set()
+    for label in value.lower().split():
+        parts = [label] if whole else _PARTS.split(label)
+        if parts[0] not in LAYOUT:
+            found.update(parts)
+    return found & LABELS
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by line feeds.
 

@@ -205,7 +205,15 @@ def repeated_strings(
     name = f"blocks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(_blocks(block_bytes, kind), f"block bigint, ids array<{id_type}>, lengths array<int>, data binary")
     made.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    try:
+        return _search_blocks(spark.table(name), search, buckets, id_col, id_type, kind)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _search_blocks(blocks, search, buckets, id_col, id_type, kind):
+    """The result, as a table of its own; what was needed on the way is gone by then."""
+    bits, length = search.bits, search.length
 
     def ranks(batches):
         for row, block in _read(batches):
@@ -229,7 +237,6 @@ def repeated_strings(
     out, _ = kept(both.mapInArrow(result, schema), "removed")
     drop_first()
     drop_second()
-    spark.sql(f"DROP TABLE {name}")
     return out
 
 
