@@ -22,8 +22,8 @@ from tidemill.llm.common import map_rows
 from tidemill.llm.pretokens import splitter
 
 #: States and words a task remembers; both are made anew when there are more.
-MAX_STATES = 150_000
-MEMO_WORDS = 300_000
+MAX_STATES = 250_000
+MEMO_WORDS = 600_000
 MEMO_CHARS = 64
 
 
