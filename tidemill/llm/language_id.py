@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import kept, map_rows
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Labelled documents of a language that a model is fitted on; those with the lowest hash of their id.
+#: Labelled documents of a language that a model is fitted on; those with the lowest hash.
 FIT_DOCS = 300
 ROUNDS = 2
 SMOOTHING = 0.05
@@ -274,11 +274,16 @@ def identify_languages(
     the language that sorts first. Repeated rows stay; other columns are not read.
     """
     remainder = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
-    ranked = (
-        docs.where((remainder != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    labelled = docs.where((remainder != 0) & F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("hash")
     )
+    # Only rows with low hashes are ranked, several times as many as needed, whatever the input's size.
+    share = F.least(F.lit(1.0), F.lit(10.0 * fit_docs) / F.count(F.lit(1)))
+    shares, drop = kept(labelled.groupBy("lang").agg(share.alias("share")), "shares")
+    low = labelled.join(F.broadcast(shares), "lang").where(F.pmod("hash", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(1 << 20)), "hash", "id")
+    ranked = low.withColumn("rank", F.row_number().over(by_hash))
     langs, table = fit(ranked.where(F.col("rank") <= fit_docs).select("lang", "text"), vocabulary)
+    drop()
     rows = docs.select(F.col(id_col), F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
     return predict(rows, langs, table, [id_col, "held_out"], "_text", vocabulary)
