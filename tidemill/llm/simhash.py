@@ -194,14 +194,23 @@ def keep_one_of_each(
     rows that are equal throughout one stays. Rows to drop are joined by that digest: by
     broadcast where they were measured to be few, otherwise by a shuffle.
     """
-    columns = docs.columns
-    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])), 256)
-    named = docs.withColumn("_row", digest)
+    columns, named = docs.columns, with_digest(docs)
     marked, _ = kept(fingerprints(named, ["_row", id_col], text_col, words), "prints")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     distinct, _ = kept(marked.groupBy("print").agg(F.min(order).alias("best")), "distinct")
     linked = distinct.join(roots(distinct.select("print"), radius), "print", "left")
     best = linked.groupBy(F.coalesce("root", "print").alias("root")).agg(F.min("best").alias("best"))
+    return keep_best(named, columns, marked, best)
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_row``, a digest of all columns."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256)
+    return docs.withColumn("_row", digest)
+
+
+def keep_best(named: DataFrame, columns: list[str], marked: DataFrame, best: DataFrame) -> DataFrame:
+    """Of the rows ``marked(_row)`` those of ``best(best.row)``, once each."""
     rows = marked.groupBy("_row").count()
     fate = rows.join(best.select(F.col("best.row").alias("_row"), F.lit(True).alias("chosen")), "_row", "left")
     doomed, _ = kept(fate.where("chosen is null or count > 1").select("_row", F.col("chosen").isNull().alias("drop")), "doomed")
