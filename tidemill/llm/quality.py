@@ -25,6 +25,8 @@ RULES = (
 )
 #: A host is rejected if its documents fail, on average after shrinking, more than this share of the rules.
 MAX_RATE = 0.5
+#: The pipeline rejects a host if more than this share of its documents, after shrinking, fail any rule.
+MAX_FAILING = 0.5
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -59,28 +61,38 @@ def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     return map_rows(docs, [*(F.col(c) for c in carry), F.col(text_col)], schema, make)
 
 
-def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE, by_document: bool = False) -> DataFrame:
     """``(host, n_docs, failures, rate, rejected)`` for each host; null hosts have none.
 
-    Failures are summed over documents and rules. The prior is a beta distribution with the
+    Failures are summed over documents and rules; ``by_document`` makes a document one trial,
+    failed if it breaks any rule, and takes from the variance what chance
+    adds to the rates of hosts with few documents. The prior is a beta distribution with the
     mean and variance of the hosts' raw rates (moments over hosts with at least one document,
     from one row of sums), so a host with few documents stays near the common rate. Without
     variance between hosts there is nothing to learn from, and the prior weighs as much as
     the trials of all hosts together.
     """
-    failures = sum((F.expr(f"int({rule})") for rule in RULES), F.lit(0))
+    if by_document:
+        failures, per_document = F.expr(f"int({' OR '.join(f'({rule})' for rule in RULES)})"), 1
+    else:
+        failures, per_document = sum((F.expr(f"int({rule})") for rule in RULES), F.lit(0)), len(RULES)
     hosts = (
         measured.where(F.col(host_col).isNotNull())
         .groupBy(F.col(host_col).alias("host"))
         .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failures).alias("failures"))
-        .withColumn("trials", F.col("n_docs") * len(RULES))
+        .withColumn("trials", F.col("n_docs") * per_document)
     )
     raw = F.col("failures") / F.col("trials")
     sums = hosts.agg(
-        F.sum("failures").alias("f"), F.sum("trials").alias("t"), F.var_pop(raw).alias("v"), F.avg(raw).alias("m")
-    ).select(
+        F.sum("failures").alias("f"), F.sum("trials").alias("t"), F.var_pop(raw).alias("v"), F.avg(raw).alias("m"), F.avg(1 / F.col("trials")).alias("a")
+    ).withColumn("most", F.col("m") * (1 - F.col("m")))
+    if by_document:
+        between = (F.col("v") - F.col("a") * F.col("most"), (1 - F.col("a")) * F.col("most"))
+    else:
+        between = F.col("v"), F.col("most")
+    sums = sums.select(
         F.col("m"),
-        F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0)))
+        F.when(between[0] > 0, F.greatest(between[1] / between[0] - 1, F.lit(0.0)))
         .otherwise(F.col("t").cast("double"))
         .alias("strength"),
     )
@@ -92,9 +104,9 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float
     )
 
 
-def _rejected(measured, host_col, max_rate):
+def _rejected(measured, host_col, max_rate, by_document=False):
     """Hosts to reject, marked for broadcast only after their measured size allowed it."""
-    hosts, _ = kept(host_verdicts(measured, host_col, max_rate).where("rejected").select("host"), "hosts")
+    hosts, _ = kept(host_verdicts(measured, host_col, max_rate, by_document).where("rejected").select("host"), "hosts")
     return measured_broadcast(hosts, F.octet_length("host") + 64)
 
 
@@ -123,14 +135,18 @@ def quality_rules(
 
 
 def keep_good(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_FAILING
 ) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with all their columns; texts are not shuffled
-    unless rejected hosts are too many to broadcast."""
+    """The documents that pass the base rules and whose host is not rejected, with all their columns.
+
+    Here a document is one trial of its host, failed if it breaks any rule, so a host goes if
+    most of its documents fail; the verdicts of ``quality_rules``, which its SQL states, count
+    each rule as a trial. Texts are not shuffled unless rejected hosts are too many to broadcast.
+    """
     names = docs.columns
     carry = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
     measured, _ = kept(with_measures(carry, ["_host"], "_text"), "measured")
-    bad = _rejected(measured, "_host", max_rate)
+    bad = _rejected(measured, "_host", max_rate, by_document=True)
     good = _passing(docs, text_col)
     return good.join(bad, good[host_col] == bad["host"], "left_anti").select(*names)
 
