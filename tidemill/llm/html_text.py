@@ -24,6 +24,22 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a start tag closes that was left open, unless one of the second set lies between.
+_TABLE = frozenset(("table",))
+_ITEM_ENDS = BLOCKS - {"address", "div", "p"}
+CLOSES = {
+    "li": (frozenset(("li",)), _ITEM_ENDS - {"li"}),
+    "dt": (frozenset(("dt", "dd")), _ITEM_ENDS - {"dt", "dd"}),
+    "dd": (frozenset(("dt", "dd")), _ITEM_ENDS - {"dt", "dd"}),
+    "td": (frozenset(("td", "th")), _TABLE | {"tr"}),
+    "th": (frozenset(("td", "th")), _TABLE | {"tr"}),
+    "tr": (frozenset(("tr", "td", "th")), _TABLE),
+    **dict.fromkeys(("tbody", "tfoot", "thead"), (frozenset("caption tbody tfoot thead tr td th".split()), _TABLE)),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))),
+}
+ENDS_P = BLOCKS - frozenset("body caption option tbody td tfoot th thead tr".split())
+_P = frozenset(("p",)), frozenset("button caption object table td template th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset(
     "aside button canvas datalist dialog footer form head iframe input menu nav noscript object script select style "
@@ -46,14 +62,16 @@ _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADI
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text, tags, furniture, region)`` for each block, in page order.
+    """Collects ``(text, tags, furniture, region, block)`` for each block, in page order.
 
-    Text of furniture is not kept: a line that has nothing else is furniture itself."""
+    Articles and main elements inside others belong to the outermost one's region. Paragraphs,
+    list items, table cells and the like end where the next one starts. Text of furniture is not kept: a line that has nothing else is furniture itself."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, furniture, region
+        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # name, furniture, region, block
+        self.blocks: list[tuple[str, int]] = [("", 0)]  # name, block around it; the first is the page
         self.parts: list[str] = []
         self.tags = self.regions = 0
         self.other = False  # furniture in this line
@@ -61,12 +79,26 @@ class _Lines(HTMLParser):
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text or self.other:
-            self.lines.append((text, self.tags, not text, self.open[-1][2] if self.open else 0))
+            region, block = self.open[-1][2:] if self.open else (0, 0)
+            self.lines.append((text, self.tags, not text, region, block))
         self.parts, self.tags, self.other = [], 0, False
 
+    def close_open(self, names, until):
+        first = len(self.open)
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in until:
+                break
+            if self.open[i][0] in names:
+                first = i
+        del self.open[first:]
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.flush()
+            if tag in CLOSES:
+                self.close_open(*CLOSES[tag])
+            if tag in ENDS_P:
+                self.close_open(*_P)
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
@@ -74,13 +106,16 @@ class _Lines(HTMLParser):
             return
         if tag == "body":
             self.open.clear()
-        _, furniture, region = self.open[-1] if self.open else ("", False, 0)
+        _, furniture, region, block = self.open[-1] if self.open else ("", False, 0, 0)
         if not furniture:
             furniture = tag in FURNITURE or (tag == "header" and not region) or (bool(attrs) and tag != "body" and _labelled(tag, attrs, region))
-        if tag in REGIONS and not furniture:
+        if tag in REGIONS and not furniture and not region:
             self.regions += 1
             region = self.regions
-        self.open.append((tag, furniture, region))
+        if tag in BLOCKS:
+            self.blocks.append((tag, block))
+            block = len(self.blocks) - 1
+        self.open.append((tag, furniture, region, block))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -135,8 +170,9 @@ def main_text(html: str | None) -> str:
     """The content blocks of a page, joined by line feeds.
 
     Of a page with article or main elements, all blocks of those that hold a content cluster
-    are kept, so no short paragraph is lost; of other pages, the clusters and what lies between
-    the first and the last of them. Furniture is left out in either case.
+    are kept, so no short paragraph is lost; of other pages, the clusters, what lies between the
+    first and the last of them, and the paragraphs of the same element and headings of it or
+    those around it that stand next to these. Furniture is left out in either case.
     """
     if not html:
         return ""
@@ -145,13 +181,34 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser.flush()
     lines = parser.lines
-    ratios = [0.0 if furniture else len(text) / max(1, tags) for text, tags, furniture, _ in lines]
+    ratios = [0.0 if furniture else len(text) / max(1, tags) for text, tags, furniture, _, _ in lines]
     chosen = content_lines(ratios)
     regions = {lines[i][3] for i in chosen} - {0}
     if regions:
-        return "\n".join(text for text, _, furniture, region in lines if not furniture and region in regions)
-    inside = lines[chosen[0] : chosen[-1] + 1] if chosen else []
-    return "\n".join(text for text, _, furniture, _ in inside if not furniture)
+        return "\n".join(text for text, _, furniture, region, _ in lines if not furniture and region in regions)
+    inside = lines[_reach(parser, chosen[0], -1) : _reach(parser, chosen[-1], 1) + 1] if chosen else []
+    return "\n".join(text for text, _, furniture, _, _ in inside if not furniture)
+
+
+def _reach(parser, at, step):
+    """The last line from ``at`` on that belongs to its cluster; furniture between does not end it."""
+    blocks, lines = parser.blocks, parser.lines
+    block = lines[at][4]
+    container = blocks[block][1] if blocks[block][0] == "p" or blocks[block][0] in HEADINGS else block
+    around, outer = {container}, container
+    while outer:
+        outer = blocks[outer][1]
+        around.add(outer)
+    i = at + step
+    while 0 <= i < len(lines):
+        _, _, furniture, _, block = lines[i]
+        name, parent = blocks[block]
+        if not furniture:
+            if not (name == "p" and parent == container or name in HEADINGS and parent in around):
+                break
+            at = i
+        i += step
+    return at
 
 
 def content_lines(ratios: list[float]) -> list[int]:
