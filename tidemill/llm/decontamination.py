@@ -27,6 +27,7 @@ from tidemill.llm.word_hashes import mixed, plain, word_hashes
 #: Bytes of items that are searched for in one pass over the documents.
 BLOCK_BYTES = 32 << 20
 EDIT_SHARE = 0.2
+#: Items of fewer words are searched for as they are, all words in a row.
 MIN_WORDS = 5
 RECALL = 0.99
 #: Positions a repetition samples, and the share of positions assumed to agree at the edit limit.
@@ -92,16 +93,22 @@ def best_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Benchmark items prepared for the search; those under ``MIN_WORDS`` words identify nothing."""
+    """Benchmark items prepared for the search; those under ``MIN_WORDS`` words must occur exactly."""
 
     def __init__(self, items: list[tuple[object, str]], edit_share: float = EDIT_SHARE, recall: float = RECALL):
         hashes, bounds = word_hashes([plain(text) for _, text in items])
         words = [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
         self.share = edit_share
         self.by_length: dict[int, list[tuple[object, np.ndarray]]] = {}
+        short: dict[int, list[tuple[object, np.ndarray]]] = {}
         for (name, _), own in zip(items, words):
-            if len(own) >= MIN_WORDS:
-                self.by_length.setdefault(len(own), []).append((name, own))
+            if len(own):
+                (self.by_length if len(own) >= MIN_WORDS else short).setdefault(len(own), []).append((name, own))
+        self.short = {}
+        for n, group in short.items():
+            keys = _runs(np.concatenate([own for _, own in group]), n)[::n]
+            order = np.argsort(keys, kind="stable")
+            self.short[n] = (keys[order], [group[i] for i in order.tolist()])
         every = [_pairs(own) for group in self.by_length.values() for _, own in group]
         self.pairs = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
         self.shift = np.uint64(64 - max(16, (8 * len(self.pairs)).bit_length()))
@@ -122,8 +129,9 @@ class Items:
         """For each text ``(item, edits, first word, word after the last)`` of its items, by item order."""
         found: list[dict[int, tuple]] = [{} for _ in texts]
         words, bounds = word_hashes([plain(t) for t in texts])
+        self._search_short(words, bounds, found)
         if not len(self.pairs) or len(words) < 2:
-            return [[] for _ in texts]
+            return [[match for _, match in sorted(f.items())] for f in found]
         pairs = _pairs(words)
         maybe = np.flatnonzero(self.seen[pairs >> self.shift])
         at = np.minimum(np.searchsorted(self.pairs, pairs[maybe]), len(self.pairs) - 1)
@@ -139,6 +147,26 @@ class Items:
             self._search_length(n, words, bounds, hits, doc, before, found)
         return [[match for _, match in sorted(f.items())] for f in found]
 
+    def _search_short(self, words, bounds, found):
+        """Items under ``MIN_WORDS`` words, where all of them stand in a row; the first place of each."""
+        for n, (keys, group) in self.short.items():
+            if len(words) < n:
+                continue
+            runs = _runs(words, n)
+            at = np.minimum(np.searchsorted(keys, runs), len(keys) - 1)
+            hits = np.flatnonzero(keys[at] == runs)
+            doc = np.searchsorted(bounds, hits, side="right") - 1
+            inside = hits + n <= bounds[doc + 1]  # the run does not cross into the next text
+            hits, doc = hits[inside], doc[inside]
+            _, first = np.unique(np.stack([doc, at[hits]]), axis=1, return_index=True)
+            for start, text in zip(hits[first].tolist(), doc[first].tolist()):
+                i = int(at[start])
+                while i < len(keys) and keys[i] == runs[start]:  # equal items
+                    if np.array_equal(group[i][1], words[start : start + n]):
+                        begin = start - int(bounds[text])
+                        found[text][(n, i)] = (group[i][0], 0, begin, begin + n)
+                    i += 1
+
     def _search_length(self, n, words, bounds, hits, doc, before, found):
         edits = self.edits(n)
         need = max(1, n - 1 - 2 * edits)
@@ -201,6 +229,14 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return mixed(words[:-1] * np.uint64(0x2545F4914F6CDD1D) + words[1:])
 
 
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """One number for the ``n`` words from each place on."""
+    keys = np.zeros(len(words) - n + 1, np.uint64)
+    for i in range(n):
+        keys = mixed(keys * np.uint64(3) + words[i : len(words) - n + 1 + i])
+    return keys
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
     """The items in blocks of bounded bytes; each block is one pass over the documents."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
@@ -219,9 +255,11 @@ def leaks(
 
     A document holds an item if some stretch of its words is at most ``edit_share`` of the
     item's words away, in inserted, deleted and replaced words. Words end at ASCII white space
-    and punctuation; A-Z count as lower case. Of several such stretches one with the fewest edits
-    is given. Null and empty texts hold nothing; null items and those under five words are not
-    looked for; repeated rows are searched each; null ids are ids like others. Whole texts of any
+    and punctuation; A-Z count as lower case; of scripts written without spaces each letter or
+    mark is a word, and their punctuation ends words. Of several such stretches one with the
+    fewest edits is given. An item under five words allows no edit: all its words must stand in
+    a row, and its first place is given. Null and empty texts hold nothing; null items and those
+    without words are not looked for; repeated rows are searched each; null ids are ids like others. Whole texts of any
     length are searched in a map, without shuffle; items come in blocks of ``block_bytes``, so
     that what is broadcast does not grow with the benchmark. Other columns are not read.
     """
