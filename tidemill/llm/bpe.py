@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tidemill.llm.common import map_rows
+from tidemill.llm.common import by_slices, map_rows
 from tidemill.llm.pretokens import splitter
 
 #: States and words a task remembers; both are made anew when there are more.
@@ -338,3 +343,31 @@ def bpe_round_trip(
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", token_ids array<int>" if with_tokens else ""
     return map_rows(docs, [F.col(id_col), F.col(text_col)], schema, make)
+
+
+def add_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, ``token_ids`` and what ``bpe_round_trip`` gives beside them.
+
+    A map; columns of ``docs`` with the names of the new ones are replaced.
+    """
+    new = StructType.fromDDL("token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    old = docs.select(*[f for f in docs.columns if f not in new.names])
+    at, kinds = old.columns.index(text_col), [f.type for f in to_arrow_schema(new)]
+
+    def run(batches):
+        gc.set_threshold(200_000, 50, 100)  # as in map_rows
+        codec = codec_of(vocabulary)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for batch in by_slices(batches):
+            tokens, prints, decoded = [], [], []
+            for text in batch.column(at).to_pylist():
+                found, shown = codec.encode_shown(text or "")
+                tokens.append(pa.array(found, pa.int32()))
+                prints.append(sha(shown.encode()))
+                decoded.append(sha(codec.decode(found)))
+            ends = np.cumsum([0, *map(len, tokens)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(tokens)).cast(kinds[0])
+            columns = [ids, *(pa.array(x, k) for x, k in zip((np.diff(ends), prints, decoded), kinds[1:]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new.names])
+
+    return old.mapInArrow(run, StructType([*old.schema, *new]))
