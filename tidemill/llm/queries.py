@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.bpe import bpe_round_trip
+from tidemill.llm.conversation_repair import damage_and_repair
 from tidemill.llm.decontamination import leaks
 from tidemill.llm.html_text import extract_text
 from tidemill.llm.language_id import identify_languages
+from tidemill.llm.license_scan import BASE, TEMPLATES, license_scan, template_pattern
 from tidemill.llm.quality import MAX_RATE, RULES, quality_rules
+from tidemill.llm.ranked_search import ranked_search
 from tidemill.llm.secret_scan import secret_scan
 from tidemill.llm.sharding import minimax_shards
 from tidemill.llm.simhash import simhash_components
@@ -135,3 +138,83 @@ def op9_bpe_round_trip(spark, sf_dir):
 @query("op10_simhash")
 def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _first_words():
+    """Each base phrase as conditions on a list of words at a place ``i``."""
+    for label, phrase in BASE:
+        same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        yield f"SELECT r, i - 1 AS place, '{label}' AS label FROM places WHERE {same}"
+
+
+def _accepted():
+    for label, template in TEMPLATES:
+        yield f"SELECT r, '{label}' AS label FROM texts WHERE regexp_matches(line, '{template_pattern(template)}')"
+
+
+@query(
+    "op12_license_scan",
+    rf"""
+    WITH split AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ),
+    texts AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM split),
+    places AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM texts),
+    base AS ({" UNION ALL ".join(_first_words())}),
+    counted AS (
+        SELECT r, count(*)::BIGINT AS n, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word,
+               array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+        FROM base GROUP BY r
+    ),
+    accepted AS ({" UNION ".join(_accepted())}),
+    labelled AS (
+        SELECT r, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+        FROM (SELECT r, label FROM base UNION SELECT r, label FROM accepted) GROUP BY r
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,
+           coalesce(counted.labels, '') AS base_labels, coalesce(labelled.labels, '') AS labels,
+           CASE WHEN r IN (SELECT r FROM accepted) THEN 1.0 WHEN n > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+    FROM texts LEFT JOIN counted USING (r) LEFT JOIN labelled USING (r)
+    """,
+)
+def op12_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+_TERMS = rf"unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+
+@query(
+    "op13_ranked_search",
+    rf"""
+    WITH found AS (SELECT r, doc_id, {_TERMS} AS term FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+    counted AS (SELECT r, doc_id, term, count(*)::BIGINT AS tf FROM found GROUP BY r, doc_id, term),
+    lengths AS (SELECT r, sum(tf)::BIGINT AS n FROM counted GROUP BY r),
+    totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+    frequencies AS (SELECT term, count(*)::BIGINT AS df FROM counted GROUP BY term),
+    wanted AS (SELECT DISTINCT item_id, {_TERMS} AS term FROM benchmark),
+    scored AS (
+        SELECT item_id, r, doc_id,
+               sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+                   * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+        FROM wanted JOIN counted USING (term) JOIN frequencies USING (term) JOIN lengths USING (r), totals
+        GROUP BY item_id, r, doc_id
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
