@@ -52,16 +52,16 @@ def test_the_transducer_emits_after_bounded_lookahead_and_survives_restarts():
     large = Transducer(read_ranks("byte_bpe_50k.tiktoken"))
     word = (" the" * 200).encode()
     assert small.encode(word) == large.encode(word)
-    longest = max(map(len, large.tokens.values()))
+    longest = max(map(len, large.vocabulary.tokens.values()))
     assert all(len(s.pending) <= 2 * longest for s in large.states.values())
 
 
 def test_decoding_a_stream_holds_back_unfinished_characters(codec):
-    decoder = StreamDecoder(codec.transducer.tokens)
+    decoder = StreamDecoder(codec.tokens)
     text = "日本 🎉 é"
     parts = [decoder.feed(token) for token in codec.encode(text)]
     assert "".join(parts) == text and "" in parts and decoder.finish() == ""
-    first = codec.transducer.ranks["🎉".encode()[:1]]
+    first = codec.transducer.vocabulary.ranks["🎉".encode()[:1]]
     assert decoder.feed(first) == "" and decoder.finish() == "�"
 
 

@@ -14,6 +14,8 @@ import base64
 import functools
 import gc
 import hashlib
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidemill.llm.common import by_slices, map_rows
+from tidemill.llm.common import by_slices
 from tidemill.llm.pretokens import splitter
 
-#: States and words a task remembers; both are made anew when there are more.
-MAX_STATES = 250_000
-MEMO_WORDS = 600_000
+#: States, verdicts on pairs of tokens and words a task remembers; each is made anew when there are more.
+MAX_STATES = 50_000
+MAX_FITS = 200_000
+MEMO_WORDS = 150_000
 MEMO_CHARS = 64
+#: Bytes read without making states before what is final is emitted.
+LOOKAHEAD = 1024
 
 
 def read_ranks(name: str) -> dict[bytes, int]:
@@ -49,13 +54,13 @@ class _State:
         self.moves, self.rest = {}, None
 
 
-class Transducer:
-    """Encodes words; states and moves are made when first needed."""
+class Vocabulary:
+    """What all transducers over the same tokens share: the tree of the tokens and their halves."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.children: dict[int, int] = {}  # of the tree of all tokens, by node and byte
+        self.children: dict[int, int] = {}  # by node and byte
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
             node = 0
@@ -66,7 +71,59 @@ class Transducer:
                     node = self.children[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = rank
+        self._links()
         self.lefts, self.rights = self._halves()
+        self.partial = {rank for rank, token in self.tokens.items() if not _whole(token)}
+
+    def _links(self):
+        """For each node its depth, the node of the longest proper suffix in the tree, and the longest
+        token that ends there; for each token its length and the longest token that it ends in."""
+        n = len(self.token_at)
+        self.depth, self.fail, self.ends = [0] * n, [0] * n, [-1] * n
+        self.lengths, self.shorter = [0] * (max(self.tokens) + 1), [-1] * (max(self.tokens) + 1)
+        level = [(0, key & 255, child) for key, child in self.children.items() if key < 256]
+        below = {}
+        for key, child in self.children.items():
+            below.setdefault(key >> 8, []).append((key & 255, child))
+        while level:
+            following = []
+            for node, byte, child in level:
+                self.depth[child] = self.depth[node] + 1
+                link = node
+                while link:
+                    link = self.fail[link]
+                    if found := self.children.get(link << 8 | byte):
+                        self.fail[child] = found
+                        break
+                token, suffix = self.token_at[child], self.ends[self.fail[child]]
+                if token >= 0:
+                    self.lengths[token], self.shorter[token] = self.depth[child], suffix
+                self.ends[child] = token if token >= 0 else suffix
+                following += [(child, b, c) for b, c in below.get(child, ())]
+            level = following
+
+    def _halves(self):
+        """For each token the two it was merged from; -1 for bytes."""
+        left, right, ranks = [-1] * (max(self.tokens) + 1), [-1] * (max(self.tokens) + 1), self.ranks
+        for token, word in self.tokens.items():
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 2:
+                rank, i = min((ranks.get(a + b, token), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank >= token:
+                    raise ValueError(f"token {token} cannot be merged from the ones before it")
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 2:
+                left[token], right[token] = ranks[parts[0]], ranks[parts[1]]
+        return left, right
+
+
+class Transducer:
+    """Encodes words. States are determinised lazily: a move gets a state of its own when it is
+    needed for the second time; before, the rest of the word is read without making states."""
+
+    def __init__(self, vocabulary: Vocabulary | dict[bytes, int], max_states: int = MAX_STATES):
+        self.vocabulary = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary)
+        self.max_states = max_states
         self.fits: dict[int, bool] = {}
         self.bytes = [bytes([b]) for b in range(256)]
         self._restart()
@@ -77,10 +134,20 @@ class Transducer:
         self.states: dict[tuple[int, bytes], _State] = {}
         self.start = _State(-1, b"", (), (), ((0, 0),))
 
+    def forget(self):
+        """Drop what was remembered of the words so far."""
+        self._restart()
+        self.fits.clear()
+
     def encode(self, word: bytes) -> list[int]:
         out, state = [], self.start
-        for byte in word:
-            move = state.moves.get(byte) or self._move(state, byte)
+        for at, byte in enumerate(word):
+            move = state.moves.get(byte)
+            if not move:
+                if move is None:
+                    state.moves[byte] = ()  # seen once
+                    return out + self._read(state, word, at)
+                move = self._move(state, byte)
             if move[0]:
                 out += move[0]
             state = move[1]
@@ -88,10 +155,40 @@ class Transducer:
             state.rest = _path(state.begins, state.last, len(state.last))
         return out + state.rest
 
+    def _read(self, state, word, at):
+        """The tokens from ``state`` on for the bytes from ``at`` on."""
+        words, fits = self.vocabulary, self.fits
+        child_of, fail, ends, lengths, shorter = words.children.get, words.fail, words.ends, words.lengths, words.shorter
+        out, emitted, begins, last, node = [], state.emitted, list(state.begins), list(state.last), state.live[0][1]
+        for byte in word[at:]:
+            child = child_of(node << 8 | byte)
+            while not child:
+                node = fail[node]
+                child = child_of(node << 8 | byte)
+            node, token, n = child, ends[child], len(last) + 1
+            while True:  # the longest token that ends here and stays as it is beside the one before
+                begin = n - lengths[token]
+                pair = (last[begin - 1] if begin else emitted) << 32 | token
+                fit = fits.get(pair)
+                if self._fit(pair) if fit is None else fit:
+                    break
+                token = shorter[token]
+            begins.append(begin)
+            last.append(token)
+            if n > LOOKAHEAD:
+                live, at = [(n, 0)], node
+                while at:
+                    live.append((n - words.depth[at], at))
+                    at = fail[at]
+                if cut := _shared(begins, live):
+                    out += _path(begins, last, cut)
+                    emitted, begins, last = out[-1], [b - cut for b in begins[cut:]], last[cut:]
+        return out + _path(begins, last, len(last))
+
     def _move(self, state, byte):
         if len(self.states) >= self.max_states:
             self._restart()
-        child_of, token_at, fits = self.children.get, self.token_at, self.fits
+        child_of, token_at, fits = self.vocabulary.children.get, self.vocabulary.token_at, self.fits
         last, live, found = state.last, [], -1
         for place, node in state.live:
             child = child_of(node << 8 | byte)
@@ -106,14 +203,7 @@ class Transducer:
                             begin, found = place, token
         begins, last = state.begins + (begin,), last + (found,)
         live.append((len(last), 0))
-        cut = live[0][0]  # what every way to go on shares
-        if cut:
-            for place, _ in live:
-                while cut != place:
-                    if cut > place:
-                        cut = begins[cut - 1]
-                    else:
-                        place = begins[place - 1]
+        cut = _shared(begins, live)
         pending = state.pending + self.bytes[byte]
         if cut:
             emit = _path(begins, last, cut)
@@ -129,45 +219,54 @@ class Transducer:
         state.moves[byte] = move = (emit, after)
         return move
 
-    def _halves(self):
-        """For each token the two it was merged from; -1 for bytes."""
-        left, right, ranks = [-1] * (max(self.tokens) + 1), [-1] * (max(self.tokens) + 1), self.ranks
-        for token, word in self.tokens.items():
-            parts = [word[i : i + 1] for i in range(len(word))]
-            while len(parts) > 2:
-                rank, i = min((ranks.get(a + b, token), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-                if rank >= token:
-                    raise ValueError(f"token {token} cannot be merged from the ones before it")
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            if len(parts) == 2:
-                left[token], right[token] = ranks[parts[0]], ranks[parts[1]]
-        return left, right
-
     def _fit(self, pair):
         """Whether two tokens, given as ``left << 32 | right``, stay as they are side by side.
 
         Undoes their merges from the last one back: at each time the symbols at the border
         must not form a token that comes before the next merge of either.
         """
-        if len(self.fits) >= 4 * self.max_states:
+        if len(self.fits) >= MAX_FITS:
             self.fits.clear()
         self.fits[pair] = fit = pair < 0 or self._stay(pair >> 32, pair & 0xFFFFFFFF)
         return fit
 
     def _stay(self, left, right):
-        rank_of, tokens, before = self.ranks.get, self.tokens, 1 << 60
+        words = self.vocabulary
+        rank_of, tokens, before = words.ranks.get, words.tokens, 1 << 60
         while rank_of(tokens[left] + tokens[right], before) >= before:
             if left > right:  # of equal ranks, the merge further left comes first
-                before, left = left, self.rights[left]
+                before, left = left, words.rights[left]
                 if left < 0:
                     return True
             else:
-                before, right = right + 1, self.lefts[right]
+                before, right = right + 1, words.lefts[right]
                 if right < 0:
                     return True
         return False
 
 
+def _shared(begins, live):
+    """The longest prefix that every way to go on shares."""
+    cut = live[0][0]
+    if cut:
+        for place, _ in live:
+            while cut != place:
+                if cut > place:
+                    cut = begins[cut - 1]
+                else:
+                    place = begins[place - 1]
+    return cut
+
+
+def _whole(token):
+    """Whether a token is whole characters."""
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _path(begins, last, end):
     out = []
     while end:
@@ -239,48 +338,60 @@ class StreamDecoder:
         return rest.decode(errors="replace")
 
 
-class _Encoder(dict):
-    """Words to their tokens and these as text, remembered for short words."""
+class _Words(dict):
+    """Words to their tokens, these as text, and the bytes they decode to; remembered for short words.
 
-    def __init__(self, transducer):
-        self.transducer = transducer
+    When there are too many they become the former ones, from which those still in use are taken over.
+    """
+
+    def __init__(self, transducer, decode):
+        self.transducer, self.decode, self.former = transducer, decode, {}
 
     def __missing__(self, word):
-        ids = self.transducer.encode(word.encode())
-        entry = (ids, " ".join(map(str, ids)))
+        entry = self.former.get(word)
+        if entry is None:
+            ids = self.transducer.encode(word.encode())
+            entry = (ids, " ".join(map(str, ids)), self.decode(ids))
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
+                self.former = dict(self)
                 self.clear()
             self[word] = entry
         return entry
 
 
+_ids, _shown, _decoded = map(itemgetter, range(3))
+
+
 class Codec:
-    def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken"):
-        self.transducer = Transducer(read_ranks(vocabulary))
-        self.words = splitter(public_tokenizers.PATTERN)
-        self.entries = _Encoder(self.transducer).__getitem__
-        self.decoder = StreamDecoder(self.transducer.tokens)
-        start = Utf8Machine.START
-        self.partial = {t for t in self.transducer.tokens if not self._whole(start, t)}
-
-    def _whole(self, start, token):
-        try:
-            return self.decoder.move(start, token) == start
-        except UnicodeDecodeError:
-            return False
+    """Encodes texts and decodes tokens; what it remembers of words goes with ``forget``."""
+
+    def __init__(self, vocabulary: str | Vocabulary = "byte_bpe_50k.tiktoken"):
+        vocabulary = vocabulary_of(vocabulary) if isinstance(vocabulary, str) else vocabulary
+        self.tokens = vocabulary.tokens
+        self.transducer = Transducer(vocabulary)
+        self.split = splitter(public_tokenizers.PATTERN)
+        self.decoder, self.partial = StreamDecoder(self.tokens), vocabulary.partial
+        self.words = _Words(self.transducer, self.decode)
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.words.former.clear()
+        self.transducer.forget()
+        self.decoder.moves.clear()
 
     def encode(self, text: str) -> list[int]:
         """Tokens of a text, each match of the public pattern by itself."""
-        return self.encode_shown(text)[0]
+        return list(chain.from_iterable(map(_ids, map(self.words.__getitem__, self.split(text)))))
 
-    def encode_shown(self, text: str) -> tuple[list[int], str]:
-        """Tokens of a text, and their numbers joined by spaces."""
-        ids, shown = [], []
-        for found, as_text in map(self.entries, self.words(text)):
-            ids += found
-            shown.append(as_text)
-        return ids, " ".join(shown)
+    def round_trip(self, text: str) -> tuple[list[list[int]], str, bytes]:
+        """Tokens of each word of a text, all their numbers joined by spaces, and what they decode to.
+
+        A word is whole characters, so its tokens are decoded on their own, once for all places
+        it stands at.
+        """
+        found = list(map(self.words.__getitem__, self.split(text)))
+        return list(map(_ids, found)), " ".join(map(_shown, found)), b"".join(map(_decoded, found))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the characters that the tokens make up.
@@ -288,10 +399,9 @@ class Codec:
         Where each token holds whole characters the machine never leaves its first state;
         otherwise it follows the tokens one by one.
         """
-        tokens = self.transducer.tokens
+        tokens, moves, move = self.tokens, self.decoder.moves, self.decoder.move
         if self.partial.isdisjoint(ids):
             return b"".join(map(tokens.__getitem__, ids))
-        moves, move = self.decoder.moves, self.decoder.move
         state, out, held = Utf8Machine.START, [], []
         for token in ids:
             state = moves.get((state, token)) or move(state, token)
@@ -303,9 +413,27 @@ class Codec:
 
 
 @functools.cache
-def codec_of(vocabulary: str) -> Codec:
-    """One codec for a worker process: later tasks go on with the words it has seen."""
-    return Codec(vocabulary)
+def vocabulary_of(name: str) -> Vocabulary:
+    """The tables of a vocabulary, which do not grow; a worker process keeps them for its tasks."""
+    return Vocabulary(read_ranks(name))
+
+
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def _round_trips(batches, vocabulary, at):
+    """Slices of batches with the texts at column ``at``, each with the round trips of its texts.
+
+    The words of a task are forgotten at its end, also when it fails.
+    """
+    gc.set_threshold(200_000, 50, 100)  # as in map_rows
+    codec = Codec(vocabulary)
+    try:
+        for batch in by_slices(batches):
+            yield batch, (codec.round_trip(text or "") for text in batch.column(at).to_pylist())
+    finally:
+        codec.forget()
 
 
 def bpe_round_trip(
@@ -321,50 +449,40 @@ def bpe_round_trip(
     without shuffle. Null text is empty: no tokens, digests of the empty string. Null ids and
     repeated rows pass through; other columns are not read; no text is cut.
     """
+    if with_tokens:
+        named = docs.select(F.col(id_col), F.col(text_col).alias(f"{id_col}_text"))
+        return add_tokens(named, vocabulary, f"{id_col}_text").select(id_col, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = StructType.fromDDL(f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    arrow = to_arrow_schema(schema)
 
-    def make():
-        codec = codec_of(vocabulary)
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-
-        def run(ids, texts):
-            counts, prints, decoded, tokens = [], [], [], []
-            for text in texts:
-                found, shown = codec.encode_shown(text or "")
-                counts.append(len(found))
-                prints.append(sha(shown.encode()))
-                decoded.append(sha(codec.decode(found)))
-                if with_tokens:
-                    tokens.append(found)
-            return (ids, counts, prints, decoded, tokens) if with_tokens else (ids, counts, prints, decoded)
-
-        return run
+    def run(batches):
+        for batch, trips in _round_trips(batches, vocabulary, 1):
+            rows = [(sum(map(len, ids)), _sha(shown.encode()), _sha(decoded)) for ids, shown, decoded in trips]
+            columns = [pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *columns], schema=arrow)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", token_ids array<int>" if with_tokens else ""
-    return map_rows(docs, [F.col(id_col), F.col(text_col)], schema, make)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def add_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, ``token_ids`` and what ``bpe_round_trip`` gives beside them.
 
-    A map; columns of ``docs`` with the names of the new ones are replaced.
+    A map; columns of ``docs`` with the names of the new ones are replaced. Null text is empty
+    and has no tokens; repeated rows and nulls elsewhere pass through; no text is cut, and an
+    empty table gives an empty one.
     """
     new = StructType.fromDDL("token_ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     old = docs.select(*[f for f in docs.columns if f not in new.names])
     at, kinds = old.columns.index(text_col), [f.type for f in to_arrow_schema(new)]
 
     def run(batches):
-        gc.set_threshold(200_000, 50, 100)  # as in map_rows
-        codec = codec_of(vocabulary)
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in by_slices(batches):
+        for batch, trips in _round_trips(batches, vocabulary, at):
             tokens, prints, decoded = [], [], []
-            for text in batch.column(at).to_pylist():
-                found, shown = codec.encode_shown(text or "")
-                tokens.append(pa.array(found, pa.int32()))
-                prints.append(sha(shown.encode()))
-                decoded.append(sha(codec.decode(found)))
+            for ids, shown, data in trips:
+                tokens.append(pa.array(np.fromiter(chain.from_iterable(ids), np.int32)))
+                prints.append(_sha(shown.encode()))
+                decoded.append(_sha(data))
             ends = np.cumsum([0, *map(len, tokens)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(tokens)).cast(kinds[0])
             columns = [ids, *(pa.array(x, k) for x, k in zip((np.diff(ends), prints, decoded), kinds[1:]))]
