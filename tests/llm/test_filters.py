@@ -173,14 +173,15 @@ def test_measures():
 
 def test_hosts_with_few_documents_are_drawn_to_the_common_rate(spark):
     good = "word%d " * 60 % tuple(range(60))
-    rows = [(i, good, "good") for i in range(200)] + [(300 + i, "# " * 200, "bad") for i in range(100)] + [(500, "# " * 60, "one")]
-    rows += [(501, good, None), (502, good, "bad")]
+    rows = [(i, "# " * 200 if i % 10 < 2 else good, f"h{i // 10}") for i in range(200)] + [(300 + i, "# " * 200, "bad") for i in range(100)]
+    rows += [(500, "# " * 60, "one"), (501, good, None), (502, good, "bad"), (503, good + "# " * 30, "one more")]
     docs = spark.createDataFrame([(i, t, s, True) for i, t, s in rows], "doc_id bigint, text string, source string, kept boolean")
     rates = {r.host: r for r in host_verdicts(with_measures(docs, ["source"])).collect()}
-    assert set(rates) == {"good", "bad", "one"} and rates["good"].rate < rates["one"].rate < rates["bad"].rate
-    kept = {r.doc_id: r.kept for r in quality_rules(docs, max_rate=0.3).collect()}
-    assert kept[0] and kept[501] and not kept[502] and not kept[300] and not kept[500]
-    good_ids = {r.doc_id for r in keep_good(docs, max_rate=0.3).collect()}
+    assert len(rates) == 23 and 0.2 < rates["h3"].rate < rates["one"].rate < 0.5 < rates["bad"].rate
+    assert [h for h, r in rates.items() if r.rejected] == ["bad"]
+    kept = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    assert kept[2] and kept[501] and kept[503] and not kept[502] and not kept[0] and not kept[300] and not kept[500]
+    good_ids = {r.doc_id for r in keep_good(docs).collect()}
     assert good_ids == {i for i, k in kept.items() if k}
     assert quality_rules(docs.limit(0)).count() == keep_good(docs.limit(0)).count() == 0
 

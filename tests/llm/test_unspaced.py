@@ -5,6 +5,8 @@ import random
 import pytest
 
 from tidemill.llm.decontamination import Items, leaks, without_leaks
+from tidemill.llm.quality import keep_good
+from tidemill.llm.shingle_sets import keep_one_of_similar
 from tidemill.llm.word_hashes import plain
 
 CHINESE = "数据去重是训练语料处理中最重要的步骤之一"
@@ -47,3 +49,15 @@ def test_short_items_equal_a_plain_search():
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))) for _ in range(200)]
     want = [{i for i, item in enumerate(items) if f" {item} " in f" {t} "} for t in texts]
     assert [{m[0] for m in f} for f in found(items, *texts)] == want
+
+
+def test_the_pipeline_keeps_unspaced_texts_and_finds_their_near_copies(spark):
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    base = "".join(rng.choice(letters) for _ in range(400))
+    near, other = base[:200] + "一二三" + base[203:], "".join(rng.choice(letters) for _ in range(400))
+    rows = [(1, base, "h"), (2, near, "h"), (3, other, "h"), (4, "太短", "h"), (5, "重复" * 100, "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    good = keep_good(docs)
+    assert {r.doc_id for r in good.collect()} == {1, 2, 3}
+    assert {r.doc_id for r in keep_one_of_similar(good).collect()} == {1, 3}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import by_slices, kept, map_rows, measured_broadcast
+from tidemill.llm.word_hashes import spaced
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _SYMBOLS = re.compile(r"[#*$%&|<>]").findall
@@ -23,10 +24,9 @@ RULES = (
     "word_chars < 2 * n_words OR word_chars > 15 * n_words",
     "n_dup_lines >= 10",
 )
-#: A host is rejected if its documents fail, on average after shrinking, more than this share of the rules.
+FAILED = " OR ".join(f"({rule})" for rule in RULES)
+#: A host is rejected if more than this share of its documents, after shrinking, fail any rule.
 MAX_RATE = 0.5
-#: The pipeline rejects a host if more than this share of its documents, after shrinking, fail any rule.
-MAX_FAILING = 0.5
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -46,13 +46,13 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(_SYMBOLS(text)), len(lines) - len(set(lines)), len(marked)
 
 
-def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
-    """``carry`` and the measures of each document; a map."""
+def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text", read=str) -> DataFrame:
+    """``carry`` and the measures of each document, whose text is first put through ``read``; a map."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def make():
         def run(*columns):
-            measures = [measure(t) for t in columns[-1]]
+            measures = [measure(read(t or "")) for t in columns[-1]]
             return [*columns[:-1], *([m[i] for m in measures] for i in range(len(MEASURES)))]
 
         return run
@@ -61,42 +61,31 @@ def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     return map_rows(docs, [*(F.col(c) for c in carry), F.col(text_col)], schema, make)
 
 
-def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE, by_document: bool = False) -> DataFrame:
+def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """``(host, n_docs, failures, rate, rejected)`` for each host; null hosts have none.
 
-    Failures are summed over documents and rules; ``by_document`` makes a document one trial,
-    failed if it breaks any rule, and takes from the variance what chance
-    adds to the rates of hosts with few documents. The prior is a beta distribution with the
-    mean and variance of the hosts' raw rates (moments over hosts with at least one document,
-    from one row of sums), so a host with few documents stays near the common rate. Without
+    A document is one trial of its host, failed if it breaks any rule. The prior is a beta
+    distribution with the mean of the hosts' raw rates and their variance without what chance adds
+    to hosts of few documents (moments over hosts with at least one document, from one row of
+    sums), so a host with few documents stays near the common rate. Without
     variance between hosts there is nothing to learn from, and the prior weighs as much as
-    the trials of all hosts together.
+    the documents of all hosts together.
     """
-    if by_document:
-        failures, per_document = F.expr(f"int({' OR '.join(f'({rule})' for rule in RULES)})"), 1
-    else:
-        failures, per_document = sum((F.expr(f"int({rule})") for rule in RULES), F.lit(0)), len(RULES)
     hosts = (
         measured.where(F.col(host_col).isNotNull())
         .groupBy(F.col(host_col).alias("host"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failures).alias("failures"))
-        .withColumn("trials", F.col("n_docs") * per_document)
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.expr(f"int({FAILED})")).alias("failures"))
     )
-    raw = F.col("failures") / F.col("trials")
-    sums = hosts.agg(
-        F.sum("failures").alias("f"), F.sum("trials").alias("t"), F.var_pop(raw).alias("v"), F.avg(raw).alias("m"), F.avg(1 / F.col("trials")).alias("a")
-    ).withColumn("most", F.col("m") * (1 - F.col("m")))
-    if by_document:
-        between = (F.col("v") - F.col("a") * F.col("most"), (1 - F.col("a")) * F.col("most"))
-    else:
-        between = F.col("v"), F.col("most")
+    raw, chance = F.col("failures") / F.col("n_docs"), F.avg(1 / F.col("n_docs"))
+    sums = hosts.agg(F.sum("n_docs").alias("n"), F.var_pop(raw).alias("v"), F.avg(raw).alias("m"), chance.alias("a"))
+    sums = sums.withColumn("most", F.col("m") * (1 - F.col("m"))).withColumn("between", F.col("v") - F.col("a") * F.col("most"))
     sums = sums.select(
         F.col("m"),
-        F.when(between[0] > 0, F.greatest(between[1] / between[0] - 1, F.lit(0.0)))
-        .otherwise(F.col("t").cast("double"))
+        F.when(F.col("between") > 0, F.greatest((1 - F.col("a")) * F.col("most") / F.col("between") - 1, F.lit(0.0)))
+        .otherwise(F.col("n").cast("double"))
         .alias("strength"),
     )
-    rate = (F.col("failures") + F.col("m") * F.col("strength")) / (F.col("trials") + F.col("strength"))
+    rate = (F.col("failures") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
     return (
         hosts.join(F.broadcast(sums))  # one row
         .select("host", "n_docs", "failures", rate.alias("rate"))
@@ -104,9 +93,9 @@ def host_verdicts(measured: DataFrame, host_col: str = "source", max_rate: float
     )
 
 
-def _rejected(measured, host_col, max_rate, by_document=False):
+def _rejected(measured, host_col, max_rate):
     """Hosts to reject, marked for broadcast only after their measured size allowed it."""
-    hosts, _ = kept(host_verdicts(measured, host_col, max_rate, by_document).where("rejected").select("host"), "hosts")
+    hosts, _ = kept(host_verdicts(measured, host_col, max_rate).where("rejected").select("host"), "hosts")
     return measured_broadcast(hosts, F.octet_length("host") + 64)
 
 
@@ -135,20 +124,22 @@ def quality_rules(
 
 
 def keep_good(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_FAILING
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_RATE
 ) -> DataFrame:
     """The documents that pass the base rules and whose host is not rejected, with all their columns.
 
-    Here a document is one trial of its host, failed if it breaks any rule, so a host goes if
-    most of its documents fail; the verdicts of ``quality_rules``, which its SQL states, count
-    each rule as a trial. Texts are not shuffled unless rejected hosts are too many to broadcast.
+    As ``quality_rules``, but of scripts written without spaces each letter counts as a word, so
+    that such texts are not too short. Null and empty texts go; documents without a host have only
+    the base rules to pass; repeated rows are judged alike; no text is cut; an empty table stays
+    empty. Texts are not shuffled unless rejected hosts are too many to broadcast.
     """
-    names = docs.columns
-    carry = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
-    measured, _ = kept(with_measures(carry, ["_host"], "_text"), "measured")
-    bad = _rejected(measured, "_host", max_rate, by_document=True)
+    columns = docs.columns
+    host, text = F.col(host_col), F.col(text_col)
+    measured, drop = kept(with_measures(docs.select(host.alias("_host"), text.alias("_text")), ["_host"], "_text", spaced), "measured")
+    bad = _rejected(measured, "_host", max_rate)
+    drop()
     good = _passing(docs, text_col)
-    return good.join(bad, good[host_col] == bad["host"], "left_anti").select(*names)
+    return good.join(bad, good[host_col] == bad["host"], "left_anti").select(*[good[c] for c in columns])
 
 
 def _passing(docs, text_col):
@@ -158,7 +149,7 @@ def _passing(docs, text_col):
         for batch in by_slices(batches):
             passed = []
             for text in batch.column(at).to_pylist():
-                n, _, _, _, repeated = measure(text)
+                n, _, _, _, repeated = measure(spaced(text or ""))
                 passed.append(not (n < 50 or 100 * repeated > 50 * n))
             yield batch.filter(pa.array(passed, pa.bool_()))
 

@@ -10,7 +10,7 @@ from tidemill.llm.decontamination import leaks
 from tidemill.llm.html_text import extract_text
 from tidemill.llm.language_id import identify_languages
 from tidemill.llm.license_scan import BASE, TEMPLATES, license_scan, template_pattern
-from tidemill.llm.quality import MAX_RATE, RULES, quality_rules
+from tidemill.llm.quality import FAILED, MAX_RATE, quality_rules
 from tidemill.llm.ranked_search import ranked_search
 from tidemill.llm.secret_scan import secret_scan
 from tidemill.llm.sharding import minimax_shards
@@ -62,7 +62,6 @@ def op5_language_id(spark, sf_dir):
 
 
 _SPACE = r"[^\x20\x09-\x0D]"
-_FAILURES = " + ".join(f"({rule})::INT" for rule in RULES)
 
 
 @query(
@@ -96,17 +95,17 @@ _FAILURES = " + ".join(f"({rule})::INT" for rule in RULES)
         FROM texts LEFT JOIN lengths USING (r) LEFT JOIN dups USING (r) LEFT JOIN marked USING (r)
     ),
     hosts AS (
-        SELECT source AS host, sum({_FAILURES}) AS f, count(*) * {len(RULES)} AS trials
+        SELECT source AS host, sum(({FAILED})::INT) AS f, count(*) AS n
         FROM measured WHERE source IS NOT NULL GROUP BY source
     ),
+    moments AS (
+        SELECT avg(f / n) AS m, sum(n) AS n, avg(f / n) * (1 - avg(f / n)) AS most, avg(1 / n) AS a, var_pop(f / n) AS v FROM hosts
+    ),
     prior AS (
-        SELECT avg(f / trials) AS m,
-               CASE WHEN var_pop(f / trials) > 0
-                    THEN greatest(avg(f / trials) * (1 - avg(f / trials)) / var_pop(f / trials) - 1, 0)
-                    ELSE sum(trials) END AS strength
-        FROM hosts
+        SELECT m, CASE WHEN v - a * most > 0 THEN greatest((1 - a) * most / (v - a * most) - 1, 0) ELSE n END AS strength
+        FROM moments
     ),
-    bad AS (SELECT host FROM hosts, prior WHERE (f + m * strength) / (trials + strength) > {MAX_RATE}),
+    bad AS (SELECT host FROM hosts, prior WHERE (f + m * strength) / (n + strength) > {MAX_RATE}),
     judged AS (
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
         FROM measured LEFT JOIN bad ON source = host

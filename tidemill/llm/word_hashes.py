@@ -55,6 +55,11 @@ def plain(text: str | None) -> bytes:
     return text.encode().translate(_PLAIN)
 
 
+def spaced(text: str) -> str:
+    """The text, where it holds letters of scripts without spaces with a space around each of them."""
+    return _LETTER.sub(r" \g<0> ", text) if not text.isascii() and _LETTER.search(text) else text
+
+
 def _chunks(data: bytes):
     start = 0
     while start < len(data):
