@@ -27,6 +27,8 @@ RULES = (
 FAILED = " OR ".join(f"({rule})" for rule in RULES)
 #: A host is rejected if more than this share of its documents, after shrinking, fail any rule.
 MAX_RATE = 0.5
+#: Characters that the rule on word lengths takes a letter of a script without spaces for.
+LETTER_CHARS = 4
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -46,13 +48,21 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(_SYMBOLS(text)), len(lines) - len(set(lines)), len(marked)
 
 
-def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text", read=str) -> DataFrame:
-    """``carry`` and the measures of each document, whose text is first put through ``read``; a map."""
+def measure_any(text: str | None) -> tuple[int, int, int, int, int]:
+    """The same, but each letter of a script without spaces is a word, which counts as one of usual length."""
+    apart = spaced(text or "")
+    n_words, chars, *others = measure(apart)
+    letters = (len(apart) - len(text or "")) // 2
+    return n_words, chars + letters * (LETTER_CHARS - 1), *others
+
+
+def with_measures(docs: DataFrame, carry: list[str], text_col: str = "text", measure=measure) -> DataFrame:
+    """``carry`` and the measures of each document, by ``measure``; a map."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def make():
         def run(*columns):
-            measures = [measure(read(t or "")) for t in columns[-1]]
+            measures = [measure(t) for t in columns[-1]]
             return [*columns[:-1], *([m[i] for m in measures] for i in range(len(MEASURES)))]
 
         return run
@@ -135,7 +145,7 @@ def keep_good(
     """
     columns = docs.columns
     host, text = F.col(host_col), F.col(text_col)
-    measured, drop = kept(with_measures(docs.select(host.alias("_host"), text.alias("_text")), ["_host"], "_text", spaced), "measured")
+    measured, drop = kept(with_measures(docs.select(host.alias("_host"), text.alias("_text")), ["_host"], "_text", measure_any), "measured")
     bad = _rejected(measured, "_host", max_rate)
     drop()
     good = _passing(docs, text_col)
@@ -149,7 +159,7 @@ def _passing(docs, text_col):
         for batch in by_slices(batches):
             passed = []
             for text in batch.column(at).to_pylist():
-                n, _, _, _, repeated = measure(spaced(text or ""))
+                n, _, _, _, repeated = measure_any(text)
                 passed.append(not (n < 50 or 100 * repeated > 50 * n))
             yield batch.filter(pa.array(passed, pa.bool_()))
 
