@@ -17,7 +17,8 @@ from tidemill.operators.freshness import invalidate_downstream, oldest_input
 from tidemill.plans.references import EDGE_FIELDS, referenced_tables
 from tidemill.plans.tables import append_rows, create_or_replace, drop_table, table_exists
 from tidemill.sources.ingest import ingest
-from tidemill.specs import Adapter, Model, Project
+from tidemill.specs import Adapter, FileSource, Model, Project
+from tidemill.streaming.incremental import forget_loads, load_new
 
 LOG_FIELDS = (
     "run_id string, run_started_at timestamp_ntz, task string, phase string, "
@@ -32,19 +33,30 @@ class Runner:
 
     ``location`` is the folder tables are stored below (the warehouse when not given);
     ``state`` is the database with the run log and, one row per adapter or model, what was
-    declared when it last completed, its inputs and how fresh it is.
+    declared when it last completed, its inputs and how fresh it is. ``loads`` is the folder for
+    rows and progress of adapters that declare ``max_batch_size`` and are loaded by and by
+    (``_loads`` below the location or warehouse when not given).
     """
 
-    def __init__(self, spark: SparkSession, project: Project, location: str | None = None, state: str = "tidemill_state"):
+    def __init__(
+        self, spark: SparkSession, project: Project, location: str | None = None, state: str = "tidemill_state", loads: str | None = None
+    ):
         self.spark = spark
         self.project = project
         self.location = location
         self.state = state
+        self.loads = loads or f"{(location or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/_loads"
         self.parallel_steps = 4
 
     def load_adapter(self, adapter: Adapter) -> DataFrame | None:
-        """Load one source into its table; an empty match leaves the table as it was."""
-        rows = ingest(self.spark, adapter, self.project.connection(adapter.connection))
+        """Load one source into its table; an empty match leaves the table as it was.
+
+        Files are read once each and their rows added if the adapter declares ``max_batch_size``.
+        """
+        connection, source = self.project.connection(adapter.connection), adapter.source
+        if isinstance(source, FileSource) and source.max_batch_size and isinstance(source.path, str):
+            return load_new(self.spark, adapter, connection, self.loads)
+        rows = ingest(self.spark, adapter, connection)
         return None if rows is None else create_or_replace(rows, adapter.name, self._place(adapter.name))
 
     def build_model(self, model: Model) -> DataFrame:
@@ -155,6 +167,7 @@ class Runner:
         state = self.state_table()
         self._replace("tables", state.drop("updated_at").join(fresh, "name").select(state.columns))
         drop_table(self.spark, name)
+        forget_loads(self.spark, name, self.loads)
 
     def oldest_inputs(self) -> DataFrame:
         return oldest_input(self.edges(), self.freshness())

@@ -42,11 +42,20 @@ def create_or_replace(
 
 def _folder_below(spark, name, location):
     """Where table ``name`` lies, if that is a version folder of ``location``."""
+    found = table_location(spark, name)
+    return found if found and found.startswith(f"{plain_path(location)}/") else None
+
+
+def table_location(spark: SparkSession, name: str) -> str | None:
+    """The folder of a table's rows; ``None`` without table or folder."""
     if not table_exists(spark, name):
         return None
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").where("col_name = 'Location'").collect()
-    plain = lambda path: re.sub("^file:/+", "/", path.rstrip("/"))
-    return rows[0].data_type if rows and plain(rows[0].data_type).startswith(f"{plain(location)}/") else None
+    return plain_path(rows[0].data_type) if rows else None
+
+
+def plain_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path.rstrip("/"))
 
 
 def create_empty(spark: SparkSession, name: str, columns, location: str | None = None) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import sqlite3
+import uuid
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from tidemill import Adapter, Column, FileSource, LocalFiles
+from tidemill import Adapter, Column, FileSource, LocalFiles, Project
+from tidemill.plans.project import Runner
 from tidemill.plans.tables import append_rows, create_or_replace, drop_table, scratch_name, table_schema
 from tidemill.session import scratch_path
 from tidemill.sources.files import read_files
@@ -213,6 +215,22 @@ def two_deliveries(spark, sf_dir):
     return loaded
 
 
+@query("incremental_adapter", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def three_deliveries(spark, sf_dir):
+    """A declared adapter that takes only new files, in batches below the size of a delivery; the last run finds none."""
+    base = scratch_path(spark, "deliveries")
+    events, name = table(spark, sf_dir, "events"), f"delivered_{uuid.uuid4().hex}"
+    source = FileSource("{YYYY}/*.json", "json", max_batch_size="64KB")
+    project = Project().connect("files", LocalFiles(f"{base}/inbox")).add(Adapter(name, "files", source, EVENT_COLUMNS))
+    runner = Runner(spark, project, location=f"{base}/tables", state=f"{name}_state")
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(1))
+    for at, part in enumerate((day < 11, day.between(11, 20), day > 20)):
+        events.where(part).write.options(**MICROSECONDS).json(f"{base}/inbox/{2021 + at}")
+        runner.run()
+    runner.run()
+    return spark.table(name)
+
+
 @query("object_listing_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region")
 def object_listing_scan(spark, sf_dir):
     """Keys below a folder by a pattern whose wildcards cross folders, as object stores have them."""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemill.operators.asof import asof_join
+from tidemill.operators.prefix import Near, Rank, Running, prefix_windows
 from tidemill.operators.ranges import range_join
 from workloads.registry import query, sql_query, table
 
@@ -243,3 +244,53 @@ sql_query(
          AND c_acctbal > (SELECT AVG(s_acctbal) FROM {supplier})
          AND c_nationkey IN (SELECT n_nationkey FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')""",
 )
+
+
+_DAYS = "SELECT event_id, event_type, ts::DATE AS day, floor(value * 1000)::BIGINT AS mills FROM events"
+_OVER_ALL = "OVER (ORDER BY day NULLS FIRST, event_id NULLS FIRST"
+
+
+@query(
+    "window_global",
+    f"""
+    SELECT *, row_number() {_OVER_ALL}) AS place, rank() OVER (ORDER BY day NULLS FIRST) AS day_rank,
+           dense_rank() OVER (ORDER BY day NULLS FIRST) AS day_number,
+           (sum(mills) {_OVER_ALL} ROWS UNBOUNDED PRECEDING))::BIGINT AS running,
+           lag(event_type, 1) {_OVER_ALL}) AS type_before,
+           (sum(mills) {_OVER_ALL} ROWS 9 PRECEDING))::BIGINT AS last_ten
+    FROM ({_DAYS})
+    """,
+)
+def window_global(spark, sf_dir):
+    """Windows over all events in one order; no task sees them all."""
+    events = table(spark, sf_dir, "events")
+    days = events.select("event_id", "event_type", F.to_date("ts").alias("day"), F.floor(F.col("value") * 1000).alias("mills"))
+    columns = {
+        "place": Rank("row_number"), "day_rank": Rank("rank"), "day_number": Rank("dense_rank"),
+        "running": Running("sum", "mills"), "type_before": Near("lag", "event_type"), "last_ten": Near("sum", "mills", 9),
+    }
+    return prefix_windows(days, ["day"], columns, unique=["event_id"])
+
+
+_BY_TYPE = "OVER (PARTITION BY event_type ORDER BY day NULLS FIRST, event_id NULLS FIRST"
+
+
+@query(
+    "window_hot_key",
+    f"""
+    SELECT *, row_number() {_BY_TYPE}) AS place, rank() OVER (PARTITION BY event_type ORDER BY day NULLS FIRST) AS day_rank,
+           (sum(mills) {_BY_TYPE} ROWS UNBOUNDED PRECEDING))::BIGINT AS running,
+           max(mills) {_BY_TYPE} ROWS UNBOUNDED PRECEDING) AS highest,
+           lead(event_id, 2) {_BY_TYPE}) AS second_next
+    FROM ({_DAYS})
+    """,
+)
+def window_hot_key(spark, sf_dir):
+    """Windows over very few keys, each with a large share of all rows."""
+    events = table(spark, sf_dir, "events")
+    days = events.select("event_id", "event_type", F.to_date("ts").alias("day"), F.floor(F.col("value") * 1000).alias("mills"))
+    columns = {
+        "place": Rank("row_number"), "day_rank": Rank("rank"), "running": Running("sum", "mills"),
+        "highest": Running("max", "mills"), "second_next": Near("lead", "event_id", 2),
+    }
+    return prefix_windows(days, ["day"], columns, ["event_type"], ["event_id"])
