@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemill.operators.asof import asof_join
+from tidemill.operators.inequality import inequality_join, overlap_join
 from tidemill.operators.prefix import Near, Rank, Running, prefix_windows
 from tidemill.operators.ranges import range_join
 from workloads.registry import query, sql_query, table
@@ -294,3 +295,45 @@ def window_hot_key(spark, sf_dir):
         "highest": Running("max", "mills"), "second_next": Near("lead", "event_id", 2),
     }
     return prefix_windows(days, ["day"], columns, ["event_type"], ["event_id"])
+
+
+@query(
+    "overlap_join",
+    """
+    WITH shipping AS (
+        SELECT l_orderkey, min(epoch(l_shipdate) // 86400)::BIGINT AS first_day, max(epoch(l_shipdate) // 86400)::BIGINT AS last_day
+        FROM lineitem GROUP BY l_orderkey
+    ),
+    debuts AS (SELECT l_suppkey, min(epoch(l_shipdate) // 86400)::BIGINT AS opens FROM lineitem GROUP BY l_suppkey)
+    SELECT l_suppkey, count(*) AS orders_under_way, sum(last_day - first_day)::BIGINT AS days_shipped
+    FROM shipping JOIN debuts ON first_day <= opens + 30 AND last_day >= opens
+    GROUP BY l_suppkey
+    """,
+)
+def orders_under_way(spark, sf_dir):
+    """Orders whose lines were shipping while a supplier had its first month."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("bigint"))
+    shipping = lines.groupBy("l_orderkey").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    debuts = lines.groupBy("l_suppkey").agg(F.min("day").alias("opens"), (F.min("day") + 30).alias("closes"))
+    pairs = overlap_join(shipping, debuts, ("first_day", "last_day"), ("opens", "closes"))
+    return pairs.groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("orders_under_way"), F.sum(F.col("last_day") - F.col("first_day")).alias("days_shipped")
+    )
+
+
+@query(
+    "inequality_join",
+    """
+    SELECT a.p_brand, count(*) AS pairs, min(b.p_retailprice - a.p_retailprice) AS least_gain
+    FROM part a JOIN part b ON a.p_retailprice < b.p_retailprice AND a.p_size >= b.p_size + 45
+    GROUP BY a.p_brand
+    """,
+)
+def larger_for_less(spark, sf_dir):
+    """Pairs of parts of which the far larger one is cheaper: two inequalities, no equality."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice")
+    others = parts.select((F.col("p_size") + 45).alias("least_size"), F.col("p_retailprice").alias("price"))
+    pairs = inequality_join(parts, others, ("p_retailprice", "<", "price"), ("p_size", ">=", "least_size"))
+    return pairs.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("pairs"), F.min(F.col("price") - F.col("p_retailprice")).alias("least_gain")
+    )
