@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 
 from tidemill import Column
@@ -61,3 +63,29 @@ def test_a_database_lies_below_the_store_whichever_table_comes_first(spark, tmp_
     assert where.endswith("/store/zz.db")
     assert tables.list_tables(spark, "fir'st*", "zz").count() == 0
     spark.sql("DROP DATABASE zz CASCADE")
+
+
+def test_a_reader_never_misses_a_table_that_is_replaced(spark, tmp_path):
+    place, seen, stop = str(tmp_path / "pointer"), [], threading.Event()
+    version = lambda n: spark.range(100 * n, 100 * n + 100)
+    tables.create_or_replace(version(0), "moved_at_once", place, keep_replaced=True)
+
+    def read():
+        while not stop.is_set():
+            try:
+                low, high, n = spark.table("moved_at_once").selectExpr("min(id)", "max(id)", "count(*)").first()
+                seen.append((low % 100, high - low, n))
+            except Exception as error:  # noqa: BLE001 - the test looks at it
+                seen.append(error)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(1, 8):
+        tables.create_or_replace(version(n), "moved_at_once", place, keep_replaced=True)
+    stop.set()
+    reader.join()
+    assert set(seen) == {(0, 99, 100)} and spark.table("moved_at_once").first().id >= 700
+    again = spark.table("moved_at_once").where("id < 750")
+    assert tables.create_or_replace(again, "moved_at_once", place).count() == 50
+    assert tables.create_or_replace(spark.range(3).withColumnRenamed("id", "other"), "moved_at_once", place).columns == ["other"]
+    tables.drop_table(spark, "moved_at_once")

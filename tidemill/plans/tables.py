@@ -20,26 +20,36 @@ def create_or_replace(
 ) -> DataFrame:
     """Write ``df`` as table ``name``, replacing any earlier one.
 
-    The rows go to a scratch table first and take the name over once complete, so a failed
+    The rows are written first and take the name over once complete, so a failed
     write leaves the earlier table alone and ``df`` may read the table it replaces. With a
     ``location`` each version lies in a folder of its own below it; ``keep_replaced`` leaves
-    the earlier one for queries still reading it.
+    the earlier one for queries still reading it. A version with the columns of the earlier one takes
+    its place by moving the table's location, one change in the catalog, so a reader always finds
+    the table. Other columns, or no location, mean that a scratch table is renamed after a drop.
     """
     spark = df.sparkSession
     ensure_database(spark, name, location.rstrip("/").rpartition("/")[0] if location else None)
     scratch = scratch_name(name)
-    writer = df.write.format("parquet")
-    if location:
-        writer = writer.option("path", f"{location.rstrip('/')}/{scratch.split('.')[-1]}")
-    writer.saveAsTable(scratch)
-    replaced = _folder_below(spark, name, location) if location and not keep_replaced else None
-    drop_table(spark, name)
-    spark.sql(f"ALTER TABLE {quoted(scratch)} RENAME TO {quoted(name)}")
-    if replaced:
-        delete_folder(spark, replaced)
+    folder = f"{location.rstrip('/')}/{scratch.split('.')[-1]}" if location else None
+    earlier = _folder_below(spark, name, location) if location else None
+    if earlier and _columns(df) == _columns(spark.table(name)):
+        df.write.parquet(folder)
+        spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION {_text(folder)}")
+        spark.catalog.refreshTable(quoted(name))
+    else:
+        writer = df.write.format("parquet")
+        (writer.option("path", folder) if folder else writer).saveAsTable(scratch)
+        drop_table(spark, name)
+        spark.sql(f"ALTER TABLE {quoted(scratch)} RENAME TO {quoted(name)}")
+    if earlier and not keep_replaced:
+        delete_folder(spark, earlier)
     return spark.table(name)
 
 
+def _columns(df):
+    return [(f.name, f.dataType.simpleString(), f.metadata.get("comment")) for f in df.schema]
+
+
 def _folder_below(spark, name, location):
     """Where table ``name`` lies, if that is a version folder of ``location``."""
     found = table_location(spark, name)
