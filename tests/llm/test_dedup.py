@@ -49,6 +49,8 @@ def test_repeated_strings_of_awkward_rows(spark):
     compare_removed(spark, awkward(spark).where("length(text) < 2000 or text is null"))
     assert {r.n_removed for r in repeated_strings(awkward(spark)).where("doc_id = 2").collect()} == {30_000}
     assert repeated_strings(awkward(spark).limit(0)).count() == 0
+    kept = [r for r in repeated_strings(awkward(spark)).collect() if "\ufffd" not in r.kept_text]
+    assert kept and all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in kept)
 
 
 def test_repeated_strings_at_every_offset_and_border(spark):

@@ -177,7 +177,9 @@ class _Search:
 def repeated_strings(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
+    """One row per document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept_text``.
+
+    ``kept_text`` are the remaining bytes as text; a character that lost some of its bytes is U+FFFD there.
 
     Removes every byte that lies in a string of ``length`` bytes which also starts at another
     place, in the same document or another one, as the input has them; strings do not cross
@@ -233,7 +235,7 @@ def _search_blocks(blocks, search, buckets, id_col, id_type, kind):
     with_ranks = _with_answers(blocks, first, "ranks", buckets)
     second, drop_second = kept(_answers(with_ranks.select("block", "data", "lengths", "ranks").mapInArrow(suffixes, _NAMES), 8), "suffixes")
     both = _with_answers(with_ranks, second, "suffixes", buckets)
-    schema = f"{id_col} {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = f"{id_col} {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
     out, _ = kept(both.mapInArrow(result, schema), "removed")
     drop_first()
     drop_second()
@@ -285,13 +287,15 @@ def _digest(ids, block, gone, id_col, kind):
     changes = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
     sums = np.concatenate([[0], np.cumsum(gone)])
     removed = sums[block.ends] - sums[block.starts]
-    spans, prints = [], []
+    spans, prints, texts = [], [], []
     for begin, end in zip(block.starts.tolist(), block.ends.tolist()):
         own = gone[begin:end]
         spans.append(int(own[:1].sum()) + int((changes[begin + 1 : end] == 1).sum()) if end > begin else 0)
-        prints.append(hashlib.sha256(block.data[begin:end][~own].tobytes()).hexdigest())
+        left = block.data[begin:end][~own].tobytes()
+        prints.append(hashlib.sha256(left).hexdigest())
+        texts.append(left.decode(errors="replace"))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, kind), pa.array(block.ends - block.starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(prints)],
-        [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        [pa.array(ids, kind), pa.array(block.ends - block.starts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(prints, pa.string()), pa.array(texts, pa.string())],
+        [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
     )
 
