@@ -9,6 +9,7 @@ documents by expectation-maximisation: expected uses of each piece over all segm
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 import numpy as np
@@ -131,6 +132,8 @@ class Forward:
 
 def expected_uses(pieces: Pieces, probabilities: np.ndarray, word: str) -> dict[int, float]:
     """How often each piece is used in a word, averaged over its segmentations."""
+    if len(word) >= _LONG:
+        return _expected_in_long(pieces, probabilities, _START + word)
     word = _START + word
     found = [(start, start + length, number, probabilities[number] * _SCALE**length) for start, length, number in pieces.within(word)]
     n = len(word)
@@ -145,6 +148,29 @@ def expected_uses(pieces: Pieces, probabilities: np.ndarray, word: str) -> dict[
     return uses
 
 
+def _expected_in_long(pieces, probabilities, word):
+    """The same with sums kept as logs, which neither vanish nor overflow in a word of any length."""
+    starting: list[list[tuple[int, int, float]]] = [[] for _ in word]
+    ending: list[list[tuple[int, float]]] = [[] for _ in word]
+    for start, length, number in pieces.within(word):
+        p = float(probabilities[number])
+        starting[start].append((start + length, number, p))
+        ending[start + length - 1].append((start, p))
+    n, exp, log = len(word), math.exp, math.log
+    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+    for end in range(1, n + 1):
+        near = forward[end - 1]
+        forward[end] = near + log(sum(p * exp(forward[start] - near) for start, p in ending[end - 1]))
+    for start in range(n - 1, -1, -1):
+        near = backward[start + 1]
+        backward[start] = near + log(sum(p * exp(backward[end] - near) for end, _, p in starting[start]))
+    uses: dict[int, float] = {}
+    for start, found in enumerate(starting):
+        for end, number, p in found:
+            uses[number] = uses.get(number, 0.0) + p * exp(forward[start] + backward[end] - forward[n])
+    return uses
+
+
 def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, smoothing: float = SMOOTHING):
     """Languages and the probability of each piece in each, from ``labelled(lang, text)``.
 
@@ -172,8 +198,7 @@ def _tally(labelled):
             tallies: dict[tuple[str, str], int] = {}
             for lang, text in zip(langs, texts):
                 for word in words_of(text):
-                    if len(word) < _LONG:
-                        tallies[lang, word] = tallies.get((lang, word), 0) + 1
+                    tallies[lang, word] = tallies.get((lang, word), 0) + 1
             return [k[0] for k in tallies], [k[1] for k in tallies], list(tallies.values())
 
         return run
@@ -202,7 +227,7 @@ def _uses(tally, vocabulary, table, column):
 
 
 class Scorer:
-    """Scores texts; words and their logs are remembered, up to a number of words."""
+    """Scores texts; words of usual length and their logs are remembered, up to a number of words."""
 
     def __init__(self, langs, table, vocabulary):
         self.langs, self.forward = langs, Forward(public_pieces(vocabulary), table)
@@ -213,14 +238,17 @@ class Scorer:
         found = [words_of(t) for t in texts]
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        self._learn({w for words in found for w in words})
+        self._learn({w for words in found for w in words if len(w) < _LONG})
         preds, scores = [], []
         for words in found:
             if not words:
                 preds.append("und")
                 scores.append(0.0)
                 continue
-            total = self.logs[list(map(self.places.__getitem__, words))].sum(axis=0)
+            total = self.logs[[self.places[w] for w in words if len(w) < _LONG]].sum(axis=0)
+            long = [w for w in words if len(w) >= _LONG]
+            if long:
+                total = total + self.forward.logs(long).sum(axis=0)
             best = int(total.argmax())
             preds.append(self.langs[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
