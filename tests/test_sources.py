@@ -1,7 +1,10 @@
+import bisect
 import csv
 import gzip
 import json
+import random
 import sqlite3
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 
 from tidemill import Adapter, Column, DatabaseSource, FileSource, Jdbc, LocalFiles, MySql, ObjectStore, PostgreSql, Sqlite
 from tidemill.errors import MissingSource, SpecError
-from tidemill.sources.databases import jdbc_options
+from tidemill.sources.databases import _key_and_quote, _split_field, balanced_cuts, jdbc_options, range_predicates
 from tidemill.sources.ingest import ingest
 from tidemill.sources.object_store import bucket_root, s3a_options, session_conf
 from tidemill.sources.paths import expand_date_tokens, key_regex, literal_prefix, matching_objects, under
@@ -267,6 +270,58 @@ def test_jdbc_through_an_embedded_database(spark):
         ingest(spark, Adapter("n", "c", DatabaseSource("NOTHING")), connection)
 
 
+def test_jdbc_parts_are_balanced_without_a_declared_column(spark):
+    connection = Jdbc("jdbc:derby:memory:tidemill;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    # Two far clusters of keys, a busy value and nulls: equal ranges would put nearly all rows into one part.
+    keys = [*range(-300, -100), *range(10**15, 10**15 + 200), *[7] * 100, *[None] * 20]
+    rows = spark.createDataFrame([(f"r{i}", k) for i, k in enumerate(keys)], "name string, k bigint").coalesce(1)
+    rows.write.format("jdbc").options(**jdbc_options(connection), dbtable="SKEWED").save()
+    split = ingest(spark, Adapter("s", "c", DatabaseSource("SKEWED", partitions=10)), connection)
+    assert sorted(r.name for r in split.collect()) == sorted(r.name for r in rows.collect())
+    sizes = [len(part) for part in split.rdd.glom().collect()]
+    assert len(sizes) >= 8 and max(sizes) == 100 and sorted(sizes)[-2] <= 70
+    empty = rows.limit(0)
+    empty.write.format("jdbc").options(**jdbc_options(connection), dbtable="NO_ROWS").save()
+    assert ingest(spark, Adapter("s", "c", DatabaseSource("NO_ROWS")), connection).count() == 0
+
+
+def test_jdbc_splits_by_the_primary_key(spark):
+    url = "jdbc:derby:memory:tidemill;create=true"
+    connection = Jdbc(url, "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    spark.range(1).write.format("jdbc").options(**jdbc_options(connection), dbtable="FIRST_USE").save()
+    own = spark._jvm.java.sql.DriverManager.getConnection(url)
+    own.createStatement().execute("CREATE TABLE keyed (kind INT, id BIGINT NOT NULL PRIMARY KEY)")
+    own.close()
+    assert _key_and_quote(spark, jdbc_options(connection), "keyed") == ({"ID"}, '"')
+    rows = spark.range(90).selectExpr("1 AS KIND", "id AS ID")
+    rows.write.format("jdbc").mode("append").options(**jdbc_options(connection), dbtable="keyed").save()
+    split = ingest(spark, Adapter("k", "c", DatabaseSource("keyed", partitions=9)), connection)
+    assert sorted(len(part) for part in split.rdd.glom().collect()) == [10] * 9
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("day", T.DateType())])
+    assert _split_field("jdbc:mysql://h", {"day"}, schema).name == "day" and _split_field("jdbc:derby:x", {"day"}, schema) is None
+
+
+def test_cuts_need_no_values_between():
+    class Probe:
+        def __init__(self, values):
+            self.values = values
+
+        def bounds(self):
+            return min(self.values, default=None), max(self.values, default=None), len(self.values)
+
+        def counts(self, low, high, width):
+            return Counter((v - low) // width for v in self.values if low <= v <= high)
+
+    rng = random.Random(4)
+    for values in ([], [5], [5] * 50, [2**62, -(2**62)] * 20, [rng.randint(0, 9) ** 20 for _ in range(500)], list(range(1000))):
+        cuts = balanced_cuts(Probe(values), 8)
+        assert cuts == sorted(set(cuts)) and len(cuts) < 16
+        sizes = Counter(bisect.bisect_right(cuts, v) for v in values)
+        busiest = max(Counter(values).values(), default=0)
+        assert max(sizes.values(), default=0) <= max(-(-len(values) // 8), busiest)
+    assert range_predicates("k", [3, 9]) == ["k < 3", "k >= 3 AND k < 9", "k >= 9 OR k IS NULL"] and range_predicates("k", []) == []
+
+
 def test_jdbc_urls():
     assert jdbc_options(MySql("h", 3306, "d", "u", "p"))["url"] == "jdbc:mysql://h:3306/d"
     options = jdbc_options(PostgreSql("h", 5432, "d", "u", "p"))
