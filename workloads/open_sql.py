@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tidemill.functions.semistructured import typed_columns
 from tidemill.operators.asof import asof_join
 from tidemill.operators.inequality import inequality_join, overlap_join
 from tidemill.operators.prefix import Near, Rank, Running, prefix_windows
 from tidemill.operators.ranges import range_join
+from tidemill.operators.sketches import exact_distinct, merge, sketch, store
+from tidemill.session import materialize, scratch_path
 from workloads.registry import query, sql_query, table
 
 # Both sides are grouped by month before the join: every key is one row on each side.
@@ -337,3 +340,43 @@ def larger_for_less(spark, sf_dir):
     return pairs.groupBy("p_brand").agg(
         F.count(F.lit(1)).alias("pairs"), F.min(F.col("price") - F.col("p_retailprice")).alias("least_gain")
     )
+
+
+@query(
+    "merged_sketches",
+    """
+    SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS median_close
+    FROM events GROUP BY event_type
+    """,
+)
+def merged_sketches(spark, sf_dir):
+    """Rows, users and the median of each type from sketches stored by day; users also exact, from bitmaps."""
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value", "ts")
+    path = scratch_path(spark, "sketches")
+    store(sketch(events, F.to_date("ts"), ["event_type"], "user_id", "value"), path)
+    # One row for each event type; as a table its size is known, and it is broadcast only if small.
+    about = materialize(merge(spark, path, ["event_type"], [0.5]).withColumnsRenamed({"n": "total", "distinct": "about"}))
+    ranks = events.join(about.select("event_type", F.col("quantiles")[0].alias("median")), "event_type")
+    shares = ranks.groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("median")) / F.count("value")).alias("share"))
+    exact = exact_distinct(events, ["event_type"], "user_id")
+    return about.join(exact, "event_type").join(shares, "event_type").select(
+        "event_type", F.col("total").alias("n"), F.col("exact").alias("users"),
+        (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("users_close"),
+        (F.abs(F.col("share") - 0.5) <= 0.02).alias("median_close"),
+    )
+
+
+@query(
+    "json_discovered",
+    """
+    SELECT event_type, count(*) AS n, count(k) AS with_k, min(k) AS least, max(k) AS most, sum(k)::BIGINT AS total
+    FROM (SELECT event_type, CAST(JSON_EXTRACT_STRING(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type
+    """,
+)
+def json_discovered(spark, sf_dir):
+    """Sums over a JSON field whose name and type are found in the data."""
+    typed = typed_columns(table(spark, sf_dir, "events").select("event_type", "props"), "props")
+    return typed.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count("props_k").alias("with_k"), F.min("props_k").alias("least"),
+        F.max("props_k").alias("most"), F.sum("props_k").alias("total"),
+    )
