@@ -5,6 +5,9 @@ Rounds are written to the shared folder, so plans stay short and lost executors
 round at most. A round's frontier is broadcast only after its size was measured; otherwise
 it joins by shuffle, where adaptive execution splits a source that holds many edges.
 
+Graphs deeper than ``_PLAIN_ROUNDS`` are contracted from there on (``contraction``), so a long
+chain takes rounds by the logarithm of its length.
+
 ``stored`` says that the edges are a table already; otherwise they are computed once and kept
 for the rounds.
 """
@@ -17,11 +20,13 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemill.errors import LineageError
+from tidemill.operators.contraction import contract
 from tidemill.session import discard, materialize, scratch_path
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 _ROW_OVERHEAD = 64
 _ROUNDS_PER_TABLE = 20
+_PLAIN_ROUNDS = 8
 
 
 @dataclass
@@ -45,8 +50,12 @@ def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True, st
     """Every node that can be reached from ``start(name)`` along the edges, cycles allowed."""
     links, drop_links = _kept(edges, stored)
     frontier = _written(start.select("name").distinct(), "start")
-    first, seen = frontier, [frontier]
+    first, seen, rounds = frontier, [frontier], 0
     while frontier.rows:
+        if rounds == _PLAIN_ROUNDS:
+            seen.append(_beyond(links, _union(seen), frontier.table))
+            break
+        rounds += 1
         step = _successors(links, frontier.sized())
         frontier = _written(step.join(_union(seen), "name", "left_anti"), "frontier")
         seen = _compact([*seen, frontier], spare=(first, frontier))
@@ -55,6 +64,15 @@ def reachable(edges: DataFrame, start: DataFrame, include_start: bool = True, st
     return whole if include_start else whole.join(first.table, "name", "left_anti")
 
 
+def _beyond(links, seen, frontier):
+    """All that the frontier reaches outside of ``seen``, by contraction."""
+    arcs = links.distinct().join(seen.withColumnRenamed("name", "dst"), "dst", "left_anti").select("src", "dst", F.lit(0).cast("bigint").alias("w"))
+    none, start = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
+    ends = arcs.select(F.col("src").alias("name"), none.alias("base")).union(arcs.select("dst", none)).union(frontier.select("name", start))
+    nodes = ends.groupBy("name").agg(F.max("base").alias("base"))
+    return _written(contract(nodes, arcs, first_wins=True).values().select("name").join(frontier, "name", "left_anti"), "beyond")
+
+
 def downstream(edges: DataFrame, start: DataFrame, include_start: bool = True, stored: bool = False) -> DataFrame:
     return reachable(edges, start, include_start, stored)
 
@@ -73,12 +91,13 @@ def levels(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFram
     A node gets its level in the round in which the last of its incoming edges is used, so each
     edge is used once. A cycle is told by the round that frees nothing while nodes are left.
     """
-    freed, remaining = _peel(edges, nodes, stored)
-    if remaining.rows:
+    freed, remaining, deep = _peel(edges, nodes, stored)
+    left = deep.behind_stuck().count() if deep and deep.stuck else remaining.rows if not deep else 0
+    if left:
         for part in freed:
             part.drop()
-        raise LineageError(f"{remaining.rows} nodes lie on cycles or behind them; cycle_remainder tells which")
-    return _union(freed)
+        raise LineageError(f"{left} nodes lie on cycles or behind them; cycle_remainder tells which")
+    return _union(freed) if not deep else _union(freed).unionByName(deep.values().select("name", F.col("level").cast("int")))
 
 
 def cycle_remainder(edges: DataFrame, stored: bool = False) -> DataFrame:
@@ -86,14 +105,14 @@ def cycle_remainder(edges: DataFrame, stored: bool = False) -> DataFrame:
 
     These are the members of cycles and everything downstream of them; empty without cycles.
     """
-    freed, remaining = _peel(edges, None, stored)
+    freed, remaining, deep = _peel(edges, None, stored)
     for part in freed:
         part.drop()
-    return remaining.table.select("name")
+    return deep.behind_stuck() if deep else remaining.table.select("name")
 
 
 def _peel(edges, nodes, stored):
-    """Nodes in the order in which they lose their last incoming edge, with levels; what is left.
+    """Nodes in the order in which they lose their last incoming edge, with levels; what is left; its contraction.
 
     A round's nodes are written with the number of incoming edges not used yet. Those with none
     are the next frontier, in a partition of their own; only the others are read on.
@@ -122,15 +141,27 @@ def _peel(edges, nodes, stored):
             before.drop()
         if not n:
             drop_links()
-            return freed or [_levelled(rest, level)], rest
+            return freed or [_levelled(rest, level)], rest, None
         part = _Part(table.where("free").select("name"), f"{path}/free=true", n, told.get("size") or 0)
         used = _successors(links, part.sized(), distinct=False).groupBy("name").agg(F.count(F.lit(1)).alias("used"))
         leveled = _levelled(part, level)
         freed = _compact([*freed, leveled], spare=(leveled,))
+        if level >= _PLAIN_ROUNDS and rest.rows:
+            deep = _contracted(links, rest.table.select("name"), _union(freed))
+            drop_links()
+            return freed, rest, deep
         left = F.col("waiting") - F.coalesce("used", F.lit(0))
         waiting, before, level = rest.table.join(used, "name", "left").select("name", left.alias("waiting")), rest, level + 1
 
 
+def _contracted(links, rest, freed):
+    """The nodes not freed yet, taken apart with the levels that the freed ones give them."""
+    given = links.join(freed.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg((F.max("level") + 1).alias("base"))
+    nodes = rest.join(given, "name", "left").select("name", F.coalesce("base", F.lit(0)).cast("bigint").alias("base"))
+    inside = links.join(rest.withColumnRenamed("name", "src"), "src", "left_semi")
+    return contract(nodes, inside.select("src", "dst", F.lit(1).cast("bigint").alias("w")))
+
+
 def _levelled(part, level):
     return _Part(part.table.select("name", F.lit(level).alias("level")), part.path, part.rows)
 

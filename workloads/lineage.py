@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators import changes, freshness, graph, runs
+from tidemill.operators.prefix import Near, prefix_windows
 from workloads.registry import query, table
 
 _EDGE_SQL = {
@@ -321,3 +322,19 @@ def completed_tasks(spark, sf_dir):
 )
 def run_phase_counts(spark, sf_dir):
     return runs.phase_counts(run_log(spark, sf_dir))
+
+
+@query(
+    "lineage_deep_levels",
+    """
+    WITH placed AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts NULLS FIRST, event_id) - 1 AS place FROM events)
+    SELECT 'E' || event_id AS name, place::INTEGER AS level FROM placed
+    UNION ALL SELECT 'U' || user_id, (max(place) + 1)::INTEGER FROM placed WHERE user_id IS NOT NULL GROUP BY user_id
+    """,
+)
+def lineage_deep_levels(spark, sf_dir):
+    """One chain through all events in order of time, each also leading to its user: as deep as there are events."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    chain = prefix_windows(events, ["ts"], {"next": Near("lead", "event_id", 1)}, unique=["event_id"])
+    edges = _stack(_link(chain, ("E", "event_id"), ("E", "next")), _link(chain.select("event_id", "user_id"), ("E", "event_id"), ("U", "user_id")))
+    return graph.levels(events.select(_tag("E", "event_id").alias("name")), edges)
