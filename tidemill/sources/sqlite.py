@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.errors import MissingSource
+from tidemill.sources.sqlite_ranges import read_in_ranges
 from tidemill.sources.storage import is_local, local_path, open_input
 
 ROWS_PER_PARTITION = 250_000
@@ -54,15 +55,31 @@ def read_sqlite(spark: SparkSession, paths: str | list[str], table: str) -> Data
     """One table from one database file, or the same table from several files.
 
     The files must be reachable from every executor under the same path. Large single files
-    belong on a mounted folder, where each task reads only its rows.
+    belong on a mounted folder, where each task reads only its rows. One file whose row ids lie
+    close together is cut evenly; all else in ranges of counted rows (``sqlite_ranges``), which are
+    found when this is called.
     """
     files = [paths] if isinstance(paths, str) else list(paths)
     schema = table_schema(files[0], table)
+    if len(files) > 1 or not _dense(files[0], table):
+        return read_in_ranges(spark, files, table, schema, ROWS_PER_PARTITION)
     spark.dataSource.register(SqliteSource)
     reader = spark.read.format("tidemill_sqlite").schema(schema)
     return reader.options(files=json.dumps(files), table=table).load()
 
 
+def _dense(path, table):
+    """Whether even ranges of row ids are few enough, with as many rows as ids at most in each."""
+    if not is_local(path):
+        return True
+    try:
+        with closing(_open(path)) as database:
+            low, high = database.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table)}").fetchone()
+    except sqlite3.OperationalError:  # a table without row ids
+        return False
+    return low is None or high - low < ROWS_PER_PARTITION * MAX_PARTITIONS
+
+
 def table_schema(path: str, table: str) -> T.StructType:
     """Columns as declared; an empty table has a schema too and counts as present."""
     try:
