@@ -129,12 +129,15 @@ def _range(path, keys, low, high, rows):
 
 def _key_columns(database, table):
     """The primary key of a table that is stored by it; empty for a table with row ids, null for a view."""
+    kind = database.execute("SELECT type FROM sqlite_master WHERE lower(name) = lower(?)", (table,)).fetchone()
+    if kind and kind[0] == "view":  # its row ids are null or an error, as the library was built
+        return None
     try:
         database.execute(f"SELECT rowid FROM {_source(table)} LIMIT 1")
         return []
     except sqlite3.OperationalError:
         found = [(place, name) for _, name, _, _, _, place in database.execute(f"PRAGMA table_info({_source(table)})") if place]
-        return [name for _, name in sorted(found)] or None
+        return [name for _, name in sorted(found)]
 
 
 def _within(keys, low, high):
