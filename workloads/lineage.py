@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.operators import changes, freshness, graph, runs
+from tidemill.operators import changes, freshness, graph, runs, versions
 from tidemill.operators.prefix import Near, prefix_windows
+from tidemill.session import scratch_path
 from workloads.registry import query, table
 
 _EDGE_SQL = {
@@ -338,3 +339,23 @@ def lineage_deep_levels(spark, sf_dir):
     chain = prefix_windows(events, ["ts"], {"next": Near("lead", "event_id", 1)}, unique=["event_id"])
     edges = _stack(_link(chain, ("E", "event_id"), ("E", "next")), _link(chain.select("event_id", "user_id"), ("E", "event_id"), ("U", "user_id")))
     return graph.levels(events.select(_tag("E", "event_id").alias("name")), edges)
+
+
+@query(
+    "stored_versions_changed",
+    """SELECT o_orderkey, CASE WHEN o_totalprice < 1500 THEN 'removed' WHEN o_orderdate >= DATE '2001-07-28' THEN 'added' ELSE 'changed' END AS change
+       FROM orders WHERE (o_totalprice < 1500) <> (o_orderdate >= DATE '2001-07-28')
+          OR (o_totalprice >= 1500 AND o_orderdate < DATE '2001-07-28' AND o_custkey = 7 AND o_orderstatus <> 'X')""",
+)
+def stored_versions_changed(spark, sf_dir):
+    """Two versions of all orders with digests: cheap ones went, the last week came, one customer's status changed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    status = F.expr("IF(o_custkey = 7, 'X', o_orderstatus)")
+    last = orders.where("o_orderdate < DATE '2001-07-28'")
+    current = orders.where("o_totalprice >= 1500").withColumn("o_orderstatus", status)
+    keys, cells, paths = ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_orderdate"], [scratch_path(spark, v) for v in ("last", "current")]
+    for version, path in ((last, paths[0]), (current, paths[1])):
+        versions.store(version, path, keys, cells, 8, 8)
+    schema = orders.select(*keys, *cells).schema
+    changed = versions.content_changes(spark, *paths, schema, keys, cells).select("o_orderkey", F.lit("changed").alias("change"))
+    return versions.snapshot_diff(spark, *paths, schema, keys).unionByName(changed)
