@@ -380,3 +380,20 @@ def json_discovered(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count("props_k").alias("with_k"), F.min("props_k").alias("least"),
         F.max("props_k").alias("most"), F.sum("props_k").alias("total"),
     )
+
+
+# A customer's map has one entry for each status; counting comes first, so none grows with the orders.
+sql_query(
+    "map_struct_ops",
+    """WITH counted AS (SELECT o_custkey, o_orderstatus, COUNT(*) AS n, MAX(o_orderdate) AS newest FROM {orders} GROUP BY o_custkey, o_orderstatus),
+       grouped AS (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS by_status,
+                          max(struct(newest, o_orderstatus)) AS latest FROM counted GROUP BY o_custkey)
+       SELECT o_custkey, by_status['F'] AS f_orders, size(by_status) AS statuses, array_join(array_sort(map_keys(by_status)), ',') AS status_list,
+              aggregate(map_values(map_filter(by_status, (k, v) -> k <> 'P')), 0L, (a, v) -> a + v) AS not_p,
+              latest.newest AS newest, latest.o_orderstatus AS newest_status FROM grouped""",
+    """WITH counted AS (SELECT o_custkey, o_orderstatus, COUNT(*) AS n, MAX(o_orderdate) AS newest FROM orders GROUP BY o_custkey, o_orderstatus)
+       SELECT o_custkey, (max(n) FILTER (o_orderstatus = 'F'))::BIGINT AS f_orders, count(*)::INTEGER AS statuses,
+              string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS status_list, coalesce(sum(n) FILTER (o_orderstatus <> 'P'), 0)::BIGINT AS not_p,
+              max(newest) AS newest, max({'newest': newest, 'status': o_orderstatus}).status AS newest_status
+       FROM counted GROUP BY o_custkey""",
+)
