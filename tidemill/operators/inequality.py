@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.errors import SpecError
+from tidemill.operators.pair_totals import pair_totals
 from tidemill.session import materialize
 
 #: Rows of one side that are compared at once with as many of the other.
@@ -24,7 +25,9 @@ _BORDER = {(False, False): "left", (False, True): "right", (True, False): "right
 _LEAST_CLASS = -1074  # of intervals without width
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_interval: tuple[str, str], right_interval: tuple[str, str]) -> DataFrame:
+def overlap_join(
+    left: DataFrame, right: DataFrame, left_interval: tuple[str, str], right_interval: tuple[str, str], totals: dict[str, tuple] | None = None
+) -> DataFrame:
     """Pairs of closed intervals of numbers that have a point in common, as two equi-joins.
 
     Intervals are classed by the power of two next above their width. A pair meets in the class of
@@ -33,8 +36,13 @@ def overlap_join(left: DataFrame, right: DataFrame, left_interval: tuple[str, st
     side, and to each wider class of the other side, of which there are no more than numbers have
     exponents. The pair is taken in the bucket of the point where it begins, once. What meets in a
     bucket is near each other, and a crowded bucket is split by the adaptive skew join. Intervals
-    with a null bound or an upper bound below the lower one have no points.
+    with a null bound or an upper bound below the lower one have no points. With ``totals`` over the
+    right rows, the left rows that have pairs are returned with these, and no pair is made
+    (``pair_totals``).
     """
+    if totals is not None:
+        left, right = (df.where(F.col(low) <= F.col(high)) for df, (low, high) in ((left, left_interval), (right, right_interval)))
+        return inequality_join(left, right, (left_interval[0], "<=", right_interval[1]), (left_interval[1], ">=", right_interval[0]), totals=totals)
     sides = []
     for df, (low, high), letter in ((left, left_interval, "l"), (right, right_interval, "r")):
         width = F.col(high).cast("double") - F.col(low).cast("double")
@@ -72,8 +80,9 @@ def _bucket(at):
 
 
 def inequality_join(
-    left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, first: tuple[str, str, str], second: tuple[str, str, str], block_rows: int = BLOCK_ROWS,
+    totals: dict[str, tuple] | None = None,
+) -> DataFrame:
     """Pairs of rows for which two inequalities hold, each ``(left column, sign, right column)``.
 
     Both sides are sorted by their first column and cut into blocks. Of all pairs of blocks, those
@@ -81,7 +90,9 @@ def inequality_join(
     others a task enters left rows into an array of bits in order of the second column, and reads
     the bits up to each right row's place in the first. A task holds two blocks and passes its pairs
     on in slices. The driver sees one line of bounds a block. Rows with a null or NaN in a column
-    of an inequality match nothing; columns may be numbers, dates, timestamps or texts.
+    of an inequality match nothing; columns may be numbers, dates, timestamps or texts. With
+    ``totals`` over the right rows, the left rows that have pairs are returned with these, and no
+    pair is made (``pair_totals``).
     """
     if first[1] not in _SIGNS or second[1] not in _SIGNS:
         raise SpecError(f"inequalities are written {', '.join(_SIGNS)}")
@@ -91,7 +102,9 @@ def inequality_join(
             df = df.where(F.col(c).isNotNull())
             if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
                 df = df.where(~F.isnan(c))
-        sides.append(materialize(_blocks(df, x, y, block_rows), "blocks"))
+        sides.append(df if totals is not None else materialize(_blocks(df, x, y, block_rows), "blocks"))
+    if totals is not None:
+        return pair_totals(*sides, first, second, (_SIGNS[first[1]], _SIGNS[second[1]]), totals, block_rows)
     bounds = ["block", "low_x", "high_x", "low_y", "high_y"]
     near = _pairs(*[[r for r in s.select(*bounds).collect()] for s in sides], _SIGNS[first[1]], _SIGNS[second[1]])
     spark = left.sparkSession

@@ -318,10 +318,10 @@ def orders_under_way(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("bigint"))
     shipping = lines.groupBy("l_orderkey").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     debuts = lines.groupBy("l_suppkey").agg(F.min("day").alias("opens"), (F.min("day") + 30).alias("closes"))
-    pairs = overlap_join(shipping, debuts, ("first_day", "last_day"), ("opens", "closes"))
-    return pairs.groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("orders_under_way"), F.sum(F.col("last_day") - F.col("first_day")).alias("days_shipped")
-    )
+    shipping = shipping.withColumn("days", F.col("last_day") - F.col("first_day"))
+    totals = {"orders_under_way": ("count", None), "days_shipped": ("sum", "days")}
+    pairs = overlap_join(debuts, shipping, ("opens", "closes"), ("first_day", "last_day"), totals)
+    return pairs.groupBy("l_suppkey").agg(F.sum("orders_under_way").alias("orders_under_way"), F.sum("days_shipped").alias("days_shipped"))
 
 
 @query(
