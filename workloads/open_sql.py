@@ -222,8 +222,10 @@ def approximate(spark, sf_dir):
     about = events.groupBy("event_type").agg(
         F.approx_count_distinct("user_id", 0.01).alias("users"),
         F.percentile_approx("value", list(quantiles), 10_000).alias("values"),
-        F.count_distinct("user_id").alias("exact_users"),
     )
+    # Apart from the sketches: beside a distinct count these would be kept for each type and user.
+    exact = events.groupBy(F.col("event_type").alias("exact_type")).agg(F.count_distinct("user_id").alias("exact_users"))
+    about = about.join(exact, F.col("event_type").eqNullSafe(F.col("exact_type"))).drop("exact_type")
     # How many rows lie below and up to each quantile, counted by one more pass over the rows.
     few = F.broadcast(about)  # one row for each event type
     ranks = events.join(few, "event_type").groupBy("event_type").agg(
