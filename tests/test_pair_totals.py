@@ -8,6 +8,7 @@ import pytest
 from tidemill.errors import SpecError
 from tidemill.operators.inequality import inequality_join, overlap_join
 from tidemill.operators.pair_totals import _borders
+from workloads import QUERIES
 
 SIGNS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 TOTALS = {"n": ("count", None), "ks": ("sum", "k"), "low": ("min", "k"), "high": ("max", "k"), "kn": ("count", "k"), "v_low": ("min", "v"), "v_high": ("max", "v")}
@@ -72,3 +73,11 @@ def test_gaps_between_borders_hold_few_rows(spark):
     assert 77 in borders and len(borders) <= 40
     edges = [-1, *borders, 10**9]
     assert all(sum(low < v < high for v in rows) < 500 for low, high in zip(edges, edges[1:]))
+
+
+def test_the_queries_make_no_pairs(spark, tmp_path):
+    parts = spark.range(2000).selectExpr("concat('b', id % 2) AS p_brand", "IF(id < 1000, 50, 1) AS p_size", "CAST(id AS DOUBLE) AS p_retailprice")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["inequality_join"](spark, str(tmp_path))
+    assert "left_data" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [("b0", 500_000, 2.0), ("b1", 500_000, 1.0)]

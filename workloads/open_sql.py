@@ -338,10 +338,10 @@ def larger_for_less(spark, sf_dir):
     """Pairs of parts of which the far larger one is cheaper: two inequalities, no equality."""
     parts = table(spark, sf_dir, "part").select("p_brand", "p_size", "p_retailprice")
     others = parts.select((F.col("p_size") + 45).alias("least_size"), F.col("p_retailprice").alias("price"))
-    pairs = inequality_join(parts, others, ("p_retailprice", "<", "price"), ("p_size", ">=", "least_size"))
-    return pairs.groupBy("p_brand").agg(
-        F.count(F.lit(1)).alias("pairs"), F.min(F.col("price") - F.col("p_retailprice")).alias("least_gain")
-    )
+    totals = {"pairs": ("count", None), "least_price": ("min", "price")}
+    pairs = inequality_join(parts, others, ("p_retailprice", "<", "price"), ("p_size", ">=", "least_size"), totals=totals)
+    # A part's least gain is to the cheapest of its pairs, also after rounding.
+    return pairs.groupBy("p_brand").agg(F.sum("pairs").alias("pairs"), F.min(F.col("least_price") - F.col("p_retailprice")).alias("least_gain"))
 
 
 @query(
