@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemill.session import discard, materialize, scratch_path
 
 _PARTS = 20
+#: Rows of runs up to which doubling goes all the way, and of how many nodes one stands for the others beyond.
+_DOUBLED_ROWS, _SHARE = 100_000, 8
 
 
 @dataclass
@@ -147,21 +149,63 @@ def _places(arcs):
         F.col("dst").alias("name"), F.col("src").alias("head"), F.col("src_base").alias("head_base"),
         F.col("src_kind").alias("head_kind"), F.col("w").alias("off"), F.col("dst_base").alias("base"),
     )
-    now = _stored(first, "places", opened)
-    while now.told.get("open"):
-        back = now.table.select(F.col("name").alias("head"), *[F.col(c).alias(f"{c}_2") for c in ("head", "head_base", "head_kind", "off", "base")])
-        step = now.table.where("head_kind = 'through'").select("name", "head", "off", "base").join(back, "head")
-        step = step.select(
-            "name", F.col("head_2").alias("head"), F.col("head_base_2").alias("head_base"), F.col("head_kind_2").alias("head_kind"),
-            (F.col("off") + F.col("off_2")).alias("off"), F.greatest("base", F.col("base_2") + F.col("off")).alias("base"),
-        )
-        then = _stored(now.table.where("head_kind <> 'through'").unionByName(step), "places", opened)
-        same = then.told.get("open") == now.told.get("open")
-        now.drop()
-        now = then
-        if same:
+    return _placed(_stored(first, "places", opened), opened)
+
+
+def _placed(first, opened, depth=0):
+    """``first`` with all heads found: every eighth node stands for those up to the next one, which then ask it.
+
+    Doubling so goes on over short ways only; over all the way it is done for an eighth of an eighth and so on.
+    """
+    if (first.told.get("open") or 0) <= _DOUBLED_ROWS:
+        found, parts = _doubled(first.table, first.told.get("open") or 0, opened)
+        whole = _stored(found, "places", opened)
+        for part in (first, *parts):
+            part.drop()
+        return whole
+    chosen = lambda column: F.pmod(F.xxhash64(column, F.lit(depth)), F.lit(_SHARE)) == 0
+    kind = F.when((F.col("head_kind") == "through") & chosen("head"), "chosen").otherwise(F.col("head_kind"))
+    near, parts = _doubled(first.table.withColumn("head_kind", kind), first.told["open"], opened)
+    near = _stored(near, "near")
+    for part in (first, *parts):
+        part.drop()
+    again = F.when(F.col("head_kind") == "chosen", "through").otherwise(F.col("head_kind"))
+    far = _placed(_stored(near.table.where(chosen("name")).withColumn("head_kind", again), "places", opened), opened, depth + 1)
+    asked = _step(near.table.where("head_kind = 'chosen'"), far.table)
+    whole = _stored(near.table.where("head_kind <> 'chosen'").unionByName(asked), "places", opened)
+    near.drop()
+    far.drop()
+    return whole
+
+
+def _doubled(rows, n, opened):
+    """``rows`` with heads of other kinds than ``through``, but on rings, and the tables they are read from.
+
+    Rows whose head is found are written once.
+    """
+    done, left, parts = [rows.where("head_kind <> 'through'")], rows.where("head_kind = 'through'"), []
+    while n:
+        back = left
+        for table in done:
+            back = back.unionByName(table)
+        step = _stored(_step(left, back), "places", opened)
+        parts.append(step)
+        done.append(step.table.where("head_kind <> 'through'"))
+        left, before, n = step.table.where("head_kind = 'through'"), n, step.told.get("open") or 0
+        if n == before:
             break
-    return now
+    for table in done:
+        left = left.unionByName(table)
+    return left, parts
+
+
+def _step(rows, back):
+    """``rows`` with the heads of their heads."""
+    back = back.select(F.col("name").alias("head"), *[F.col(c).alias(f"{c}_2") for c in ("head", "head_base", "head_kind", "off", "base")])
+    return rows.select("name", "head", "off", "base").join(back, "head").select(
+        "name", F.col("head_2").alias("head"), F.col("head_base_2").alias("head_base"), F.col("head_kind_2").alias("head_kind"),
+        (F.col("off") + F.col("off_2")).alias("off"), F.greatest("base", F.col("base_2") + F.col("off")).alias("base"),
+    )
 
 
 def _shortened(arcs, runs):
