@@ -4,7 +4,8 @@ A round takes three kinds of nodes out of the graph at once: those without incom
 value is final and is handed on; those without outgoing edges, which wait for the way back; and
 runs of nodes with one edge in and one out, of which only an edge from the run's head to what
 follows it stays. Where in a run a node lies is found by doubling: after ``n`` steps each knows
-what lies ``2 ** n`` edges before it. Paths, trees and graphs of parts in series and in parallel
+what lies ``2 ** n`` edges before it. In long runs that goes on up to the next chosen node only,
+and between the chosen ones likewise. Paths, trees and graphs of parts in series and in parallel
 so end after a number of rounds that grows with the logarithm of their size. What holds no such
 parts, like a long mesh, still loses one layer at each end in a round.
 
