@@ -7,7 +7,8 @@ from conftest import DATA
 from test_dedup import SCHEMA, awkward
 
 import corpus_pipeline
-from tidemill.llm.shingle_sets import bands, keep_one_of_similar, shingle_set, similar_links
+from tidemill.llm import shingle_sets
+from tidemill.llm.shingle_sets import bands, dealt, keep_one_of_similar, shingle_set, similar_links
 
 
 def shingles_plainly(text):
@@ -89,3 +90,41 @@ def test_awkward_rows(spark):
     stay = keep_one_of_similar(awkward(spark))
     assert stay.columns == awkward(spark).columns and sorted(r.doc_id for r in stay.collect()) == [1, 2, 3, 4, 5]
     assert keep_one_of_similar(awkward(spark).limit(0)).count() == 0
+
+
+def test_fingerprints_in_trees_give_candidates_of_their_own(spark, monkeypatch):
+    rng, texts = random.Random(8), {}
+    for _ in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        for n in (0, 1, 1):
+            texts[len(texts)] = edited(rng, base, n)
+    monkeypatch.setattr(shingle_sets, "bands", lambda hashes: hashes[:1].view("int64") * 0 + len(texts) + int(hashes.sum() >> 1))
+    docs = spark.createDataFrame([(i, t, 1, "b") for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id for r in keep_one_of_similar(docs).collect()}
+    assert got >= kept_plainly(texts) == {0, 3, 6, 9, 12} and len(got) < 8  # 15 without the trees
+
+
+def crowd(spark):
+    """One bucket of texts that share three quarters, few of them alike."""
+    rng, texts = random.Random(9), {}
+    base = [f"w{i}" for i in range(200)]
+    for _ in range(60):
+        texts[len(texts)] = edited(rng, base, rng.choice((1, 2, 6, 9)))
+    sets = spark.createDataFrame([(i, bytearray(shingle_set(t).tobytes())) for i, t in texts.items()], "node bigint, hashes binary")
+    return texts, sets
+
+
+def test_a_crowded_bucket_is_compared_by_blocks(spark):
+    texts, sets = crowd(spark)
+    members = spark.createDataFrame([(7, i) for i in texts], "bucket bigint, node bigint")
+    dropped = {r.node for r in similar_links(members, sets, block_rows=4).collect() if r.node != r.root}
+    assert set(texts) - dropped == kept_plainly(texts) and 1 < len(kept_plainly(texts)) < 60
+
+
+def test_rows_of_a_crowded_bucket_do_not_grow_with_its_pairs(spark):
+    texts, sets = crowd(spark)
+    unlike = spark.createDataFrame([(7, i, i) for i in texts], "bucket bigint, node bigint, root bigint")
+    assert dealt(unlike, sets, 512).count() == 60
+    assert dealt(unlike, sets, 20).count() <= 60 * 4
+    strays = spark.createDataFrame([(7, i, max(i, 57)) for i in texts], "bucket bigint, node bigint, root bigint")
+    assert dealt(strays, sets, 10).count() <= 60 + 2 * 6

@@ -28,7 +28,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         return 0
     n = max(1, len(found) - words + 1)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    return fingerprint_of(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits, each set if more than half of the hashes have it set; no hashes: 0."""
+    n = len(hashes)
     counts = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
