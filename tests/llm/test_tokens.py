@@ -98,3 +98,16 @@ def test_nulls_ties_empty_tables_and_clashing_columns(spark):
     trips = bpe_round_trip(docs, with_tokens=True).collect()
     assert len(trips) == 5 and all(len(r.token_ids) == r.n_tokens for r in trips)
     assert token_counts(docs.limit(0)).count() == bpe_round_trip(docs.limit(0)).count() == 0
+
+
+def test_moves_get_states_only_where_they_are_busy():
+    ranks = read_ranks("byte_bpe_50k.tiktoken")
+    lazy, eager = Transducer(ranks, patience=8), Transducer(ranks, patience=1)
+    words = [f" stat{i}e{i * 7919 % 1000}x".encode() for i in range(30)]
+    assert [lazy.encode(w) for w in words] == [eager.encode(w) for w in words]
+    assert 0 < len(lazy.states) < len(eager.states)
+    assert len(Codec().words[" state"]) == 2
+    word = (" the" * 200).encode()
+    assert eager.encode(word) == eager.encode(word) == lazy.encode(word)
+    longest = max(map(len, eager.vocabulary.tokens.values()))
+    assert all(len(s.pending) <= 2 * longest for s in eager.states.values())

@@ -14,7 +14,6 @@ import base64
 import functools
 import gc
 import hashlib
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -33,6 +32,8 @@ MAX_STATES = 50_000
 MAX_FITS = 200_000
 MEMO_WORDS = 150_000
 MEMO_CHARS = 64
+#: Times that a move is read before it gets a state.
+PATIENCE = 64
 #: Bytes read without making states before what is final is emitted.
 LOOKAHEAD = 1024
 
@@ -118,12 +119,12 @@ class Vocabulary:
 
 
 class Transducer:
-    """Encodes words. States are determinised lazily: a move gets a state of its own when it is
-    needed for the second time; before, the rest of the word is read without making states."""
+    """Encodes words. States are determinised lazily: a move gets a state of its own when it was
+    needed ``patience`` times; before, the rest of the word is read without making states."""
 
-    def __init__(self, vocabulary: Vocabulary | dict[bytes, int], max_states: int = MAX_STATES):
+    def __init__(self, vocabulary: Vocabulary | dict[bytes, int], max_states: int = MAX_STATES, patience: int = PATIENCE):
         self.vocabulary = vocabulary if isinstance(vocabulary, Vocabulary) else Vocabulary(vocabulary)
-        self.max_states = max_states
+        self.max_states, self.patience = max_states, patience
         self.fits: dict[int, bool] = {}
         self.bytes = [bytes([b]) for b in range(256)]
         self._restart()
@@ -142,10 +143,10 @@ class Transducer:
     def encode(self, word: bytes) -> list[int]:
         out, state = [], self.start
         for at, byte in enumerate(word):
-            move = state.moves.get(byte)
-            if not move:
-                if move is None:
-                    state.moves[byte] = ()  # seen once
+            move = state.moves.get(byte, 0)
+            if type(move) is int:  # how often it was needed
+                if move < self.patience:
+                    state.moves[byte] = move + 1
                     return out + self._read(state, word, at)
                 move = self._move(state, byte)
             if move[0]:
@@ -339,7 +340,7 @@ class StreamDecoder:
 
 
 class _Words(dict):
-    """Words to their tokens, these as text, and the bytes they decode to; remembered for short words.
+    """Words to their tokens as text, and the bytes they decode to; remembered for short words.
 
     When there are too many they become the former ones, from which those still in use are taken over.
     """
@@ -351,7 +352,7 @@ class _Words(dict):
         entry = self.former.get(word)
         if entry is None:
             ids = self.transducer.encode(word.encode())
-            entry = (ids, " ".join(map(str, ids)), self.decode(ids))
+            entry = (" ".join(map(str, ids)), self.decode(ids))
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.former = dict(self)
@@ -360,7 +361,11 @@ class _Words(dict):
         return entry
 
 
-_ids, _shown, _decoded = map(itemgetter, range(3))
+_shown, _decoded = map(itemgetter, range(2))
+
+
+def _numbers(shown: str) -> np.ndarray:
+    return np.fromstring(shown, np.int32, sep=" ") if shown else np.empty(0, np.int32)
 
 
 class Codec:
@@ -382,16 +387,16 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Tokens of a text, each match of the public pattern by itself."""
-        return list(chain.from_iterable(map(_ids, map(self.words.__getitem__, self.split(text)))))
+        return _numbers(self.round_trip(text)[0]).tolist()
 
-    def round_trip(self, text: str) -> tuple[list[list[int]], str, bytes]:
-        """Tokens of each word of a text, all their numbers joined by spaces, and what they decode to.
+    def round_trip(self, text: str) -> tuple[str, bytes]:
+        """Tokens of a text, their numbers joined by spaces, and what they decode to.
 
         A word is whole characters, so its tokens are decoded on their own, once for all places
         it stands at.
         """
         found = list(map(self.words.__getitem__, self.split(text)))
-        return list(map(_ids, found)), " ".join(map(_shown, found)), b"".join(map(_decoded, found))
+        return " ".join(map(_shown, found)), b"".join(map(_decoded, found))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the characters that the tokens make up.
@@ -458,7 +463,7 @@ def bpe_round_trip(
 
     def run(batches):
         for batch, trips in _round_trips(batches, vocabulary, 1):
-            rows = [(sum(map(len, ids)), _sha(shown.encode()), _sha(decoded)) for ids, shown, decoded in trips]
+            rows = [(shown.count(" ") + bool(shown), _sha(shown.encode()), _sha(decoded)) for shown, decoded in trips]
             columns = [pa.array(list(x), f.type) for x, f in zip(zip(*rows), list(arrow)[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *columns], schema=arrow)
 
@@ -479,8 +484,8 @@ def add_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text_
     def run(batches):
         for batch, trips in _round_trips(batches, vocabulary, at):
             tokens, prints, decoded = [], [], []
-            for ids, shown, data in trips:
-                tokens.append(pa.array(np.fromiter(chain.from_iterable(ids), np.int32)))
+            for shown, data in trips:
+                tokens.append(pa.array(_numbers(shown)))
                 prints.append(_sha(shown.encode()))
                 decoded.append(_sha(data))
             ends = np.cumsum([0, *map(len, tokens)])
