@@ -76,6 +76,18 @@ def test_cycle_remainder(pairs, column):
     assert column(graph.cycle_remainder(pairs(*RIVER))) == []
 
 
+def test_a_peel_groups_no_edges_and_counts_repeated_ones(names, pairs, monkeypatch):
+    """Edges are kept as they are; repeated ones change nothing, neither in rounds nor in the contraction."""
+    kept, plain = [], graph._kept
+    monkeypatch.setattr(graph, "_kept", lambda edges, stored: kept.append(edges) or plain(edges, stored))
+    monkeypatch.setattr(graph, "_PLAIN_ROUNDS", 1)
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(5)]
+    rows = [*chain * 3, *[("n1", "n4"), ("n3", "n5"), (None, "n3"), ("n4", None)] * 2]
+    found = graph.levels(names(*[f"n{i}" for i in range(6)]), pairs(*rows))
+    assert dict(map(tuple, found.collect())) == {f"n{i}": i for i in range(6)}
+    assert "Aggregate" not in kept[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_adjacency_has_every_node_and_one_shape(names, pairs):
     many = [("hub", f"n{i}") for i in range(12_000)]
     rows = graph.adjacency(names("hub", "n1", "n1", "pond"), pairs(*many, ("n2", "n1"))).collect()

@@ -115,9 +115,11 @@ def _peel(edges, nodes, stored):
     """Nodes in the order in which they lose their last incoming edge, with levels; what is left; its contraction.
 
     A round's nodes are written with the number of incoming edges not used yet. Those with none
-    are the next frontier, in a partition of their own; only the others are read on.
+    are the next frontier, in a partition of their own; only the others are read on. Repeated
+    edges are waited for and used as often as they are there, so no task holds all edges of its
+    part to find them.
     """
-    links, drop_links = _kept(edges.select("src", "dst").distinct(), stored)
+    links, drop_links = _kept(edges, stored)
     known = links.select(F.col("src").alias("name"), F.lit(0).alias("n")).union(links.select(F.col("dst").alias("name"), F.lit(1).alias("n")))
     if nodes is not None:
         known = known.union(nodes.select("name", F.lit(0).alias("n")))
@@ -159,7 +161,7 @@ def _contracted(links, rest, freed):
     given = links.join(freed.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg((F.max("level") + 1).alias("base"))
     nodes = rest.join(given, "name", "left").select("name", F.coalesce("base", F.lit(0)).cast("bigint").alias("base"))
     inside = links.join(rest.withColumnRenamed("name", "src"), "src", "left_semi")
-    return contract(nodes, inside.select("src", "dst", F.lit(1).cast("bigint").alias("w")))
+    return contract(nodes, inside.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("bigint")))
 
 
 def _levelled(part, level):
