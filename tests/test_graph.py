@@ -3,8 +3,9 @@ import random
 import pytest
 
 from tidemill.errors import LineageError
-from tidemill.operators import graph
+from tidemill.operators import changes, graph
 from tidemill.operators.changes import affected, content_changes, snapshot_diff
+from tidemill.session import child_folders, scratch_root
 
 #: Two ports feed a river that parts and meets again; a pond stands alone.
 RIVER = [("spring", "weir"), ("brook", "weir"), ("weir", "mill"), ("weir", "lock"), ("mill", "sea"), ("lock", "sea"), ("sea", "isle")]
@@ -109,6 +110,28 @@ def test_snapshot_diff(pairs):
     assert sorted(map(tuple, rows)) == [("a", "c", "added"), ("b", "c", "removed")]
 
 
+def test_snapshot_diff_deals_known_rows(pairs, monkeypatch):
+    monkeypatch.setattr(changes, "ROWS_PER_TASK", 100)
+    last = pairs(*[(f"a{i}", "x") for i in range(300)], *[("much", "repeated")] * 300, (None, "x"))
+    current = pairs(*[(f"a{i}", "x") for i in range(1, 300)], *[("much", "repeated")] * 200, (None, "x"), (None, None), ("new", None))
+    dealt = snapshot_diff(last, current, ["src", "dst"], last.count() + current.count())
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, snapshot_diff(last, current, ["src", "dst"]).collect()))
+    assert dealt.count() == 3 and dealt.rdd.getNumPartitions() == 12
+    none = last.where("false")
+    assert snapshot_diff(none, none, ["src", "dst"], 0).collect() == []
+
+
+def test_affected_tells_how_many_rows_it_compares(spark, names, pairs, column, monkeypatch):
+    told, plain = [], changes.snapshot_diff
+    monkeypatch.setattr(changes, "snapshot_diff", lambda last, current, keys, rows=None: told.append((keys, rows)) or plain(last, current, keys, rows))
+    edges = pairs(*RIVER)
+    with_null = edges.union(pairs((None, "isle"), *[("spring", "isle")] * 3))
+    nodes = names("spring", "isle", "isle", "weir")
+    assert column(affected(nodes, nodes, edges, with_null, names("pond"))) == ["isle"]
+    assert sorted(told) == [(["name"], 8), (["src", "dst"], 2 * len(RIVER) + 4)]
+    assert not [f for f in child_folders(spark, scratch_root(spark)) if f.startswith(("last-", "current-"))]
+
+
 def test_content_changes_ignore_insignificant_columns(spark):
     fields = "name string, sql string, description string"
     last = spark.createDataFrame([("a", "x", "1"), ("b", "x", None), ("c", None, ""), ("gone", "x", "")], fields)

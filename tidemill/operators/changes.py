@@ -2,6 +2,10 @@
 
 Both versions are stacked and grouped by key once: partial aggregation halves the data
 before the only shuffle, and a key that occurs often does not land in one task.
+
+Keys that are nearly all distinct gain nothing from that, and the task that begins to group holds
+all of its own. Where the number of rows is known they are dealt first, so that a task groups no
+more than ``ROWS_PER_TASK`` of them on the average, however many there are.
 """
 
 from __future__ import annotations
@@ -10,17 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.graph import reachable
+from tidemill.session import discard, materialize, scratch_path
+
+ROWS_PER_TASK = 1 << 20
 
 
-def snapshot_diff(last: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys only one version has, with ``change`` = ``added`` or ``removed``."""
+def snapshot_diff(last: DataFrame, current: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Keys only one version has, with ``change`` = ``added`` or ``removed``.
+
+    ``rows``, if given, is how many both versions have together.
+    """
     sides = _stack(last.select(keys), current.select(keys))
-    return (
-        sides.groupBy(keys)
-        .agg(F.max("in_last").alias("in_last"), F.max("in_current").alias("in_current"))
-        .where("in_last <> in_current")
-        .select(*keys, F.when(F.col("in_current") == 1, "added").otherwise("removed").alias("change"))
-    )
+    grouped = _grouped(sides, keys) if rows is None else _dealt(sides, keys, max(1, -(-rows // ROWS_PER_TASK)))
+    return grouped.where("in_last <> in_current").select(*keys, F.when(F.col("in_current") == 1, "added").otherwise("removed").alias("change"))
+
+
+def _grouped(sides, keys):
+    return sides.groupBy(keys).agg(F.max("in_last").alias("in_last"), F.max("in_current").alias("in_current"))
+
+
+def _dealt(sides, keys, parts):
+    """As ``_grouped``; a much repeated key goes to as many tasks as read it before it goes to one."""
+    read = sides.withColumn("read_by", F.spark_partition_id())
+    once = _grouped(read.repartition(parts, *keys, "read_by"), [*keys, "read_by"])
+    return _grouped(once.repartition(parts, *keys), keys)
 
 
 def content_changes(last: DataFrame, current: DataFrame, keys: list[str], significant: list[str]) -> DataFrame:
@@ -43,10 +60,15 @@ def affected(
 
     With an empty last version that is every node.
     """
-    nodes = snapshot_diff(last_nodes, current_nodes, ["name"]).select("name")
-    targets = snapshot_diff(last_edges, current_edges, ["src", "dst"]).select(F.col("dst").alias("name"))
+    spark, paths = current_edges.sparkSession, [scratch_path(current_edges.sparkSession, v) for v in ("last", "current")]
+    last, current = (materialize(edges.select("src", "dst"), path=path) for edges, path in zip((last_edges, current_edges), paths))
+    nodes = snapshot_diff(last_nodes, current_nodes, ["name"], last_nodes.count() + current_nodes.count()).select("name")
+    targets = snapshot_diff(last, current, ["src", "dst"], last.count() + current.count()).select(F.col("dst").alias("name"))
     seeds = nodes.union(targets).union(changed.select("name"))
-    return reachable(current_edges, seeds).join(current_nodes.select("name"), "name", "left_semi")
+    found = reachable(current, seeds, stored=True)
+    for path in paths:
+        discard(spark, path)
+    return found.join(current_nodes.select("name"), "name", "left_semi")
 
 
 def _fingerprint(columns):
